@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BUCKETS = 64
 CHUNK = 100_000
 GROUP_LIMIT = 1000
 
@@ -22,9 +23,13 @@ def hash_unit(*parts: Column | str) -> Column:
     return hash_int(*parts) / F.lit(float(1 << 60))
 
 
-def numbered(
-    df: DataFrame, order: str, by: list[str] = (), name: str = "rn", buckets: int = BUCKETS
-) -> DataFrame:
+def range_count(df: DataFrame) -> int:
+    """Ranges for a numbered order: a few per shuffle partition, within sane limits."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(16, min(4096, 2 * partitions))
+
+
+def numbered(df: DataFrame, order: str, by: list[str] = (), name: str = "rn") -> DataFrame:
     """Exact ``row_number()`` by a unique order column, without a window over a whole group.
 
     The order is cut into ranges at a bounded sample of its values (the keys with
@@ -32,15 +37,30 @@ def numbered(
     numbered inside (group, range) and shifted by the sizes of the ranges before.
     The result does not depend on where the cuts fall.
     """
+    ranges = range_count(df)
+    step = math.isqrt(ranges)
     sample = (
         df.select(F.col(order).alias("_cut"))
         .orderBy(F.xxhash64("_cut"), "_cut")
-        .limit(buckets - 1)
+        .limit(ranges - 1)
         .agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
+        .select(
+            F.struct(
+                "_cuts",
+                F.filter("_cuts", lambda _, i: i % step == step - 1).alias("_coarse"),
+            )
+        )
+    )
+
+    def below(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c < F.col(order)))
+
+    ranged = (
+        df.select("*", sample.scalar().alias("_s"))
+        .withColumn("_p", below(F.col("_s._coarse")) * step)
+        .withColumn("_range", F.col("_p") + below(F.slice("_s._cuts", F.col("_p") + 1, step)))
+        .drop("_s", "_p")
     )
-    ranged = df.select("*", sample.scalar().alias("_cuts")).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    ).drop("_cuts")
     keys = [*by, "_range"]
     sizes = ranged.groupBy(*keys).agg(F.count("*").alias("_size"))
     before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
