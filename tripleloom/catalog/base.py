@@ -17,17 +17,36 @@ from pyspark.sql import Window as W
 from tripleloom.functions import syntax
 from tripleloom.operators.distinct import first_per_key
 from tripleloom.operators.dense import nearest_center
+from tripleloom.plans.features import triple_rows
 
 
 @dataclass(frozen=True)
 class Case:
     """A registered query; ``sql`` is ``None`` where SQL cannot express it."""
 
-    name: str
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None = None
 
 
+CASES: dict[str, Case] = {}
+
+
+def case(name: str, sql: str | None = None) -> Callable:
+    """Registers a function of ``Tables`` under an operator's name."""
+
+    def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        CASES[name] = Case(lambda spark, sf_dir: build(Tables(spark, sf_dir)), sql)
+        return build
+
+    return register
+
+
+def joined(values: Column | str, sep: str = ",") -> Column:
+    """An array as text, so that results compare as plain values."""
+    values = F.col(values) if isinstance(values, str) else values
+    return F.array_join(values.cast("array<string>"), sep)
+
+
 class Tables:
     """Driver tables and the views derived from them."""
 
@@ -43,6 +62,14 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(self.path(name))
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row. A scan of few splits is spread over the
+        cores; one that already has a task per core is left alone.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def triples(self) -> DataFrame:
         """One row per line item, read as (subject, relation, object)."""
         lines = (
@@ -87,10 +114,10 @@ class Tables:
     def sentences(self) -> DataFrame:
         """Annotated sentences of all documents, tagged by rule, built inside the row.
 
-        The dependency tree is a heap (the governor of token i is i / 2); a
-        sentence of nine tokens or more carries one triple.
+        The governor of token i is i / 2 in even sentences and i / 3 in odd ones (which
+        so have two roots); a sentence of nine tokens or more carries two triples.
         """
-        split = self.documents.select(
+        split = self.spread("documents").select(
             "doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sent", "body")
         )
         words = F.filter(
@@ -112,65 +139,53 @@ class Tables:
                 rule_ner(word, pos).alias("ner"),
             )
 
-        tokens = F.transform("words", token)
-        heap = F.transform(
-            F.sequence(F.lit(1), F.size("words")),
+        # The one-row generator keeps later filters from computing the tokens again.
+        built = rows.select(
+            "doc_id", "sent", F.explode(F.array(F.transform("words", token))).alias("tokens")
+        )
+        step = F.lit(2) + F.col("sent") % 2
+        tree = F.transform(
+            F.sequence(F.lit(1), F.size("tokens")),
             lambda i: F.struct(
-                F.floor(i / 2).cast("int").alias("governor"),
+                F.floor(i / step).cast("int").alias("governor"),
                 i.alias("dependent"),
                 F.lit("dep").alias("dep"),
             ),
         )
-        rows = rows.select("doc_id", "sent", tokens.alias("tokens"), heap.alias("basicDependencies"))
-
-        def phrase(start: int, end: int) -> Column:
-            return F.array_join(
-                F.transform(
-                    F.slice("tokens", start + 1, end - start), lambda t: t["word"]
-                ),
-                " ",
+
+        def triple(spans: list[tuple[Column, Column]]) -> Column:
+            texts = [
+                F.array_join(F.transform(syntax.span_of(F.col("tokens"), s, e), lambda t: t["word"]), " ")
+                for s, e in spans
+            ]
+            names = ("subject", "relation", "object")
+            return F.struct(
+                *[t.alias(n) for t, n in zip(texts, names)],
+                *[F.array(s, e).alias(f"{n}Span") for (s, e), n in zip(spans, names)],
             )
 
-        triple = F.struct(
-            phrase(0, 2).alias("subject"),
-            phrase(3, 4).alias("relation"),
-            phrase(6, 9).alias("object"),
-            F.array(F.lit(0), F.lit(2)).alias("subjectSpan"),
-            F.array(F.lit(3), F.lit(4)).alias("relationSpan"),
-            F.array(F.lit(6), F.lit(9)).alias("objectSpan"),
+        at = lambda i: F.lit(i)
+        n = F.size("tokens")
+        triples = F.array(
+            triple([(at(0), at(2)), (at(3), at(4)), (n - 3, n)]),
+            triple([(at(0), at(1)), (at(2), at(4)), (at(5), at(6))]),
         )
         mentions = F.transform(
             F.filter("tokens", lambda t: t["ner"] != "O"),
             lambda t: F.struct(t["word"].alias("text"), t["ner"].alias("ner")),
         )
-        return rows.select(
+        return built.select(
             "doc_id",
             "sent",
             "tokens",
-            "basicDependencies",
+            tree.alias("basicDependencies"),
             mentions.alias("entitymentions"),
-            F.when(F.size("tokens") >= 9, F.array(triple)).otherwise(F.array()).alias("openie"),
+            F.when(n >= 9, triples).otherwise(F.array()).alias("openie"),
         )
 
     def spans(self) -> DataFrame:
         """One row per triple: its tokens, spans and governor array."""
-        return (
-            self.sentences()
-            .where(F.size("openie") > 0)
-            .select(
-                "doc_id", "sent", "tokens", "entitymentions",
-                syntax.governors(F.col("basicDependencies")).alias("gov"),
-                F.explode("openie").alias("t"),
-            )
-            .select(
-                "doc_id", "sent", "tokens", "entitymentions", "gov", "t.subject", "t.relation", "t.object",
-                *[
-                    F.get(f"t.{name}Span", F.lit(side)).alias(f"{short}_{bound}")
-                    for name, short in (("subject", "subj"), ("relation", "rel"), ("object", "obj"))
-                    for side, bound in ((0, "start"), (1, "end"))
-                ],
-            )
-        )
+        return triple_rows(self.sentences())
 
     def centers(self) -> DataFrame:
         """One centre per label: its vector with the lowest id."""
@@ -250,7 +265,7 @@ FROM (SELECT doc_id, sent, unnest(toks) AS tok, generate_subscripts(toks, 1) AS
         """SELECT doc_id, sent, idx, word, lower(word) AS lemma, pos,
        CASE WHEN pos = 'CD' THEN 'NUMBER' WHEN pos <> 'NNP' THEN 'O' WHEN length(word) % 3 = 0 THEN 'PERSON'
             WHEN length(word) % 3 = 1 THEN 'ORGANIZATION' ELSE 'DURATION' END AS ner,
-       CAST(floor(idx / 2) AS INT) AS gov
+       CAST(floor(idx / (2 + sent % 2)) AS INT) AS gov
 FROM (SELECT doc_id, sent, word,
              CAST(row_number() OVER (PARTITION BY doc_id, sent ORDER BY k) AS INT) AS idx,
              CASE WHEN regexp_matches(word, '^[0-9]') THEN 'CD'
@@ -259,21 +274,46 @@ FROM (SELECT doc_id, sent, word,
                   WHEN length(word) % 4 = 0 THEN 'VBD' ELSE 'NN' END AS pos
       FROM raw_tokens_v WHERE word <> '') t""",
     ),
+    "sents_v": (
+        ["tokens_v"],
+        """SELECT doc_id, sent, list({'word': word, 'lemma': lemma, 'pos': pos, 'ner': ner, 'gov': gov} ORDER BY idx) AS toks,
+       count(*) AS n_tokens
+FROM tokens_v GROUP BY doc_id, sent""",
+    ),
     # One row per triple with its tokens as a list of structs, index = list position.
     "spans_v": (
-        ["tokens_v"],
-        """SELECT doc_id, sent, toks, len(toks) AS n_tokens,
-       0 AS subj_start, 2 AS subj_end, 3 AS rel_start, 4 AS rel_end, 6 AS obj_start, 9 AS obj_end,
-       toks[1].word || ' ' || toks[2].word AS subject, toks[4].word AS relation,
-       toks[7].word || ' ' || toks[8].word || ' ' || toks[9].word AS object
-FROM (SELECT doc_id, sent, list({'word': word, 'lemma': lemma, 'pos': pos, 'ner': ner, 'gov': gov} ORDER BY idx) AS toks
-      FROM tokens_v GROUP BY doc_id, sent) t
-WHERE len(toks) >= 9""",
+        ["sents_v"],
+        """SELECT *, array_to_string(list_transform(toks[subj_start+1:subj_end], lambda t: t.word), ' ') AS subject,
+       array_to_string(list_transform(toks[rel_start+1:rel_end], lambda t: t.word), ' ') AS relation,
+       array_to_string(list_transform(toks[obj_start+1:obj_end], lambda t: t.word), ' ') AS object
+FROM (SELECT doc_id, sent, toks, CAST(n_tokens AS INT) AS n_tokens, 0 AS tpos, 0 AS subj_start, 2 AS subj_end, 3 AS rel_start,
+             4 AS rel_end, CAST(n_tokens - 3 AS INT) AS obj_start, CAST(n_tokens AS INT) AS obj_end FROM sents_v WHERE n_tokens >= 9
+      UNION ALL
+      SELECT doc_id, sent, toks, CAST(n_tokens AS INT), 1, 0, 1, 2, 4, 5, 6 FROM sents_v WHERE n_tokens >= 9) t""",
     ),
-    # Tree path from the object head (token 7) to the subject head, heap governors.
-    "paths_v": (
+    "heads_v": (
         ["spans_v"],
-        """SELECT *, CASE WHEN n_tokens >= 0 THEN [7, 3, 1] END AS path FROM spans_v""",
+        """SELECT doc_id, sent, tpos,
+       coalesce(list_filter(range(obj_start + 1, obj_end + 1), lambda i: toks[i].gov < obj_start + 1 OR toks[i].gov > obj_end)[1], obj_end) AS obj_head,
+       coalesce(list_filter(range(subj_start + 1, subj_end + 1), lambda i: toks[i].gov < subj_start + 1 OR toks[i].gov > subj_end)[1], subj_end) AS subj_head
+FROM spans_v""",
+    ),
+    "walk_v": (
+        ["heads_v"],
+        """SELECT doc_id, sent, tpos, 'o' AS side, obj_head AS node, [obj_head] AS path FROM heads_v
+UNION ALL SELECT doc_id, sent, tpos, 's', subj_head, [subj_head] FROM heads_v
+UNION ALL SELECT w.doc_id, w.sent, w.tpos, w.side, t.gov, list_append(w.path, t.gov)
+FROM walk_v w JOIN tokens_v t ON w.doc_id = t.doc_id AND w.sent = t.sent AND w.node = t.idx WHERE t.gov > 0""",
+    ),
+    # Tree path from the object head to the subject head.
+    "paths_v": (
+        ["walk_v"],
+        """SELECT doc_id, sent, tpos, CASE WHEN meet IS NULL THEN [] ELSE
+       l[1:list_position(l, meet)] || list_reverse(r[1:list_position(r, meet) - 1]) END AS path
+FROM (SELECT *, list_filter(l, lambda x: list_contains(r, x))[1] AS meet
+      FROM (SELECT doc_id, sent, tpos, arg_max(CASE WHEN side = 'o' THEN path END, CASE WHEN side = 'o' THEN len(path) END) AS l,
+                   arg_max(CASE WHEN side = 's' THEN path END, CASE WHEN side = 's' THEN len(path) END) AS r
+            FROM walk_v GROUP BY doc_id, sent, tpos) a) b""",
     ),
     "centers_v": (
         [],
@@ -304,6 +344,9 @@ def sql_with(body: str, *views: str, **extra: str) -> str:
 
     for view in views:
         add(view)
-    parts = [f"{name} AS MATERIALIZED ({VIEWS[name][1]})" for name in ordered]
-    parts += [f"{name} AS MATERIALIZED ({text})" for name, text in extra.items()]
+    recursive = lambda name, text: f" {name} " in text
+    parts = [
+        f"{name} AS {'' if recursive(name, text) else 'MATERIALIZED '}({text})"
+        for name, text in [(n, VIEWS[n][1]) for n in ordered] + list(extra.items())
+    ]
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body

@@ -1,4 +1,4 @@
-"""Features of one sentence, as expressions over its arrays: no explode, no shuffle.
+"""Features of one sentence, computed from its arrays inside the row: no explode, no shuffle.
 
 Spans are ``[start, end)`` with 0-based bounds; heads, governors and paths are
 1-based token indexes and 0 is the artificial root.
@@ -6,8 +6,10 @@ Spans are ``[start, end)`` with 0-based bounds; heads, governors and paths are
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,69 +111,50 @@ def dep_path(gov: Column, start: Column, end: Column) -> Column:
     return join_root_paths(root_path(gov, start), root_path(gov, end))
 
 
+def shortest_between(
+    governor: Iterable[int], dependent: Iterable[int], sources: Iterable[int], targets: Iterable[int]
+) -> list[int]:
+    """Breadth first from the targets, then downhill from the best source."""
+    near: dict[int, set[int]] = {}
+    for g, d in zip(governor, dependent):
+        if g > 0 and d > 0:
+            near.setdefault(g, set()).add(d)
+            near.setdefault(d, set()).add(g)
+    wanted = {int(s) for s in sources}
+    left = {int(t): 0 for t in targets}
+    level = list(left)
+    while level and not wanted & left.keys():
+        reached = {v for u in level for v in near.get(u, ()) if v not in left}
+        left.update((v, left[level[0]] + 1) for v in reached)
+        level = list(reached)
+    starts = [(left[s], s) for s in wanted if s in left]
+    if not starts:
+        return []
+    path = [min(starts)[1]]
+    while left[path[-1]]:
+        path.append(min(v for v in near[path[-1]] if left.get(v) == left[path[-1]] - 1))
+    return [int(v) for v in path]
+
+
 def dep_path_between_sets(edges: Column, sources: Column, targets: Column) -> Column:
     """Shortest path between two token sets in a graph with several governors.
 
-    ``edges`` is ``array<struct<governor, dependent>>`` and undirected. Breadth
-    first inside the row: the graph never leaves its sentence. Of several
-    shortest paths the lexicographically smallest is taken.
+    ``edges`` is ``array<struct<governor, dependent>>`` and undirected. The graph never leaves
+    its sentence, so the search is linear in the row; array expressions would visit every
+    edge for every frontier token. Of several shortest paths the smallest is taken.
     """
-    both = F.concat(
-        F.transform(edges, lambda e: F.struct(e["governor"].alias("u"), e["dependent"].alias("v"))),
-        F.transform(edges, lambda e: F.struct(e["dependent"].alias("u"), e["governor"].alias("v"))),
-    )
-    both = F.filter(both, lambda e: (e["u"] > 0) & (e["v"] > 0))
-
-    def reached(frontier: Column) -> Column:
-        return F.filter(frontier, lambda p: F.array_contains(targets, F.element_at(p, -1)))
-
-    def grow(acc: Column, _: Column) -> Column:
-        nxt = F.flatten(
-            F.transform(
-                acc["frontier"],
-                lambda p: F.transform(
-                    F.filter(
-                        both,
-                        lambda e: (e["u"] == F.element_at(p, -1))
-                        & ~F.array_contains(acc["seen"], e["v"]),
-                    ),
-                    lambda e: F.array_append(p, e["v"]),
-                ),
-            )
-        )
-        ordered = F.array_sort(nxt)
-        best = F.filter(
-            ordered,
-            lambda p, i: ~F.exists(
-                F.slice(ordered, F.lit(1), i),
-                lambda q: F.element_at(q, -1) == F.element_at(p, -1),
-            ),
-        )
-        done = (F.size(reached(acc["frontier"])) > 0) | (F.size(acc["frontier"]) == 0)
-        return F.when(done, acc).otherwise(
-            F.struct(
-                best.alias("frontier"),
-                F.array_union(
-                    acc["seen"], F.transform(best, lambda p: F.element_at(p, -1))
-                ).alias("seen"),
-            )
+
+    @F.pandas_udf("array<int>")
+    def search(gov: pd.Series, dep: pd.Series, src: pd.Series, dst: pd.Series) -> pd.Series:
+        return pd.Series(
+            [shortest_between(*row) for row in zip(gov, dep, src, dst)], dtype=object
         )
 
-    empty = F.array().cast("array<array<int>>")
-    start = F.struct(
-        F.coalesce(F.transform(F.array_sort(sources), lambda s: F.array(s)), empty).alias(
-            "frontier"
-        ),
-        sources.alias("seen"),
-    )
-    steps = F.sequence(F.lit(0), F.size(edges))
-    return F.aggregate(
-        steps,
-        start,
-        grow,
-        lambda acc: F.coalesce(
-            F.array_min(reached(acc["frontier"])), F.array().cast("array<int>")
-        ),
+    return search(
+        F.transform(edges, lambda e: e["governor"]),
+        F.transform(edges, lambda e: e["dependent"]),
+        sources,
+        targets,
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tripleloom import schemas
 from tripleloom.functions import vocab
 
-SPACE = r"[ \t\n\r\f\x0B ]"
+SPACE = r"[ \t\n\r\f\x0B\u00A0]"
 
 
 def strip(col: Column, space: str = SPACE) -> Column:
@@ -21,7 +21,7 @@ def strip(col: Column, space: str = SPACE) -> Column:
 def clean_text(col: Column) -> Column:
     """Encyclopedia text without citation marks, parentheses and blank lines."""
     text = F.regexp_replace(strip(col), r"\n{2,}", "\n")
-    for pattern in (r"\[[0-9]+\]", r" ", r"\\'[^s]", r"\([^\n]+\)"):
+    for pattern in (r"\[[0-9]+\]", r"\u00A0", r"\\'[^s]", r"\([^\n]+\)"):
         text = F.regexp_replace(text, pattern, " ")
     text = strip(F.regexp_replace(text, r" {2,}", " "))
     has_line_break = F.contains(text, F.lit("\n"))
@@ -86,7 +86,7 @@ def _fold_table() -> tuple[str, str]:
 MULTI_FOLD = [
     ("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("þ", "th"), ("Þ", "Th"),
     ("ø", "o"), ("Ø", "O"), ("đ", "d"), ("Đ", "D"), ("ł", "l"), ("Ł", "L"), ("ð", "d"), ("ı", "i"),
-    ("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "--"), (" ", " "),
+    ("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "--"), ("\u00a0", " "),
 ]
 FOLD_FROM, FOLD_TO = _fold_table()
 

@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from tripleloom.operators.numbering import hash_int, hash_unit, numbered, repeat_rows, top_per_group
 
 
+# Between packed texts; must not occur in them.
+DELIMITER = " \u241f "
+
+
 def top_per_cluster(df: DataFrame, n: int = 999) -> DataFrame:
     """Best n rows by score in each cluster; ties by (subject, relation, object)."""
     order = [F.col("score").desc(), F.col("subject"), F.col("relation"), F.col("object")]
@@ -118,7 +122,7 @@ def split_labelled(df: DataFrame, label: str = "label") -> tuple[DataFrame, Data
 
 
 def pack_chunks(
-    df: DataFrame, key: str, text: str, max_chars: int = 10000, delimiter: str = " | ",
+    df: DataFrame, key: str, text: str, max_chars: int = 10000, delimiter: str = DELIMITER,
     shard_rows: int = 1024,
 ) -> DataFrame:
     """Consecutive texts packed with a delimiter into chunks of about ``max_chars``.
@@ -143,7 +147,7 @@ def pack_chunks(
     )
 
 
-def unpack_chunks(df: DataFrame, key: str, delimiter: str = " | ") -> DataFrame:
+def unpack_chunks(df: DataFrame, key: str, delimiter: str = DELIMITER) -> DataFrame:
     """Chunk texts back to one row per text, in order."""
     pieces = F.split("text", "\\Q" + delimiter + "\\E")
     return df.select("keys", F.posexplode(pieces).alias("_i", "piece")).select(

@@ -30,7 +30,7 @@ def read_annotations(spark: SparkSession, path: str, multi_line: bool = True) ->
     form); without it there is one sentence per line, which splits within large files.
     """
     rows = spark.read.schema(schemas.SENTENCE).json(path, multiLine=multi_line)
-    return rows.select(_stem("_metadata.file_name").alias("doc_id"), *schemas.SENTENCE.fieldNames())
+    return rows.select(_stem("_metadata.file_name").alias("doc_id"), *schemas.SENTENCE_FIELDS)
 
 
 def read_gold(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
