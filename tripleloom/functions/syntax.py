@@ -6,7 +6,7 @@ Spans are ``[start, end)`` with 0-based bounds; heads, governors and paths are
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 import pandas as pd
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from tripleloom.functions.vocab import ENGLISH_STOP, PUNCTUATION
 
 
-def string_array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body (or a lambda in
+    it) refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def span_of(tokens: Column, start: Column, end: Column) -> Column:
@@ -98,12 +100,25 @@ def root_path(gov: Column, start: Column) -> Column:
 
 def join_root_paths(left: Column, right: Column) -> Column:
     """Path between two tokens from their two root paths; empty when they never meet."""
-    meet = F.get(F.filter(left, lambda x: F.array_contains(right, x)), F.lit(0))
-    up = F.slice(left, F.lit(1), F.array_position(left, meet).cast("int"))
-    down = F.slice(right, F.lit(1), (F.array_position(right, meet) - 1).cast("int"))
-    return F.when(meet.isNull(), F.array().cast("array<int>")).otherwise(
-        F.concat(up, F.reverse(down))
-    )
+
+    def cut(pair: Column) -> Column:
+        up_to = F.array_position(pair["l"], pair["meet"]).cast("int")
+        down_to = (F.array_position(pair["r"], pair["meet"]) - 1).cast("int")
+        return F.when(pair["meet"].isNull(), F.array().cast("array<int>")).otherwise(
+            F.concat(
+                F.slice(pair["l"], F.lit(1), up_to),
+                F.reverse(F.slice(pair["r"], F.lit(1), down_to)),
+            )
+        )
+
+    def meet(pair: Column) -> Column:
+        shared = F.filter(pair["l"], lambda x: F.array_contains(pair["r"], x))
+        found = F.struct(
+            pair["l"].alias("l"), pair["r"].alias("r"), F.get(shared, F.lit(0)).alias("meet")
+        )
+        return bind(found, cut)
+
+    return bind(F.struct(left.alias("l"), right.alias("r")), meet)
 
 
 def dep_path(gov: Column, start: Column, end: Column) -> Column:
