@@ -143,17 +143,12 @@ _Q_TOKENS = "list_filter(string_split_regex({}, '[^0-9a-z'']+'), lambda w: w <>
 
 @case(
     "t05_tokenize_question",
-    "SELECT conv_id, turn, role, count(*) AS n, array_to_string(list_sort(list(toks)), ' / ') AS toks FROM (SELECT conv_id, turn, role, array_to_string("
-    + _Q_TOKENS.format(sql_norm("text"))
-    + ", ' ') AS toks FROM conversations) x GROUP BY conv_id, turn, role",
+    f"SELECT conv_id, turn, role, array_to_string({_Q_TOKENS.format(sql_norm('text'))}, ' ') AS toks FROM conversations",
 )
 def _(t: Tables) -> DataFrame:
-    rows = t.conversations.select(
+    return t.conversations.select(
         "conv_id", "turn", "role", joined(text.tokenize_question(F.col("text")), " ").alias("toks")
     )
-    return rows.groupBy("conv_id", "turn", "role").agg(
-        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("toks")), " / ").alias("toks")
-    )
 
 
 # --- syntax -------------------------------------------------------------------------------
