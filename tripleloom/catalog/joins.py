@@ -165,7 +165,7 @@ def _(t: Tables) -> DataFrame:
 
 
 _RAW_MAP = (
-    "SELECT *, CASE WHEN part = 'train' AND contains(property_decoded, 'p') THEN upper(property_decoded) || substr(subject_decoded, 10, 6) END AS mapped_raw FROM questions_v"
+    "SELECT *, CASE WHEN part = 'train' AND contains(property_decoded, 'o') THEN upper(property_decoded) || substr(subject_decoded, 10, 6) END AS mapped_raw FROM questions_v"
 )
 _MAPPER = (
     "SELECT property_decoded, mapped_raw FROM (SELECT *, row_number() OVER (PARTITION BY property_decoded ORDER BY subject_decoded, object_decoded) AS rn "
@@ -176,7 +176,7 @@ _MAPPER = (
 def raw_map(t: Tables) -> DataFrame:
     """Some training questions carry a hand-made relation name."""
     made = F.concat(F.upper("property_decoded"), F.substr("subject_decoded", F.lit(10), F.lit(6)))
-    picked = (F.col("part") == "train") & F.contains("property_decoded", F.lit("p"))
+    picked = (F.col("part") == "train") & F.contains("property_decoded", F.lit("o"))
     return t.questions().withColumn("mapped_rel", F.when(picked, made))
 
 

@@ -92,11 +92,12 @@ FOLD_FROM, FOLD_TO = _fold_table()
 
 
 def fold_ascii(col: Column) -> Column:
-    """Latin letters to ASCII; other scripts stay as they are."""
+    """Latin letters to ASCII; other scripts stay as they are. Plain ASCII is passed through."""
     text = F.translate(col, FOLD_FROM, FOLD_TO)
-    return reduce(
+    folded = reduce(
         lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), MULTI_FOLD, text
     )
+    return F.when(F.octet_length(col) == F.length(col), col).otherwise(folded)
 
 
 def norm_key(col: Column) -> Column:
