@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -370,18 +370,20 @@ def gmm(df: DataFrame, k: int, vec: str = "vec", seed: int = 42) -> DataFrame:
     return centers_frame(df.sparkSession, np.arange(len(matrix)), matrix)
 
 
-def latent(df: DataFrame, d: int, vec: str = "vec", out: str = "latent") -> DataFrame:
-    """Low-dimensional code: principal components, the optimum of a linear autoencoder.
+def fit_latent(df: DataFrame, d: int, vec: str = "vec") -> PCAModel:
+    """Principal components, the optimum of a linear autoencoder."""
+    data = df.select(as_vector(vec).alias("_features"))
+    return PCA(k=d, inputCol="_features", outputCol="_code").fit(data)
 
-    A precomputed code column can take its place anywhere.
-    """
-    data = df.withColumn("_features", as_vector(vec))
-    model = PCA(k=d, inputCol="_features", outputCol="_code").fit(data)
-    return (
-        model.transform(data)
-        .withColumn(out, vector_to_array("_code"))
-        .drop("_features", "_code")
-    )
+
+def encode(model: PCAModel, df: DataFrame, vec: str = "vec", out: str = "latent") -> DataFrame:
+    coded = model.transform(df.withColumn("_features", as_vector(vec)))
+    return coded.withColumn(out, vector_to_array("_code")).drop("_features", "_code")
+
+
+def latent(df: DataFrame, d: int, vec: str = "vec", out: str = "latent") -> DataFrame:
+    """Low-dimensional code of a vector. A precomputed code column can take its place anywhere."""
+    return encode(fit_latent(df, d, vec), df, vec, out)
 
 
 def standard_stats(df: DataFrame, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:

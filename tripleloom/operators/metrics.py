@@ -202,8 +202,8 @@ def clustering_accuracy(df: DataFrame, true: str, pred: str) -> DataFrame:
         best = sum(int(w[i, j]) for i, j in best_assignment(w))
         return pd.DataFrame({"matched": [best], "total": [int(w.sum())]})
 
-    cells = contingency(df, true, pred)
-    solved = cells.groupBy(F.lit(0)).applyInPandas(solve, "matched bigint, total bigint")
+    cells = contingency(df, true, pred).withColumn("_all", F.lit(0))
+    solved = cells.groupBy("_all").applyInPandas(solve, "matched bigint, total bigint")
     return solved.withColumn("accuracy", F.col("matched") / F.col("total"))
 
 
@@ -227,7 +227,10 @@ def classification_report(df: DataFrame, true: str, pred: str) -> DataFrame:
     counts = cells.select(F.inline(sides)).groupBy("label").agg(
         *[F.sum(c).alias(c) for c in ("n_true", "n_pred", "hit")]
     )
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+
+    def ratio(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a / b).otherwise(0.0)
+
     hit = F.col("hit")
     per_label = counts.select(
         "label",
