@@ -108,8 +108,8 @@ def _(t: Tables) -> DataFrame:
     return joins.remove_matched(gold, hits).select("subject_decoded", "object_decoded", "part")
 
 
-# Matched pairs whose score is the highest one: they cover only some of the properties.
-_SOME = "SELECT DISTINCT relation AS property_decoded FROM pairs_v WHERE subject = 'customer#000000001'"
+# Matched pairs of some relations only.
+_SOME = "SELECT DISTINCT relation AS property_decoded FROM pairs_v WHERE contains(relation, 'o')"
 
 
 @case(
@@ -121,9 +121,8 @@ _SOME = "SELECT DISTINCT relation AS property_decoded FROM pairs_v WHERE subject
     ),
 )
 def _(t: Tables) -> DataFrame:
-    """Properties of one customer's matched pairs."""
     gold = t.questions()
-    hits = t.pairs().where("subject = 'customer#000000001'").select(F.col("relation").alias("property_decoded"))
+    hits = t.pairs().where(F.contains("relation", F.lit("o"))).select(F.col("relation").alias("property_decoded"))
     left = joins.keep_valid_properties(gold, hits).groupBy("property_decoded", "part").agg(F.count("*").alias("n"))
     gone = joins.removed_properties(gold, hits)
     return left.withColumn("state", F.lit("kept")).unionByName(
@@ -407,9 +406,9 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-# A category tree: region > nation > customer, with every region below one root.
+# A category tree: region > nation > customer; the regions are the roots.
 _TREE = (
-    "SELECT 'root' AS parent, r_name AS child FROM region UNION ALL SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey "
+    "SELECT r_name AS parent, n_name AS child FROM nation JOIN region ON n_regionkey = r_regionkey "
     "UNION ALL SELECT n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey"
 )
 
@@ -419,20 +418,18 @@ _TREE = (
     sql_with(
         "SELECT category FROM below_v",
         tree_v=_TREE,
-        below_v="SELECT 'root' AS category UNION SELECT child FROM below_v b JOIN tree_v t ON b.category = t.parent",
+        below_v="SELECT r_name AS category FROM region UNION SELECT child FROM below_v b JOIN tree_v t ON b.category = t.parent",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    regions = t.region.select(F.lit("root").alias("parent"), F.col("r_name").alias("child"))
     nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("r_name").alias("parent"), F.col("n_name").alias("child")
     )
     customers = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("n_name").alias("parent"), F.col("c_name").alias("child")
     )
-    tree = regions.unionByName(nations).unionByName(customers)
-    roots = regions.select(F.col("parent").alias("category")).distinct()
-    return joins.expand_categories(roots, tree, 4)
+    roots = t.region.select(F.col("r_name").alias("category"))
+    return joins.expand_categories(roots, nations.unionByName(customers), 4)
 
 
 @case(

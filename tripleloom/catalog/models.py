@@ -371,7 +371,7 @@ def _(t: Tables) -> DataFrame:
 
 
 _MULTI_TRAIN = (
-    "SELECT q.question, x.label FROM questions_v q JOIN (SELECT DISTINCT relation, cluster AS label FROM pairs_v WHERE cluster % 3 = 0) x ON x.relation = q.property_decoded WHERE q.part = 'train'"
+    "SELECT q.question, x.label FROM questions_v q JOIN (SELECT DISTINCT relation, cluster AS label FROM pairs_v WHERE cluster < 4) x ON x.relation = q.property_decoded WHERE q.part = 'train'"
 )
 
 
@@ -383,8 +383,8 @@ _MULTI_TRAIN = (
     ),
 )
 def _(t: Tables) -> DataFrame:
-    """Labels: the clusters of the property that are multiples of three."""
-    lists = t.pairs().where("cluster % 3 = 0").select(F.col("relation").alias("property_decoded"), "cluster").distinct()
+    """Labels: the first four clusters, where the property has them."""
+    lists = t.pairs().where("cluster < 4").select(F.col("relation").alias("property_decoded"), "cluster").distinct()
     lists = lists.groupBy("property_decoded").agg(F.array_join(F.collect_set("cluster").cast("array<string>"), " ").alias("labels"))
     gold = t.questions().join(lists, "property_decoded")
     model = classify.train_multilabel(gold.where("part = 'train'"))
