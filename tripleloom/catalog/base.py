@@ -18,6 +18,7 @@ from tripleloom.functions import syntax
 from tripleloom.operators.distinct import first_per_key
 from tripleloom.operators.dense import nearest_center
 from tripleloom.plans.features import triple_rows
+from tripleloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._stages: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
@@ -68,7 +70,13 @@ class Tables:
         """
         df = getattr(self, name)
         cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
+
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that a query uses more than once, written once per query."""
+        if name not in self._stages:
+            self._stages[name] = cut_lineage(build(), name)
+        return self._stages[name]
 
     def triples(self) -> DataFrame:
         """One row per line item, read as (subject, relation, object)."""
@@ -93,12 +101,18 @@ class Tables:
 
     def pairs(self) -> DataFrame:
         """The first triple of every (subject, object)."""
+        if "pairs" in self._stages:
+            return self._stages["pairs"]
         return first_per_key(
             self.triples(), ["subject", "object"], ["doc_id", "pos"], ["relation", "score", "cluster"]
         )
 
     def questions(self) -> DataFrame:
-        """Gold questions: every pair, every 14th customer with the roles reversed."""
+        """Gold questions: every pair, every 14th customer with the roles reversed.
+
+        Queries use the pairs again next to the questions, so they are written once.
+        """
+        self.stage("pairs", self.pairs)
         number = F.substr("subject", F.lit(10)).cast("int")
         reverse = number % 14 == 0
         return self.pairs().select(
@@ -120,23 +134,21 @@ class Tables:
         split = self.spread("documents").select(
             "doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sent", "body")
         )
-        words = F.filter(
-            F.transform(
-                F.split("body", r"[ \t]+"), lambda w: F.regexp_replace(w, "[^0-9A-Za-z]", "")
-            ),
-            lambda w: w != "",
-        )
+        cleaned = F.regexp_replace("body", r"[^0-9A-Za-z \t]", "")
+        words = F.filter(F.split(cleaned, r"[ \t]+"), lambda w: w != "")
         rows = split.select("doc_id", "sent", words.alias("words")).where(F.size("words") > 0)
 
         def token(word: Column, i: Column) -> Column:
-            pos = rule_pos(word)
-            return F.struct(
-                (i + 1).cast("int").alias("index"),
-                word.alias("word"),
-                word.alias("originalText"),
-                F.lower(word).alias("lemma"),
-                pos.alias("pos"),
-                rule_ner(word, pos).alias("ner"),
+            return syntax.bind(
+                rule_pos(word),
+                lambda pos: F.struct(
+                    (i + 1).cast("int").alias("index"),
+                    word.alias("word"),
+                    word.alias("originalText"),
+                    F.lower(word).alias("lemma"),
+                    pos.alias("pos"),
+                    rule_ner(word, pos).alias("ner"),
+                ),
             )
 
         # The one-row generator keeps later filters from computing the tokens again.
@@ -205,9 +217,9 @@ def rule_pos(word: Column) -> Column:
     preps = ["above", "across", "after", "at", "by", "for", "from", "in", "into", "of", "on", "to",
              "under", "up"]
     return (
-        F.when(word.rlike("^[0-9]"), "CD")
+        F.when(F.substr(word, F.lit(1), F.lit(1)).between("0", "9"), "CD")
         .when(F.lower(word).isin(preps), "IN")
-        .when(word.rlike("^[A-Z]"), "NNP")
+        .when(F.substr(word, F.lit(1), F.lit(1)).between("A", "Z"), "NNP")
         .when(F.length(word) % 4 == 0, "VBD")
         .otherwise("NN")
     )

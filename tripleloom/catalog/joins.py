@@ -48,7 +48,7 @@ def qa_sql(body: str, upto: str) -> str:
 
 
 def matched(t: Tables) -> DataFrame:
-    return answering.gold_with_cluster(t.questions(), t.pairs())
+    return t.stage("matched", lambda: answering.gold_with_cluster(t.questions(), t.pairs()))
 
 
 def asked(t: Tables) -> DataFrame:

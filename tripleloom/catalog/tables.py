@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.catalog.base import Tables, case, joined, sql_with
-from tripleloom.catalog.joins import GOLD_COLUMNS, MATCHED_SQL, sql_hash
+from tripleloom.catalog.joins import GOLD_COLUMNS, MATCHED_SQL, matched, sql_hash
 from tripleloom.operators import aggregates, distinct, metrics, windows
 from tripleloom.operators.joins import match_gold
 from tripleloom.plans import answering
@@ -118,7 +118,7 @@ def _(t: Tables) -> DataFrame:
 
 # Scores compare the property of a gold question with its cluster, and vector labels with nearest centres.
 def label_pairs(t: Tables) -> dict[str, DataFrame]:
-    gold = answering.gold_with_cluster(t.questions(), t.pairs())
+    gold = matched(t)
     return {
         "gold": gold.select(F.col("property_decoded").alias("t"), F.col("cluster").alias("p")),
         "vectors": t.assigned().select(F.col("label").alias("t"), F.col("cluster").alias("p")),
@@ -270,7 +270,7 @@ _MULTI_LIST = (
 
 def label_lists(t: Tables) -> DataFrame:
     """Assigned: the upper half of the clusters, where the property has them; predicted: the own cluster and the next one."""
-    gold = answering.gold_with_cluster(t.questions(), t.pairs())
+    gold = matched(t)
     mapping = aggregates.property_to_cluster_multi(gold.where("cluster >= 5"))
     return gold.join(mapping, "property_decoded").select(
         F.split("assigned", " ").cast("array<int>").alias("own"),

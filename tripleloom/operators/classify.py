@@ -12,42 +12,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.functions.text import tokenize_question
+from tripleloom.session import cut_lineage
+
+
+# Stands in every text, so that rows are counted like a word and no text is without one.
+ROW = ""
 
 
 @dataclass
 class CountModel:
     """Add-one naive Bayes as two tables.
 
-    ``tokens``: per token its (label, ln(count + 1)) entries, at most one per label.
-    ``labels``: one row per label with its log prior and log denominator.
+    ``tokens``: per token its (label, weight) entries, at most one per label, and whether it
+    is a ``known`` word. ``labels``: one row per label with its log prior and log denominator.
     """
 
     tokens: DataFrame
     labels: DataFrame
 
 
+def words_of(text: Column) -> Column:
+    return F.array_append(tokenize_question(text), F.lit(ROW))
+
+
 def train_counts(train: DataFrame, text: str = "question", label: str = "label") -> CountModel:
-    """Counts by (label, token). Equal questions are merged before they are split into words."""
+    """Counts by (label, token), one pass over the data and written once; the rest reads only those.
+
+    Equal questions are merged before they are split into words.
+    """
     merged = train.groupBy(F.col(text).alias("_q"), F.col(label).alias("label")).agg(
         F.count("*").alias("m")
     )
-    words = merged.select("label", "m", F.explode(tokenize_question(F.col("_q"))).alias("token"))
-    counts = words.groupBy("label", "token").agg(F.sum("m").alias("c"))
-    vocabulary = counts.select("token").distinct().agg(F.count("*")).scalar()
-    rows = merged.groupBy("label").agg(F.sum("m").alias("rows"))
-    sizes = counts.groupBy("label").agg(F.sum("c").alias("total"))
-    everything = train.agg(F.count("*")).scalar()
-    labels = (
-        rows.join(sizes, "label", "left")
-        .select("*", vocabulary.alias("v"), everything.alias("n"))
-        .select(
-            "label",
-            F.log(F.col("rows") / F.col("n")).alias("prior"),
-            F.log((F.coalesce("total", F.lit(0)) + F.col("v")).cast("double")).alias("denominator"),
-        )
+    words = merged.select("label", "m", F.explode(words_of(F.col("_q"))).alias("token"))
+    counts = cut_lineage(words.groupBy("label", "token").agg(F.sum("m").alias("c")), "counts")
+    is_word = F.col("token") != ROW
+    vocabulary = counts.where(is_word).select("token").distinct().agg(F.count("*")).scalar()
+    everything = counts.where(~is_word).agg(F.sum("c")).scalar()
+    sizes = counts.groupBy("label").agg(
+        F.sum(F.when(is_word, F.col("c")).otherwise(0)).alias("total"),
+        F.sum(F.when(~is_word, F.col("c"))).alias("rows"),
+    )
+    labels = sizes.select("*", vocabulary.alias("v"), everything.alias("n")).select(
+        "label",
+        F.log(F.col("rows") / F.col("n")).alias("prior"),
+        F.log((F.col("total") + F.col("v")).cast("double")).alias("denominator"),
+    )
+    entry = F.when(is_word, F.struct("label", F.log(F.col("c") + 1.0).alias("weight")))
+    tokens = counts.groupBy("token").agg(
+        F.collect_list(entry).alias("entries"), F.max(is_word).alias("known")
     )
-    entries = F.collect_list(F.struct("label", F.log(F.col("c") + 1.0).alias("weight")))
-    return CountModel(counts.groupBy("token").agg(entries.alias("entries")), labels)
+    return CountModel(tokens, labels)
 
 
 def predict_counts(model: CountModel, df: DataFrame, text: str = "question") -> DataFrame:
@@ -56,24 +70,31 @@ def predict_counts(model: CountModel, df: DataFrame, text: str = "question") ->
     Only the labels a token was seen with meet the text; the rest share a base
     score that depends on the label and the number of known tokens.
     """
-    texts = df.select(F.col(text).alias("_q")).distinct()
-    words = texts.select("_q", F.explode(tokenize_question(F.col("_q"))).alias("token"))
-    hits = words.join(model.tokens, "token")
-    per_label = hits.select("_q", F.inline("entries")).groupBy("_q", "label").agg(
-        F.sum("weight").alias("s")
+    words = df.select(F.col(text).alias("_q")).distinct().select(
+        "_q", F.explode(words_of(F.col("_q"))).alias("token")
+    )
+    mark = F.struct(
+        F.lit(None).alias("label"), F.col("known").cast("double").alias("weight")
+    )
+    per_label = (
+        words.join(model.tokens, "token")
+        .select("_q", F.inline(F.array_append("entries", mark)))
+        .groupBy("_q", "label")
+        .agg(F.sum("weight").alias("s"))
     )
-    seen = per_label.groupBy("_q").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("_seen")
+    seen = F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "s")))
+    joined = per_label.groupBy("_q").agg(
+        F.map_from_entries(seen).alias("_seen"),
+        F.max(F.when(F.col("label").isNull(), F.col("s"))).alias("_n"),
     )
-    known = hits.groupBy("_q").agg(F.count("*").alias("_n"))
     base = model.labels.agg(
         F.array_sort(F.collect_list(F.struct("label", "prior", "denominator")))
     ).scalar()
-    joined = texts.join(seen, "_q", "left").join(known, "_q", "left").select("*", base.alias("_base"))
+    joined = joined.select("*", base.alias("_base"))
 
     def score(b: Column) -> Column:
         found = F.coalesce(F.try_element_at("_seen", b["label"]), F.lit(0.0))
-        return F.round(b["prior"] - F.coalesce("_n", F.lit(0)) * b["denominator"] + found, 9)
+        return F.round(b["prior"] - F.col("_n") * b["denominator"] + found, 9)
 
     scores = F.transform(
         "_base", lambda b: F.struct((-score(b)).alias("cost"), b["label"].alias("label"))

@@ -209,7 +209,10 @@ def contained_keys(df: DataFrame, text: str, keys: DataFrame, key: str, by: list
 
     Written as an equi join: the substrings of the text at the lengths that keys
     have, each once. The work per row depends on its own text, never on the number of keys.
+    The rows are spread first, by an explicit number of partitions: they are small before and
+    many times larger after this step, which adaptive merging of partitions cannot see.
     """
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lengths = keys.select(F.length(key).alias("_l")).distinct().agg(
         F.coalesce(F.array_sort(F.collect_list("_l")), F.array().cast("array<int>"))
     )

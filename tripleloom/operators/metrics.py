@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tripleloom.operators.numbering import repeat_rows
+from tripleloom.session import cut_lineage
 
 
 def contingency(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -137,8 +138,11 @@ def expected_mutual_information(table: DataFrame) -> DataFrame:
 
 
 def ami(df: DataFrame, true: str, pred: str) -> DataFrame:
-    """Adjusted mutual information, arithmetic mean normaliser."""
-    table = contingency(df, true, pred)
+    """Adjusted mutual information, arithmetic mean normaliser.
+
+    The contingency table is needed several times and is written once, so that the data is read once.
+    """
+    table = cut_lineage(contingency(df, true, pred), "contingency")
     info = _information(_level_sums(table))
     scored = info.select("*", expected_mutual_information(table).scalar().alias("emi"))
     mean = (F.col("h_t") + F.col("h_p")) / 2

@@ -75,12 +75,17 @@ def numbered(df: DataFrame, order: str, by: list[str] = (), name: str = "rn") ->
 
 
 def repeat_rows(df: DataFrame, times: str, name: str = "i", chunk: int = CHUNK) -> DataFrame:
-    """``times`` copies of each row numbered from 1, in bounded pieces spread over the tasks."""
+    """``times`` copies of each row numbered from 1, in bounded pieces spread over the tasks.
+
+    The number of partitions is explicit, or adaptive execution would merge the few rows there are
+    before they are repeated.
+    """
     last = F.ceil(F.col(times) / chunk).cast("bigint")
     pieces = df.where(F.col(times) > 0).select(
         "*", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("_piece")
     )
-    spread = pieces.repartition(F.xxhash64(*df.columns, "_piece"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pieces.repartition(partitions, *df.columns, "_piece")
     start = (F.col("_piece") - 1) * chunk + 1
     end = F.least(F.col("_piece") * chunk, F.col(times).cast("bigint"))
     return spread.select(*df.columns, F.explode(F.sequence(start, end)).alias(name))

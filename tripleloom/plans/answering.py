@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripleloom.functions.text import norm_key
 from tripleloom.operators import aggregates, filters, joins, qa
 from tripleloom.operators.distinct import distinct_pairs
+from tripleloom.session import cut_lineage
 
 
 def normalized_gold(gold: DataFrame) -> DataFrame:
@@ -48,7 +49,10 @@ def with_entity(questions: DataFrame) -> DataFrame:
 
 
 def question_table(gold: DataFrame, triples: DataFrame) -> DataFrame:
-    """One row per answerable gold question, scored."""
-    matched = gold_with_cluster(gold, triples)
+    """One row per answerable gold question, scored.
+
+    The matched questions serve twice, for the property's cluster and for the answers.
+    """
+    matched = cut_lineage(gold_with_cluster(gold, triples), "matched")
     asked = with_entity(predict_by_property(matched))
     return qa.score_answers(asked, triples)
