@@ -45,6 +45,22 @@ def test_query(spark, sf, db, name):
         assert mine == rows_of(names, cursor.fetchall())
 
 
+@pytest.mark.parametrize("name", ["w01_top_per_cluster", "w02_sample_per_cluster", "s07_export_cluster_json"])
+def test_groups_are_cut_before_the_shuffle(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_first_per_key_is_combined_before_the_shuffle(spark, sf):
+    plan = QUERIES["d02_distinct_pairs"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan
+
+
+def test_vector_scans_read_only_what_they_use(spark, sf):
+    plan = QUERIES["m07_hard_assign"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan
+
+
 def test_right_cluster_always_has_the_answer(spark, sf):
     row = QUERIES["a18_qa_scores"](spark, sf).first()
     assert row["accuracy_given_cluster"] == 1.0

@@ -9,7 +9,7 @@ from tripleloom.streaming import jobs
 def test_text_docs(spark, tmp_path):
     (tmp_path / "b.txt").write_text("second\nline")
     (tmp_path / "a.txt").write_text("first")
-    got = [tuple(r) for r in readers.read_text_docs(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in readers.read_text_docs(spark, str(tmp_path), ordered=True).collect()]
     assert got == [("a", "first"), ("b", "second\nline")]
 
 

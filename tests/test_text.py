@@ -35,6 +35,7 @@ def test_html(spark):
 
 def test_norm_key(spark):
     assert value(spark, "  Straße ÆØ Ångström Łódź ", text.norm_key) == "strasse aeo angstrom lodz"
+    assert value(spark, "Ti\u1ebfng Vi\u1ec7t e\u0301", text.norm_key) == "tieng viet e"
     assert value(spark, "Plain ASCII", text.norm_key) == "plain ascii"
 
 

@@ -136,7 +136,10 @@ class Tables:
         )
         cleaned = F.regexp_replace("body", r"[^0-9A-Za-z \t]", "")
         words = F.filter(F.split(cleaned, r"[ \t]+"), lambda w: w != "")
-        rows = split.select("doc_id", "sent", words.alias("words")).where(F.size("words") > 0)
+        # One-row generators keep the filters that follow from computing their input again.
+        rows = split.select("doc_id", "sent", F.explode(F.array(words)).alias("words")).where(
+            F.size("words") > 0
+        )
 
         def token(word: Column, i: Column) -> Column:
             return syntax.bind(
@@ -151,7 +154,6 @@ class Tables:
                 ),
             )
 
-        # The one-row generator keeps later filters from computing the tokens again.
         built = rows.select(
             "doc_id", "sent", F.explode(F.array(F.transform("words", token))).alias("tokens")
         )

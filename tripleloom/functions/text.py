@@ -70,16 +70,20 @@ def html_title(html: Column) -> Column:
 
 
 def _fold_table() -> tuple[str, str]:
-    """Latin letters with a canonical one-letter ASCII base, by rule from Unicode itself."""
+    """Latin letters with a canonical one-letter ASCII base, by rule from Unicode itself.
+
+    Combining marks come last, beyond the replacements, and so are deleted.
+    """
     source, target = [], []
-    for code in range(0x00C0, 0x0250):
+    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
         char = chr(code)
         base = unicodedata.normalize("NFKD", char)
         base = "".join(c for c in base if not unicodedata.combining(c))
         if len(base) == 1 and base.isascii() and base != char:
             source.append(char)
             target.append(base)
-    return "".join(source), "".join(target)
+    marks = [chr(code) for code in range(0x0300, 0x0370)]
+    return "".join(source + marks), "".join(target)
 
 
 # Letters without a canonical decomposition.

@@ -14,13 +14,12 @@ def _stem(name: str) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file: (doc_id, text), in name order."""
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(_stem("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
-        .orderBy("doc_id")
+def read_text_docs(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """One row per text file: (doc_id, text); in name order on request, which sorts all texts."""
+    docs = spark.read.text(path, wholetext=True).select(
+        _stem("_metadata.file_name").alias("doc_id"), F.col("value").alias("text")
     )
+    return docs.orderBy("doc_id") if ordered else docs
 
 
 def read_annotations(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
