@@ -1,15 +1,21 @@
 """Operators for large training-data pipelines, with the queries registered for them."""
 
+from tripleloom.llm.decontaminate import op3_decontamination
 from tripleloom.llm.hilbert_pack import op10_hilbert_packing
+from tripleloom.llm.html_consensus import op9_main_text
+from tripleloom.llm.license_scan import op7_licenses
+from tripleloom.llm.quality_crf import op2_quality
 from tripleloom.llm.rule_ledger import OP8_SQL, op8_quality_rules
 from tripleloom.llm.secret_scan import op5_secrets
 from tripleloom.llm.simhash_pivots import op6_simhash
 from tripleloom.llm.token_counts import op4_token_counts
+from tripleloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op4_token_counts, op5_secrets, op6_simhash, op8_quality_rules, op10_hilbert_packing,
+        op1_toxicity, op2_quality, op3_decontamination, op4_token_counts, op5_secrets, op6_simhash,
+        op7_licenses, op8_quality_rules, op9_main_text, op10_hilbert_packing,
     )
 }
 ORACLES = {"op8_quality_rules": OP8_SQL}

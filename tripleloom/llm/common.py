@@ -48,10 +48,12 @@ def map_slices(
 
     ``make()`` runs once per task and gives a function of the input columns, as
     lists of at most ``rows`` values, that returns one list per column of
-    ``added`` (a DDL string). Only ``keep`` and ``inputs`` are read.
+    ``added`` (a DDL string). Only ``keep`` and ``inputs`` are read. A kept column
+    with the name of a new one is replaced by it.
     """
-    keep = df.columns if keep is None else keep
     new = StructType.fromDDL(added)
+    replaced = {f.name.lower() for f in new.fields}
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in replaced]
     schema = StructType([df.schema[c] for c in keep] + new.fields)
     arrow = to_arrow_schema(schema)
     places = {c: i for i, c in enumerate(dict.fromkeys([*keep, *inputs]))}
