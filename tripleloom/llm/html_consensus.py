@@ -147,6 +147,8 @@ def parse(source: str) -> Page:
             depth = next((d for d in range(len(open_) - 1, 0, -1) if nodes[open_[d]].tag == name), 0)
             if depth:
                 close_to(depth)
+            elif name == "p":
+                flush()  # browsers make an empty paragraph of it
             continue
         if name in ("html", "body"):
             continue
