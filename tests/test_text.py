@@ -29,7 +29,7 @@ def test_html(spark):
         '<h1 id="x">no</h1><h1 id="firstHeading">Ada &amp; Co</h1><p> one <b>two</b>[3] </p>'
         "<p class='k'>a &#233;&#x41; &lt;b&gt; &#99999999;</p><p>open"
     )
-    assert value(spark, page, text.html_paragraphs) == "one two \na éA <b> &#99999999;"
+    assert value(spark, page, text.html_paragraphs) == "one two \na éA <b> &#99999999;\nopen"
     assert value(spark, page, text.html_title) == "Ada & Co"
 
 
@@ -72,3 +72,10 @@ def test_sitelink(spark):
 def test_halve(spark, tokens, out):
     halved = value(spark, tokens, lambda c: F.array_join(text.halve_repetition(F.split(c, " ")), " "))
     assert halved == out
+
+
+def test_paragraphs_end_at_blocks_and_names_are_decoded(spark):
+    assert value(spark, "<p>alpha<div>x</div>", text.html_paragraphs) == "alpha"
+    assert value(spark, "<p>one<p>two</p><p>three &eacute;", text.html_paragraphs) == "one\ntwo\nthree é"
+    assert value(spark, '<script>var t="<p>no</p>";</script><!-- <p>no --><P class=a>yes<table>', text.html_paragraphs) == "yes"
+    assert value(spark, "&euro; &amp;lt; &lt; &#38;gt; &nosuch; &NotEqualTilde; &amp", text.unescape_html) == "€ &lt; < &gt; &nosuch; ≂̸ &amp"

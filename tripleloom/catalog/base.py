@@ -134,7 +134,7 @@ class Tables:
         split = self.spread("documents").select(
             "doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sent", "body")
         )
-        cleaned = F.regexp_replace("body", r"[^0-9A-Za-z \t]", "")
+        cleaned = F.regexp_replace("body", r"[^\p{L}\p{N} \t]", "")
         words = F.filter(F.split(cleaned, r"[ \t]+"), lambda w: w != "")
         # One-row generators keep the filters that follow from computing their input again.
         rows = split.select("doc_id", "sent", F.explode(F.array(words)).alias("words")).where(
@@ -267,7 +267,7 @@ FROM (SELECT *, CAST(substr(subject, 10) AS INT) AS n FROM pairs_v) t""",
     ),
     "raw_tokens_v": (
         [],
-        r"""SELECT doc_id, CAST(sent - 1 AS INT) AS sent, CAST(k - 1 AS INT) AS k, regexp_replace(tok, '[^0-9A-Za-z]', '', 'g') AS word
+        r"""SELECT doc_id, CAST(sent - 1 AS INT) AS sent, CAST(k - 1 AS INT) AS k, regexp_replace(tok, '[^\p{L}\p{N}]', '', 'g') AS word
 FROM (SELECT doc_id, sent, unnest(toks) AS tok, generate_subscripts(toks, 1) AS k
       FROM (SELECT doc_id, sent, string_split_regex(s, '[ \t]+') AS toks
             FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS sent

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import unicodedata
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tripleloom import schemas
-from tripleloom.functions import vocab
+
+# Names of character references and what they stand for, from the standard library's HTML5 table.
+NAMED_REFERENCES = {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
+
+# Comments, scripts, styles and the two marks used below.
+HIDDEN_HTML = r"(?is)<!--.*?-->|<script[\s>].*?</script\s*>|<style[\s>].*?</style\s*>|[\x01\x02]"
+BLOCK_TAG = (
+    r"(?i)</?(?:p|address|article|aside|blockquote|body|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form"
+    r"|h[1-6]|header|hr|html|li|main|menu|nav|ol|pre|search|section|table|ul)(?:[\s/][^>]*)?>"
+)
 
 SPACE = r"[ \t\n\r\f\x0B\u00A0]"
 
@@ -31,10 +41,9 @@ def clean_text(col: Column) -> Column:
 
 
 def unescape_html(col: Column) -> Column:
-    """Named references of the fixed list and all numeric ones; the ampersand last."""
-    text = reduce(
-        lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), vocab.ENTITIES, col
-    )
+    """All named and numeric character references; those of the ampersand last."""
+    pairs = "\u0001".join(f"{name}\u0002{to}" for name, to in sorted(NAMED_REFERENCES.items()))
+    named = F.str_to_map(F.lit(pairs), F.lit("\u0001"), F.lit("\u0002"))
 
     def code_point(ref: Column) -> Column:
         body = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
@@ -43,20 +52,35 @@ def unescape_html(col: Column) -> Column:
         )
         return F.decode(F.unhex(F.lpad(as_hex, 8, "0")), "UTF-32")
 
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(&#[xX]?[0-9a-fA-F]{1,7};)"), 1))
-    text = F.aggregate(
+    refs = F.array_distinct(
+        F.regexp_extract_all(col, F.lit(r"(&(?:#[xX]?[0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});)"), 1)
+    )
+    decoded = F.transform(
         refs,
-        text,
-        lambda acc, ref: F.replace(acc, ref, F.coalesce(code_point(ref), ref)),
+        lambda ref: F.struct(
+            ref.alias("ref"),
+            F.when(ref.startswith("&#"), code_point(ref)).otherwise(F.try_element_at(named, ref)).alias("to"),
+        ),
     )
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    # A decoded ampersand may stand before the name of another reference, which is then text.
+    ordered = F.concat(
+        F.filter(decoded, lambda d: d["to"] != "&"), F.filter(decoded, lambda d: d["to"] == "&")
+    )
+    text = F.aggregate(ordered, col, lambda acc, d: F.replace(acc, d["ref"], d["to"]))
+    return F.when(F.contains(col, F.lit("&")), text).otherwise(col)
 
 
 def html_paragraphs(html: Column) -> Column:
-    """Cleaned text of all closed paragraphs of a page, one per line."""
-    bodies = F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
+    """Cleaned text of all paragraphs of a page, one per line.
+
+    A paragraph ends at its end tag, at the next block element or at the end of the page.
+    """
+    shown = F.regexp_replace(html, HIDDEN_HTML, "")
+    marked = F.regexp_replace(shown, r"(?i)<p(?:\s[^>]*)?>", "\u0001\u0002")
+    marked = F.regexp_replace(marked, BLOCK_TAG, "\u0001")
+    parts = F.filter(F.split(marked, "\u0001"), lambda p: p.startswith("\u0002"))
     lines = F.transform(
-        bodies, lambda p: strip(unescape_html(F.regexp_replace(p, r"<[^>]*>", "")))
+        parts, lambda p: strip(unescape_html(F.regexp_replace(F.substr(p, F.lit(2)), r"<[^>]*>", "")))
     )
     return clean_text(F.array_join(lines, "\n"))
 

@@ -125,31 +125,53 @@ def pack_chunks(
     df: DataFrame, key: str, text: str, max_chars: int = 10000, delimiter: str = DELIMITER,
     shard_rows: int = 1024,
 ) -> DataFrame:
-    """Consecutive texts packed with a delimiter into chunks of about ``max_chars``.
+    """Consecutive texts joined by a delimiter into chunks of at most ``max_chars``; a longer text is a chunk of its own.
 
-    Shards are runs of ``shard_rows`` consecutive integer keys, so the running length
-    is taken over a bounded group. A chunk holds at most ``max_chars`` plus one text.
+    Shards are runs of ``shard_rows`` consecutive integer keys, folded greedily side by side, so a
+    shard's last chunk may be short. ``sizes`` holds the texts' lengths (null for a null text),
+    by which ``unpack_chunks`` cuts: the delimiter may occur in a text.
     """
-    shard = F.floor(F.col(key) / shard_rows)
-    size = F.length(text) + len(delimiter)
-    before = F.sum(size).over(
-        W.partitionBy("shard").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    gap = len(delimiter)
+    row = F.struct(F.col(key).alias("k"), F.col(text).alias("t"), F.length(text).alias("n"))
+    shards = df.groupBy(F.floor(F.col(key) / shard_rows).alias("shard")).agg(
+        F.array_sort(F.collect_list(row)).alias("_p")
     )
-    chunked = df.withColumn("shard", shard).withColumn(
-        "chunk", F.floor(F.coalesce(before, F.lit(0)) / max_chars)
+
+    def place(state: Column, p: Column) -> Column:
+        size = F.coalesce(p["n"], F.lit(0))
+        full = state["used"] + gap + size > max_chars
+        first = F.size(state["at"]) == 0
+        chunk = F.when(~first & full, state["chunk"] + 1).otherwise(state["chunk"])
+        used = F.when(first | full, size).otherwise(state["used"] + gap + size)
+        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(state["at"], F.array(chunk)).alias("at"))
+
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("at"))
+    placed = shards.select("shard", "_p", F.aggregate("_p", start, place, lambda s: s["at"]).alias("_at"))
+    last = F.get("_at", F.size("_at") - 1)
+    chunks = placed.select("shard", "_p", "_at", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    own = chunks.select(
+        "shard", "chunk",
+        F.filter("_p", lambda p, i: F.get("_at", i) == F.col("chunk")).alias("_p"),
     )
-    packed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("t"))))
-    return chunked.groupBy("shard", "chunk").agg(packed.alias("_p")).select(
+    return own.select(
         "shard",
         "chunk",
         F.transform("_p", lambda p: p["k"]).alias("keys"),
-        F.array_join(F.transform("_p", lambda p: p["t"]), delimiter).alias("text"),
+        F.transform("_p", lambda p: p["n"]).alias("sizes"),
+        F.array_join(F.transform("_p", lambda p: F.coalesce(p["t"], F.lit(""))), delimiter).alias("text"),
     )
 
 
 def unpack_chunks(df: DataFrame, key: str, delimiter: str = DELIMITER) -> DataFrame:
-    """Chunk texts back to one row per text, in order."""
-    pieces = F.split("text", "\\Q" + delimiter + "\\E")
-    return df.select("keys", F.posexplode(pieces).alias("_i", "piece")).select(
-        F.get("keys", F.col("_i")).alias(key), "piece"
+    """Chunk texts back to one row per text, in order, cut by their lengths."""
+    gap = len(delimiter)
+    ends = F.aggregate(
+        "sizes",
+        F.array(F.lit(1)),
+        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + F.coalesce(n, F.lit(0)) + gap)),
+    )
+    cut = df.select("keys", "sizes", "text", ends.alias("_ends"))
+    return cut.select("text", F.posexplode(F.arrays_zip("keys", "sizes", F.slice("_ends", 1, F.size("keys")).alias("_from"))).alias("_i", "_z")).select(
+        F.col("_z.keys").alias(key),
+        F.when(F.col("_z.sizes").isNotNull(), F.substr("text", F.col("_z._from"), F.col("_z.sizes"))).alias("piece"),
     )
