@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tripleloom.catalog.base import Tables, case, sql_with
+from tripleloom.catalog.bayes import nb_views
 from tripleloom.operators import aggregates, filters, graph, joins, qa
 from tripleloom.plans import answering
 
@@ -22,10 +23,16 @@ MAX_SQL = (
     "SELECT property_decoded, cluster AS assigned FROM (SELECT property_decoded, cluster, row_number() OVER "
     "(PARTITION BY property_decoded ORDER BY count(*) DESC, cluster) AS rn FROM matched_v GROUP BY property_decoded, cluster) x WHERE rn = 1"
 )
+TRAIN_MAX_SQL = MAX_SQL.replace("FROM matched_v", "FROM matched_v WHERE part = 'train' AND cluster IS NOT NULL")
+# The classifier learns the property's cluster from the training part and sees every matched question.
+CLASSIFIER = nb_views(
+    "SELECT question, assigned AS label FROM matched_v JOIN train_max_v USING (property_decoded) WHERE part = 'train' AND cluster IS NOT NULL",
+    "SELECT DISTINCT question FROM matched_v WHERE cluster IS NOT NULL",
+)
 ASKED_SQL = (
-    "SELECT m.*, a.assigned AS pred, CASE WHEN contains(question, subject_decoded) THEN subject_decoded "
+    "SELECT m.*, a.label AS pred, CASE WHEN contains(question, subject_decoded) THEN subject_decoded "
     "WHEN contains(question, object_decoded) THEN object_decoded ELSE '' END AS entity "
-    "FROM matched_v m JOIN max_v a USING (property_decoded) WHERE m.cluster IS NOT NULL"
+    "FROM matched_v m JOIN rank_v a USING (question) WHERE a.rn = 1 AND m.cluster IS NOT NULL"
 )
 ANSWERS_SQL = (
     "SELECT q.subject_decoded, q.object_decoded, q.question, q.entity, q.pred, p.subject, p.relation, p.object, 0 AS role "
@@ -39,7 +46,10 @@ SCORED_SQL = (
     "AND object_decoded IN (subject, relation, object)) AS good FROM answers_v GROUP BY subject_decoded, object_decoded) e "
     "USING (subject_decoded, object_decoded)"
 )
-QA_VIEWS = dict(matched_v=MATCHED_SQL, max_v=MAX_SQL, asked_v=ASKED_SQL, answers_v=ANSWERS_SQL, scored_v=SCORED_SQL)
+QA_VIEWS = dict(
+    matched_v=MATCHED_SQL, max_v=MAX_SQL, train_max_v=TRAIN_MAX_SQL, **CLASSIFIER, asked_v=ASKED_SQL, answers_v=ANSWERS_SQL,
+    scored_v=SCORED_SQL,
+)
 
 
 def qa_sql(body: str, upto: str) -> str:
@@ -52,7 +62,7 @@ def matched(t: Tables) -> DataFrame:
 
 
 def asked(t: Tables) -> DataFrame:
-    return answering.with_entity(answering.predict_by_property(matched(t)))
+    return answering.with_entity(answering.predict_by_classifier(matched(t)))
 
 
 @case(
@@ -336,7 +346,7 @@ def _(t: Tables) -> DataFrame:
 
 
 # Keywords per relation type: the p_type of parts whose size falls on the type's number.
-_PART_WORDS = "SELECT DISTINCT lower(r_name) AS rel_type, lower(p_type) AS keyword FROM part JOIN region ON p_size = r_regionkey + 1 WHERE p_retailprice < 1000"
+_PART_WORDS = "SELECT DISTINCT lower(r_name) AS rel_type, lower(p_type) AS keyword FROM part JOIN region ON p_size % 5 = r_regionkey"
 _TRIGGERS = (
     "SELECT DISTINCT q.question, k.rel_type FROM (SELECT DISTINCT question FROM questions_v) q JOIN words_v k ON contains(q.question, k.keyword)"
 )
@@ -344,8 +354,7 @@ _TRIGGERS = (
 
 def part_words(t: Tables) -> DataFrame:
     return (
-        t.part.where("p_retailprice < 1000")
-        .join(t.region, F.col("p_size") == F.col("r_regionkey") + 1)
+        t.part.join(t.region, F.col("p_size") % 5 == F.col("r_regionkey"))
         .select(F.lower("r_name").alias("rel_type"), F.lower("p_type").alias("keyword"))
         .distinct()
     )

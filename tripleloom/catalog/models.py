@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.catalog.base import Tables, case, sql_with
+from tripleloom.catalog.bayes import nb_views
 from tripleloom.catalog.joins import matched
 from tripleloom.catalog.syntax import BASIC_SQL, KEY, plain_sql
 from tripleloom.operators import classify, cluster
@@ -321,26 +322,6 @@ def _(t: Tables) -> DataFrame:
     return classify.classify(classify.load_model(path), training(t, "test").select("question").distinct())
 
 
-_WORDS = "list_filter(string_split_regex(question, '[^0-9a-z'']+'), lambda w: w <> '')"
-
-
-def nb_views(train: str, test: str) -> dict[str, str]:
-    return dict(
-        train_v=train,
-        test_v=test,
-        tok_v=f"SELECT label, unnest({_WORDS}) AS token FROM train_v",
-        cnt_v="SELECT label, token, count(*) AS c FROM tok_v GROUP BY label, token",
-        lab_v="SELECT label, ln(n / (SELECT count(*) FROM train_v)) AS prior, ln(total + (SELECT count(DISTINCT token) FROM cnt_v)) AS den FROM "
-        "(SELECT label, count(*) AS n FROM train_v GROUP BY label) a JOIN (SELECT label, sum(c) AS total FROM cnt_v GROUP BY label) b USING (label)",
-        known_v=f"SELECT question, token FROM (SELECT question, unnest({_WORDS}) AS token FROM test_v) x WHERE token IN (SELECT token FROM cnt_v)",
-        score_v="SELECT t.question, l.label, round(l.prior - coalesce(k.n, 0) * l.den + coalesce(s.s, 0), 9) AS score FROM test_v t CROSS JOIN lab_v l "
-        "LEFT JOIN (SELECT question, count(*) AS n FROM known_v GROUP BY question) k USING (question) "
-        "LEFT JOIN (SELECT question, label, sum(ln(c + 1)) AS s FROM known_v JOIN cnt_v USING (token) GROUP BY question, label) s ON s.question = t.question AND s.label = l.label",
-        rank_v="SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, label) AS rn, "
-        "exp(score - max(score) OVER (PARTITION BY question)) / sum(exp(score)) OVER (PARTITION BY question) * exp(max(score) OVER (PARTITION BY question)) AS proba FROM score_v",
-    )
-
-
 _PAIR_CLUSTER = (
     "SELECT q.question, p.cluster AS label FROM questions_v q JOIN pairs_v p ON (q.subject_decoded = p.subject AND q.object_decoded = p.object) WHERE q.part = '{0}' "
     "UNION ALL SELECT q.question, p.cluster FROM questions_v q JOIN pairs_v p ON (q.subject_decoded = p.object AND q.object_decoded = p.subject) WHERE q.part = '{0}'"

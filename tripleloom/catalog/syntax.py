@@ -335,7 +335,7 @@ def sql_hot_types(prefix: str) -> str:
     return sql_vocab_hot(NER_TYPES, f"string_split({sql_types(prefix)}, '_')[1:4]")
 
 
-SQL_HOT_PREP = sql_vocab_hot(PREPOSITIONS, "string_split(lower(relation), ' ')")
+SQL_HOT_PREP = sql_vocab_hot(PREPOSITIONS, f"string_split(lower({sql_fold('relation')}), ' ')")
 
 
 @case("t20_pos_multihot", spans_sql(", ".join(f"{sql_hot_tags(p)} AS pos_{p}" for p in ("subj", "rel", "obj"))))
@@ -406,7 +406,12 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-_EMB_SUM = "round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4)"
+# Every place of the vector counts by its number, so that the places are compared as well.
+_EMB_SUM = (
+    "round(coalesce(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)), "
+    "list_sum(list_transform(s.toks, lambda t: CAST(CAST('0x' || substr(md5(t.lemma), 1, 15) AS BIGINT) % 64 + 1 AS DOUBLE)))), 3)"
+)
+_VECTORED = "FROM plain_v p JOIN sents_v s USING (doc_id, sent) LEFT JOIN embeddings ON p.doc_id = vec_id"
 PLAIN_SQL = (
     "SELECT doc_id, sent, tpos, lower(subject) AS subject, lower(relation) AS relation, lower(object) AS object, "
     + ", ".join(f"{sql_vocab_hot(POS_TAGS, f'string_split(pos_{p}, {chr(39)}_{chr(39)})')} AS hot_{p}" for p in ("subj", "rel", "obj"))
@@ -431,7 +436,11 @@ def ints(vec, size: int):
 
 def emb_sum(vec, start: int):
     tail = F.slice(vec, F.lit(start), F.size(vec)).cast("array<double>")
-    return F.round(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x), 4)
+    return weighted_sum(tail)
+
+
+def weighted_sum(vec):
+    return F.round(F.aggregate(F.transform(vec, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3)
 
 
 @case(
@@ -440,7 +449,7 @@ def emb_sum(vec, start: int):
         "SELECT subject, object, relation, doc_id, hot_subj || ',' || ner_subj AS subject_matr, "
         "hot_rel || ',' || prep || ',' || is_left AS relation_matr, hot_obj || ',' || ner_obj AS object_matr, emb FROM "
         f"(SELECT p.*, {_EMB_SUM} AS emb, row_number() OVER (PARTITION BY subject, object ORDER BY p.doc_id, sent, tpos) AS rn "
-        "FROM plain_v p JOIN embeddings ON p.doc_id = vec_id) x WHERE rn = 1",
+        f"{_VECTORED}) x WHERE rn = 1",
         "spans_v", "paths_v", basic_v=BASIC_SQL, plain_v=plain_sql(),
     ),
 )
@@ -459,8 +468,8 @@ def _(t: Tables) -> DataFrame:
     "t26_assemble_single",
     sql_with(
         f"SELECT p.doc_id, sent, tpos, hot_subj || ',' || ner_subj || ',' || hot_rel || ',' || prep || ',' || is_left AS head, "
-        f"{_EMB_SUM} AS emb, hot_obj || ',' || ner_obj AS tail, len(embedding) + 142 AS width "
-        "FROM plain_v p JOIN embeddings ON p.doc_id = vec_id",
+        f"{_EMB_SUM} AS emb, hot_obj || ',' || ner_obj AS tail, coalesce(len(embedding), 64) + 142 AS width "
+        f"{_VECTORED}",
         "spans_v", "paths_v", basic_v=BASIC_SQL, plain_v=plain_sql(),
     ),
 )
@@ -477,7 +486,7 @@ def _(t: Tables) -> DataFrame:
     return whole.select(
         *KEY,
         ints("v", 101).alias("head"),
-        F.round(F.aggregate(middle, F.lit(0.0), lambda a, x: a + x), 4).alias("emb"),
+        weighted_sum(middle).alias("emb"),
         joined(F.slice("v", d + 102, F.lit(41)).cast("array<int>")).alias("tail"),
         F.size("v").cast("bigint").alias("width"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.text import fold_ascii
 from tripleloom.functions.vocab import NER_TYPES, POS_TAGS, PREPOSITIONS
+from tripleloom.operators.numbering import hash_int
 
 
 def multi_hot(present: Column, vocabulary: list[str]) -> Column:
@@ -62,6 +63,15 @@ def relation_vector(pos: Column, prep: Column, left: Column, embedding: Column)
     )
 
 
+def hashed_vector(words: Column, dim: int) -> Column:
+    """Counts of words in hashed places: the stand-in for a text without a given vector."""
+    places = F.transform(words, lambda w: hash_int(w) % dim)
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"),
+    )
+
+
 def single_vector(subject: Column, relation: Column, obj: Column) -> Column:
     return F.concat(subject, relation, obj)
 

@@ -439,10 +439,10 @@ def jitter(df: DataFrame, vec: str, key: str, sigma: float = 1e-6, seed: int = 4
 def init_centers(
     df: DataFrame, k: int, vec: str = "vec", key: str = "vec_id", n_init: int = 10, seed: int = 42
 ) -> DataFrame:
-    """Noise, unique rows, then the centres of the best k-means start."""
-    noisy = jitter(df.select(key, F.col(vec).cast("array<double>").alias(vec)), vec, key, seed=seed)
-    unique = unique_vectors(noisy, vec, key)
-    return model_centers(df.sparkSession, kmeans(unique, k, vec, n_init, seed))
+    """Unique rows, noise, then the centres of the best k-means start."""
+    unique = unique_vectors(df.select(key, F.col(vec).cast("array<double>").alias(vec)), vec, key)
+    noisy = jitter(unique, vec, key, seed=seed)
+    return model_centers(df.sparkSession, kmeans(noisy, k, vec, n_init, seed))
 
 
 def seed_centers(centers: DataFrame, labelled: DataFrame, vec: str, order: str) -> DataFrame:

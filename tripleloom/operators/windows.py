@@ -147,11 +147,9 @@ def pack_chunks(
 
     start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("at"))
     placed = shards.select("shard", "_p", F.aggregate("_p", start, place, lambda s: s["at"]).alias("_at"))
-    last = F.get("_at", F.size("_at") - 1)
-    chunks = placed.select("shard", "_p", "_at", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    own = chunks.select(
-        "shard", "chunk",
-        F.filter("_p", lambda p, i: F.get("_at", i) == F.col("chunk")).alias("_p"),
+    rows = placed.select("shard", F.explode(F.arrays_zip("_p", "_at")).alias("_r"))
+    own = rows.groupBy("shard", F.col("_r._at").alias("chunk")).agg(
+        F.array_sort(F.collect_list("_r._p")).alias("_p")
     )
     return own.select(
         "shard",

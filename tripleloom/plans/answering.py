@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.functions.text import norm_key
-from tripleloom.operators import aggregates, filters, joins, qa
+from tripleloom.operators import aggregates, classify, filters, joins, qa
 from tripleloom.operators.distinct import distinct_pairs
 from tripleloom.session import cut_lineage
 
@@ -32,12 +32,18 @@ def gold_with_cluster(gold: DataFrame, triples: DataFrame) -> DataFrame:
     return filters.with_cluster(joins.cluster_for_gold(normalized_gold(gold), triples))
 
 
-def predict_by_property(matched: DataFrame) -> DataFrame:
-    """``pred`` is the most frequent cluster of the question's property."""
-    mapping = aggregates.property_to_cluster_max(matched)
-    return aggregates.assign_clusters(matched, mapping).withColumn(
-        "pred", F.col("assigned_cluster").cast("int")
-    ).drop("assigned_cluster")
+def predict_by_classifier(matched: DataFrame, train_part: str = "train") -> DataFrame:
+    """``pred`` is the cluster that a count classifier predicts from the question's text.
+
+    It learns from the training part, where a question's label is the most frequent cluster of its property.
+    """
+    train = matched.where(F.col("part") == train_part)
+    mapping = aggregates.property_to_cluster_max(train)
+    labelled = aggregates.assign_clusters(train, mapping).select(
+        "question", F.col("assigned_cluster").cast("int").alias("label")
+    )
+    best = classify.question_classifier_nb(classify.train_counts(labelled), matched)
+    return matched.join(best.select("question", "pred"), "question")
 
 
 def with_entity(questions: DataFrame) -> DataFrame:
@@ -51,8 +57,8 @@ def with_entity(questions: DataFrame) -> DataFrame:
 def question_table(gold: DataFrame, triples: DataFrame) -> DataFrame:
     """One row per answerable gold question, scored.
 
-    The matched questions serve twice, for the property's cluster and for the answers.
+    The matched questions serve twice, for the classifier and for the answers.
     """
     matched = cut_lineage(gold_with_cluster(gold, triples), "matched")
-    asked = with_entity(predict_by_property(matched))
+    asked = with_entity(predict_by_classifier(matched))
     return qa.score_answers(asked, triples)

@@ -71,6 +71,7 @@ def explode_triples(sentences: DataFrame, max_words: int = 4) -> DataFrame:
         syntax.pair_type(F.col("obj_type"), F.col("subj_type")).alias("pair_type"),
         "obj_type", "subj_type",
         syntax.words_on_path(tokens, F.col("dep_path")).alias("path"),
+        F.transform(tokens, lambda t: t["lemma"]).alias("lemmas"),
     )
 
 
@@ -110,6 +111,7 @@ def plain_features(basic: DataFrame) -> DataFrame:
         F.lower("subject").alias("subject"),
         F.lower("relation").alias("relation"),
         F.lower("object").alias("object"),
+        "lemmas",
     )
 
 
@@ -126,15 +128,18 @@ def assemble_vectors(plain: DataFrame, embedding: str = "embedding") -> DataFram
     )
 
 
-def join_embeddings(df: DataFrame, embeddings: DataFrame, key: str = "doc_id", how: str = "inner") -> DataFrame:
-    """The precomputed vector of each text, by id."""
-    return df.join(embeddings, key, how)
+def join_embeddings(
+    df: DataFrame, embeddings: DataFrame, key: str = "doc_id", embedding: str = "embedding", dim: int = 64
+) -> DataFrame:
+    """The precomputed vector of each text, by id; without one, the hashed vector of the row's sentence."""
+    joined = df.join(embeddings, key, "left")
+    return joined.withColumn(embedding, F.coalesce(embedding, vectors.hashed_vector(F.col("lemmas"), dim)))
 
 
-def build_matrices(sentences: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Annotations to vectors, one row per (subject, object)."""
+def build_matrices(sentences: DataFrame, embeddings: DataFrame, dim: int = 64) -> DataFrame:
+    """Annotations to vectors of width ``dim``, one row per (subject, object)."""
     plain = plain_features(filtered_triples(explode_triples(sentences)))
-    vectored = assemble_vectors(join_embeddings(plain, embeddings))
+    vectored = assemble_vectors(join_embeddings(plain, embeddings, dim=dim))
     return distinct_pairs(vectored, ["doc_id", "sent", "tpos"])
 
 
