@@ -55,7 +55,7 @@ def _(t: Tables) -> DataFrame:
 
 @case("m01_kmeans")
 def _(t: Tables) -> DataFrame:
-    model = cluster.kmeans(points(t), 10, n_init=3)
+    model = cluster.kmeans(points(t), 10)
     return cluster.kmeans_labels(points(t), model).select("vec_id", "label", "cluster")
 
 
@@ -248,7 +248,7 @@ def _(t: Tables) -> DataFrame:
 @case("m16_init_centers")
 def _(t: Tables) -> DataFrame:
     code = cluster.latent(points(t), 8).select("vec_id", "latent")
-    centers = cluster.init_centers(code, 10, "latent", "vec_id", n_init=2)
+    centers = cluster.init_centers(code, 10, "latent", "vec_id")
     return centers.select("center_id", F.posexplode("center").alias("dim", "value"))
 
 
@@ -306,7 +306,7 @@ def training(t: Tables, part: str) -> DataFrame:
 @case("m20_question_classifier")
 def _(t: Tables) -> DataFrame:
     model = classify.question_classifier(
-        training(t, "train"), training(t, "valid"), features=1 << 10, grid=(0.01,), max_iter=10
+        training(t, "train"), training(t, "valid")
     )
     return classify.classify(model, training(t, "test").select("question").distinct())
 
@@ -315,7 +315,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """A classifier saved, loaded and used."""
     model = classify.question_classifier(
-        training(t, "train"), training(t, "valid"), features=1 << 8, grid=(0.1,), max_iter=5
+        training(t, "train"), training(t, "valid")
     )
     path = scratch_path(t.spark, "models/clusters_10_max")
     classify.save_model(model, path)
@@ -352,7 +352,7 @@ def _(t: Tables) -> DataFrame:
 
 
 _MULTI_TRAIN = (
-    "SELECT q.question, x.label FROM questions_v q JOIN (SELECT DISTINCT relation, cluster AS label FROM pairs_v WHERE cluster < 4) x ON x.relation = q.property_decoded WHERE q.part = 'train'"
+    "SELECT q.question, x.label FROM questions_v q JOIN (SELECT DISTINCT relation, cluster AS label FROM pairs_v) x ON x.relation = q.property_decoded WHERE q.part = 'train'"
 )
 
 
@@ -364,8 +364,8 @@ _MULTI_TRAIN = (
     ),
 )
 def _(t: Tables) -> DataFrame:
-    """Labels: the first four clusters, where the property has them."""
-    lists = t.pairs().where("cluster < 4").select(F.col("relation").alias("property_decoded"), "cluster").distinct()
+    """Labels: all clusters that the property has."""
+    lists = t.pairs().select(F.col("relation").alias("property_decoded"), "cluster").distinct()
     lists = lists.groupBy("property_decoded").agg(F.array_join(F.collect_set("cluster").cast("array<string>"), " ").alias("labels"))
     gold = t.questions().join(lists, "property_decoded")
     model = classify.train_multilabel(gold.where("part = 'train'"))

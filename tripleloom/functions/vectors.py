@@ -30,10 +30,6 @@ def prep_multihot(words: Column) -> Column:
     return multi_hot(F.split(F.lower(fold_ascii(words)), " "), PREPOSITIONS)
 
 
-def prep_multihot_tokens(words: Column) -> Column:
-    return multi_hot(words, PREPOSITIONS)
-
-
 def positional_onehot(tags: Column, vocabulary: list[str], n: int = 3) -> Column:
     """``n`` one-hot rows, zero rows where the sequence is shorter."""
     return F.array(
