@@ -221,6 +221,7 @@ def rule_pos(word: Column) -> Column:
     return (
         F.when(F.substr(word, F.lit(1), F.lit(1)).between("0", "9"), "CD")
         .when(F.lower(word).isin(preps), "IN")
+        .when(F.lower(word).isin("it", "he", "this"), "PRP")
         .when(F.substr(word, F.lit(1), F.lit(1)).between("A", "Z"), "NNP")
         .when(F.length(word) % 4 == 0, "VBD")
         .otherwise("NN")
@@ -284,6 +285,7 @@ FROM (SELECT doc_id, sent, word,
              CAST(row_number() OVER (PARTITION BY doc_id, sent ORDER BY k) AS INT) AS idx,
              CASE WHEN regexp_matches(word, '^[0-9]') THEN 'CD'
                   WHEN lower(word) IN ('above','across','after','at','by','for','from','in','into','of','on','to','under','up') THEN 'IN'
+                  WHEN lower(word) IN ('it','he','this') THEN 'PRP'
                   WHEN regexp_matches(word, '^[A-Z]') THEN 'NNP'
                   WHEN length(word) % 4 = 0 THEN 'VBD' ELSE 'NN' END AS pos
       FROM raw_tokens_v WHERE word <> '') t""",

@@ -21,11 +21,22 @@ from tripleloom.sources import readers, writers
 # --- sources and sinks --------------------------------------------------------------------
 
 
+@case("s01_read_text_docs", "SELECT coalesce(text, '') AS text, true AS named FROM documents")
+def _(t: Tables) -> DataFrame:
+    """Every text written as a file of its own and read back whole, under the file's name."""
+    path = scratch_path(t.spark, "texts")
+    writers.write_text_docs(t.documents, path)
+    back = readers.read_text_docs(t.spark, path)
+    return back.select(
+        F.regexp_replace("text", r"\n\z", "").alias("text"), F.startswith("doc_id", F.lit("part-")).alias("named")
+    )
+
+
 @case(
     "s02_read_annotations",
     sql_with(
-        "SELECT CAST(count(*) AS BIGINT) AS n_sentences, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, "
-        "CAST(sum(list_sum(list_transform(toks, lambda t: length(t.word)))) AS BIGINT) AS n_chars FROM sents_v",
+        "SELECT array_to_string(list_transform(toks, lambda t: t.word), ' ') AS words, array_to_string(list_transform(toks, lambda t: t.pos), ' ') AS tags, "
+        "array_to_string(list_transform(toks, lambda t: t.ner), ' ') AS types, array_to_string(list_transform(toks, lambda t: t.gov), ' ') AS governors FROM sents_v",
         "sents_v",
     ),
 )
@@ -34,11 +45,9 @@ def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "annotations")
     t.sentences().drop("doc_id", "sent").write.json(path)
     back = readers.read_annotations(t.spark, path, multi_line=False)
-    chars = F.aggregate("tokens", F.lit(0), lambda a, x: a + F.length(x["word"]))
-    return back.agg(
-        F.count("*").alias("n_sentences"),
-        F.sum(F.size("tokens")).alias("n_tokens"),
-        F.sum(chars).alias("n_chars"),
+    return back.select(
+        *[joined(f"tokens.{c}", " ").alias(name) for c, name in (("word", "words"), ("pos", "tags"), ("ner", "types"))],
+        joined("basicDependencies.governor", " ").alias("governors"),
     )
 
 
@@ -71,14 +80,16 @@ def _(t: Tables) -> DataFrame:
 
 @case(
     "s05_write_features",
-    sql_with("SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS bounded FROM triples_v", "triples_v"),
+    sql_with("SELECT *, true AS bounded FROM triples_v", "triples_v"),
 )
 def _(t: Tables) -> DataFrame:
-    """No written file holds more rows than asked for."""
+    """All rows come back, and no written file holds more of them than asked for."""
     path = scratch_path(t.spark, "chunked")
     writers.write_features(t.triples(), path, rows_per_file=5000)
-    per_file = readers.read_features(t.spark, path).groupBy("_metadata.file_name").agg(F.count("*").alias("n"))
-    return per_file.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 5000).alias("bounded"))
+    back = readers.read_features(t.spark, path)
+    rows = back.select("*", F.col("_metadata.file_name").alias("file"))
+    sizes = rows.groupBy("file").agg((F.count("*") <= 5000).alias("bounded"))
+    return rows.join(sizes, "file").drop("file")
 
 
 @case(
@@ -248,7 +259,10 @@ def _(t: Tables) -> DataFrame:
 
 @case(
     "f03_anchor_both_joined",
-    mention_sql("contains(array_to_string(ms, ' '), subject) AND contains(array_to_string(ms, ' '), object)"),
+    mention_sql(
+        "obj_end - obj_start <= 3 AND subj_end - subj_start <= 3 AND rel_end - rel_start <= 13 "
+        "AND contains(array_to_string(ms, ' '), subject) AND contains(array_to_string(ms, ' '), object)"
+    ),
 )
 def _(t: Tables) -> DataFrame:
     return kept(t, filters.anchor_both_joined(F.col("openie"), F.col("entitymentions")))
@@ -267,13 +281,14 @@ def _(t: Tables) -> DataFrame:
 @case(
     "f06_phrase_len",
     sql_with(
-        "SELECT doc_id, pos, subject, object FROM triples_v WHERE len(string_split(subject, ' ')) < 5 "
-        "AND len(string_split(object, ' ')) < 5 AND len(string_split(relation, ' ')) < 5",
-        "triples_v",
+        "SELECT doc_id, sent, tpos FROM spans_v WHERE len(string_split(subject, ' ')) <= 2 "
+        "AND len(string_split(object, ' ')) <= 2 AND len(string_split(relation, ' ')) <= 2",
+        "spans_v",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return filters.phrase_len(t.triples()).select("doc_id", "pos", "subject", "object")
+    """Objects of tpos 0 have three words."""
+    return filters.phrase_len(t.spans(), 2).select(*KEY)
 
 
 _LIGHT = quoted(LIGHT_VERBS)

@@ -35,15 +35,16 @@ ASKED_SQL = (
     "FROM matched_v m JOIN rank_v a USING (question) WHERE a.rn = 1 AND m.cluster IS NOT NULL"
 )
 ANSWERS_SQL = (
-    "SELECT q.subject_decoded, q.object_decoded, q.question, q.entity, q.pred, p.subject, p.relation, p.object, 0 AS role "
-    "FROM asked_v q JOIN pairs_v p ON p.cluster = q.pred AND p.subject = q.entity "
-    "UNION ALL SELECT q.subject_decoded, q.object_decoded, q.question, q.entity, q.pred, p.subject, p.relation, p.object, 1 "
-    "FROM asked_v q JOIN pairs_v p ON p.cluster = q.pred AND p.object = q.entity"
+    "SELECT q.entity, q.pred, p.subject, p.relation, p.object, 0 AS role "
+    "FROM (SELECT DISTINCT pred, entity FROM asked_v) q JOIN pairs_v p ON p.cluster = q.pred AND p.subject = q.entity "
+    "UNION ALL SELECT q.entity, q.pred, p.subject, p.relation, p.object, 1 "
+    "FROM (SELECT DISTINCT pred, entity FROM asked_v) q JOIN pairs_v p ON p.cluster = q.pred AND p.object = q.entity"
 )
 SCORED_SQL = (
     "SELECT q.*, coalesce(answered, false) AS answered, coalesce(e.good, false) AS eval FROM asked_v q LEFT JOIN "
-    "(SELECT subject_decoded, object_decoded, true AS answered, bool_or(subject_decoded IN (subject, relation, object) "
-    "AND object_decoded IN (subject, relation, object)) AS good FROM answers_v GROUP BY subject_decoded, object_decoded) e "
+    "(SELECT subject_decoded, object_decoded, true AS answered, bool_or(subject_decoded IN (x.subject, x.relation, x.object) "
+    "AND object_decoded IN (x.subject, x.relation, x.object)) AS good FROM asked_v JOIN answers_v x USING (pred, entity) "
+    "GROUP BY subject_decoded, object_decoded) e "
     "USING (subject_decoded, object_decoded)"
 )
 QA_VIEWS = dict(
@@ -293,9 +294,7 @@ def _(t: Tables) -> DataFrame:
 
 @case("j11_answer_lookup", qa_sql("SELECT * FROM answers_v", "answers_v"))
 def _(t: Tables) -> DataFrame:
-    return qa.answer_lookup(
-        asked(t).select("subject_decoded", "object_decoded", "question", "entity", "pred"), t.pairs()
-    )
+    return qa.answer_lookup(asked(t), t.pairs())
 
 
 _CONTAINS = (
@@ -398,8 +397,8 @@ def _(t: Tables) -> DataFrame:
 @case(
     "j16_execute_question",
     sql_with(
-        "SELECT a.question, a.entity, a.rel_type, x.role, x.subject, x.object, x.prob FROM "
-        "(SELECT DISTINCT q.question, q.entity, k.rel_type FROM (SELECT DISTINCT question, "
+        "SELECT a.entity, a.rel_type, x.role, x.subject, x.object, x.prob FROM "
+        "(SELECT DISTINCT q.entity, k.rel_type FROM (SELECT DISTINCT question, "
         "CASE WHEN contains(question, subject_decoded) THEN subject_decoded ELSE object_decoded END AS entity FROM questions_v) q "
         "JOIN words_v k ON contains(q.question, k.keyword)) a JOIN "
         "(SELECT 'subject' AS role, subject AS entity, rel_type, subject, object, score AS prob FROM named_v UNION ALL "
@@ -411,7 +410,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     questions = answering.with_entity(t.questions()).select("question", "entity").distinct()
     return graph.execute_question(questions, edges(t), part_words(t)).select(
-        "question", "entity", "rel_type", "role", "subject", "object", "prob"
+        "entity", "rel_type", "role", "subject", "object", "prob"
     )
 
 

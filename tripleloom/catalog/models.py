@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.catalog.base import Tables, case, sql_with
+from tripleloom.catalog.base import Tables, case, joined, sql_with
 from tripleloom.catalog.bayes import nb_views
 from tripleloom.catalog.joins import matched
-from tripleloom.catalog.syntax import BASIC_SQL, KEY, plain_sql
+from tripleloom.catalog.syntax import BASIC_COLUMNS, BASIC_SQL, plain_sql
 from tripleloom.operators import classify, cluster
 from tripleloom.operators.dense import center_matrix, nearest_center
 from tripleloom.operators.distinct import union_parts
@@ -148,7 +148,7 @@ def _(t: Tables) -> DataFrame:
 @case("m10_refine_centers")
 def _(t: Tables) -> DataFrame:
     """The loop: mean KL per iteration."""
-    _, history = cluster.refine_centers(points(t), t.centers(), iters=12, update_interval=6)
+    _, history = cluster.refine_centers(points(t), t.centers())
     return t.spark.createDataFrame(list(enumerate(history)), "iteration int, kl double")
 
 
@@ -167,7 +167,7 @@ def _(t: Tables) -> DataFrame:
 
 @case("m11_alternate_kmeans")
 def _(t: Tables) -> DataFrame:
-    rows, _ = cluster.alternate_kmeans(points(t), t.centers(), max_epochs=10)
+    rows, _ = cluster.alternate_kmeans(points(t), t.centers())
     return rows.select("vec_id", "label", "cluster")
 
 
@@ -194,7 +194,7 @@ def _(t: Tables) -> DataFrame:
 
 @case("m12_admm_kmeans")
 def _(t: Tables) -> DataFrame:
-    rows, _ = cluster.admm_kmeans(points(t).drop("label"), t.centers(), max_epochs=6, checkpoint_every=3)
+    rows, _ = cluster.admm_kmeans(points(t).drop("label"), t.centers())
     return rows.select("vec_id", "cluster")
 
 
@@ -413,9 +413,7 @@ def _(t: Tables) -> DataFrame:
     """Documents to triples, vectors, codes, centres, clusters and scores."""
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
     matrices = features.build_matrices(t.sentences(), vectors)
-    return clustering.clusterize(
-        matrices, k=10, latent_dim=12, partial_part="predicate", iters=8, update_interval=4, n_init=2
-    )
+    return clustering.clusterize(matrices, k=10, partial_part="predicate")
 
 
 # --- streams ------------------------------------------------------------------------------------
@@ -423,7 +421,10 @@ def _(t: Tables) -> DataFrame:
 
 @case(
     "x01_stream_triples",
-    sql_with("SELECT doc_id, sent, tpos FROM plain_v", "spans_v", "paths_v", basic_v=BASIC_SQL, plain_v=plain_sql()),
+    sql_with(
+        f"SELECT {', '.join(BASIC_COLUMNS)} FROM basic_v WHERE " + plain_sql().split(" WHERE ", 1)[1],
+        "spans_v", "paths_v", basic_v=BASIC_SQL,
+    ),
 )
 def _(t: Tables) -> DataFrame:
     """All sentences arrive as files in two runs; the second run takes only the new ones."""
@@ -434,12 +435,12 @@ def _(t: Tables) -> DataFrame:
     for arrived in (rows.where(early), rows.where(~early)):
         arrived.write.mode("append").json(source)
         jobs.stream_triples(spark, source, sink, state)
-    return spark.read.parquet(sink).select(*KEY)
+    return spark.read.parquet(sink).withColumn("dep_path", joined("dep_path")).select(*BASIC_COLUMNS)
 
 
 @case(
     "x02_stream_distinct_pairs",
-    sql_with("SELECT DISTINCT subject, object FROM triples_v", "triples_v"),
+    sql_with("SELECT * FROM pairs_v", "pairs_v"),
 )
 def _(t: Tables) -> DataFrame:
     spark = t.spark
@@ -447,6 +448,8 @@ def _(t: Tables) -> DataFrame:
     t.triples().write.parquet(source)
     schema = "doc_id bigint, pos int, subject string, relation string, object string, score double, cluster int"
     jobs.stream_distinct_pairs(spark, source, schema, sink, state, ["doc_id", "pos"], files_per_batch=3)
-    return spark.read.parquet(sink).select("subject", "object")
+    return jobs.read_distinct_pairs(spark, sink, ["doc_id", "pos"]).select(
+        "subject", "relation", "object", "score", "cluster"
+    )
 
 

@@ -9,6 +9,7 @@ from tripleloom.catalog.base import Tables, case, joined, sql_with
 from tripleloom.catalog.joins import GOLD_COLUMNS, MATCHED_SQL, matched, sql_hash
 from tripleloom.operators import aggregates, distinct, metrics, windows
 from tripleloom.operators.joins import match_gold
+from tripleloom.operators.numbering import placed
 from tripleloom.plans import answering
 
 # --- distinct and set operations ---------------------------------------------------------------
@@ -49,7 +50,10 @@ def _(t: Tables) -> DataFrame:
     sql_with("SELECT DISTINCT subject, relation, object, score FROM triples_v", "triples_v"),
 )
 def _(t: Tables) -> DataFrame:
-    return t.triples().select("subject", "relation", "object", "score").distinct()
+    """Within an order by the array form, across orders by a distinct."""
+    triple = F.struct("subject", "relation", "object", "score")
+    docs = t.triples().groupBy("doc_id").agg(F.collect_list(triple).alias("triples"))
+    return docs.select(F.inline(distinct.distinct_structs(F.col("triples")))).distinct()
 
 
 @case("d05_all_entities", sql_with("SELECT subject AS entity FROM triples_v UNION SELECT object FROM triples_v", "triples_v"))
@@ -404,12 +408,8 @@ def _(t: Tables) -> DataFrame:
     + " AS h FROM documents) x",
 )
 def _(t: Tables) -> DataFrame:
-    """The place of each row in the shuffled order, numbered in ranges."""
-    from tripleloom.operators.numbering import hash_int, numbered
-
-    shuffled = windows.shuffle_rows(t.documents.select("doc_id"), ["doc_id"])
-    key = F.struct(hash_int("doc_id", F.lit("42")).alias("h"), F.col("doc_id").alias("d"))
-    return numbered(shuffled.withColumn("_k", key), "_k", name="place").select("doc_id", "place")
+    """The place that each row really has in the shuffled output."""
+    return placed(windows.shuffle_rows(t.documents.select("doc_id"), ["doc_id"]))
 
 
 @case(

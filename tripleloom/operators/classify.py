@@ -15,37 +15,34 @@ from tripleloom.functions.text import tokenize_question
 from tripleloom.session import cut_lineage
 
 
-# Stands in every text, so that rows are counted like a word and no text is without one.
-ROW = ""
-
-
 @dataclass
 class CountModel:
     """Add-one naive Bayes as two tables.
 
-    ``tokens``: per token its (label, weight) entries, at most one per label, and whether it
-    is a ``known`` word. ``labels``: one row per label with its log prior and log denominator.
+    ``tokens``: per token its (label, weight) entries, at most one per label.
+    ``labels``: one row per label with its log prior and log denominator.
     """
 
     tokens: DataFrame
     labels: DataFrame
 
 
-def words_of(text: Column) -> Column:
-    return F.array_append(tokenize_question(text), F.lit(ROW))
+def row_and_words(text: Column) -> Column:
+    return F.array_append(tokenize_question(text), F.lit(None).cast("string"))
 
 
 def train_counts(train: DataFrame, text: str = "question", label: str = "label") -> CountModel:
     """Counts by (label, token), one pass over the data and written once; the rest reads only those.
 
-    Equal questions are merged before they are split into words.
+    Equal questions are merged before they are split into words. The null token counts the rows
+    of a label: tasks add it up before the shuffle, and it never takes part in a join.
     """
     merged = train.groupBy(F.col(text).alias("_q"), F.col(label).alias("label")).agg(
         F.count("*").alias("m")
     )
-    words = merged.select("label", "m", F.explode(words_of(F.col("_q"))).alias("token"))
+    words = merged.select("label", "m", F.explode(row_and_words(F.col("_q"))).alias("token"))
     counts = cut_lineage(words.groupBy("label", "token").agg(F.sum("m").alias("c")), "counts")
-    is_word = F.col("token") != ROW
+    is_word = F.col("token").isNotNull()
     vocabulary = counts.where(is_word).select("token").distinct().agg(F.count("*")).scalar()
     everything = counts.where(~is_word).agg(F.sum("c")).scalar()
     sizes = counts.groupBy("label").agg(
@@ -57,10 +54,8 @@ def train_counts(train: DataFrame, text: str = "question", label: str = "label")
         F.log(F.col("rows") / F.col("n")).alias("prior"),
         F.log((F.col("total") + F.col("v")).cast("double")).alias("denominator"),
     )
-    entry = F.when(is_word, F.struct("label", F.log(F.col("c") + 1.0).alias("weight")))
-    tokens = counts.groupBy("token").agg(
-        F.collect_list(entry).alias("entries"), F.max(is_word).alias("known")
-    )
+    entry = F.struct("label", F.log(F.col("c") + 1.0).alias("weight"))
+    tokens = counts.where(is_word).groupBy("token").agg(F.collect_list(entry).alias("entries"))
     return CountModel(tokens, labels)
 
 
@@ -68,14 +63,12 @@ def predict_counts(model: CountModel, df: DataFrame, text: str = "question") ->
     """Scores of all labels for every different text: ``(text, scores)``, best first.
 
     Only the labels a token was seen with meet the text; the rest share a base
-    score that depends on the label and the number of known tokens.
+    score that depends on the label and the number of known tokens. A text without a known
+    token keeps the priors.
     """
-    words = df.select(F.col(text).alias("_q")).distinct().select(
-        "_q", F.explode(words_of(F.col("_q"))).alias("token")
-    )
-    mark = F.struct(
-        F.lit(None).alias("label"), F.col("known").cast("double").alias("weight")
-    )
+    texts = df.select(F.col(text).alias("_t")).distinct()
+    words = texts.select(F.col("_t").alias("_q"), F.explode(tokenize_question(F.col("_t"))).alias("token"))
+    mark = F.struct(F.lit(None).alias("label"), F.lit(1.0).alias("weight"))
     per_label = (
         words.join(model.tokens, "token")
         .select("_q", F.inline(F.array_append("entries", mark)))
@@ -90,7 +83,9 @@ def predict_counts(model: CountModel, df: DataFrame, text: str = "question") ->
     base = model.labels.agg(
         F.array_sort(F.collect_list(F.struct("label", "prior", "denominator")))
     ).scalar()
-    joined = joined.select("*", base.alias("_base"))
+    joined = texts.join(joined, F.col("_t").eqNullSafe(F.col("_q")), "left").select(
+        "_t", "_seen", F.coalesce("_n", F.lit(0.0)).alias("_n"), base.alias("_base")
+    )
 
     def score(b: Column) -> Column:
         found = F.coalesce(F.try_element_at("_seen", b["label"]), F.lit(0.0))
@@ -99,7 +94,7 @@ def predict_counts(model: CountModel, df: DataFrame, text: str = "question") ->
     scores = F.transform(
         "_base", lambda b: F.struct((-score(b)).alias("cost"), b["label"].alias("label"))
     )
-    return joined.select(F.col("_q").alias(text), F.array_sort(scores).alias("scores"))
+    return joined.select(F.col("_t").alias(text), F.array_sort(scores).alias("scores"))
 
 
 def question_classifier_nb(model: CountModel, df: DataFrame, text: str = "question") -> DataFrame:

@@ -1,8 +1,8 @@
 """Distances between row vectors and a few centres.
 
 A centre set is a model parameter (k rows). It is read once per step and sent to
-the tasks in blocks of a checked size; any number of centres works, because
-the blocks are reduced inside the row. Rows are never multiplied by centres.
+the tasks in blocks, which are reduced inside the row; more than ``MAX_CENTER_VALUES``
+numbers in all raise an error. Rows are never multiplied by centres.
 The arithmetic runs on whole Arrow batches, since an expression over
 k x d array elements is interpreted element by element.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_VALUES = 1_000_000
+MAX_CENTER_VALUES = 50_000_000
 
 
 def to_matrix(vectors: pd.Series) -> np.ndarray:
@@ -36,12 +37,16 @@ def squared_distances(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def center_blocks(centers: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Centres in id order as (ids, matrix) blocks of bounded size."""
+    """Centres in id order as (ids, matrix) blocks of bounded size, up to ``MAX_CENTER_VALUES`` numbers in all."""
     ids: list[int] = []
     rows: list[list[float]] = []
+    values = 0
     for row in centers.select("center_id", "center").orderBy("center_id").toLocalIterator():
         ids.append(row["center_id"])
         rows.append(row["center"])
+        values += len(row["center"])
+        if values > MAX_CENTER_VALUES:
+            raise ValueError(f"centres hold more than {MAX_CENTER_VALUES} numbers")
         if len(rows) * len(rows[0]) >= BLOCK_VALUES:
             yield np.asarray(ids), np.asarray(rows, dtype=np.float64)
             ids, rows = [], []
@@ -81,16 +86,3 @@ def nearest_center(points: DataFrame, centers: DataFrame, vec: str = "vec") -> D
         .withColumn("d2", F.col("_best.d2"))
         .drop("_best")
     )
-
-
-def row_distances(vec: Column, center: Column) -> Column:
-    """Squared distance of two vector columns of one row."""
-
-    @F.pandas_udf("double")
-    def d2(a: pd.Series, b: pd.Series) -> pd.Series:
-        if len(a) == 0:
-            return pd.Series(dtype=float)
-        diff = to_matrix(a) - to_matrix(b)
-        return pd.Series((diff * diff).sum(axis=1))
-
-    return d2(vec, center)

@@ -59,11 +59,12 @@ def relation_triggers(questions: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def execute_question(questions: DataFrame, edges: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Edges for each (entity, triggered type): the entity as subject, then as object.
+    """Edges for each different (entity, triggered type): the entity as subject, then as object.
 
-    Both roles share one equi join, on edges keyed by either end.
+    Both roles share one equi join, on edges keyed by either end. Questions about one entity and
+    type share its edges; ``relation_triggers`` says which question asks for which type.
     """
-    asked = relation_triggers(questions, keywords)
+    asked = relation_triggers(questions, keywords).select("entity", "rel_type").distinct()
     ends = edges.select(
         F.inline(
             F.array(

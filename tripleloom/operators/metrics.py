@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tripleloom.operators.numbering import repeat_rows
+from tripleloom.operators.numbering import numbered, repeat_rows
 from tripleloom.session import cut_lineage
 
+MAX_LABELS = 5000
+MAX_SIZES = 100_000
+
 
 def contingency(df: DataFrame, true: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
@@ -104,8 +107,8 @@ def ln_factorial(n: Column) -> Column:
 def expected_mutual_information(table: DataFrame) -> DataFrame:
     """Expected mutual information of two random labelings with these marginals.
 
-    Equal marginals are taken once with their number. There are at most
-    sqrt(2N) different sizes on a side, which bounds the array of the other side.
+    Equal marginals are taken once with their number. The different sizes of the clusters are an array
+    beside every size of the labels; more than ``MAX_SIZES`` of them raise an error.
     The hypergeometric terms run only where they are not zero in double precision, and in
     bounded pieces.
     """
@@ -113,7 +116,11 @@ def expected_mutual_information(table: DataFrame) -> DataFrame:
     rows = rows.groupBy("a").agg(F.count("*").alias("na"))
     cols = table.groupBy("p").agg(F.sum("n").cast("double").alias("b"))
     cols = cols.groupBy("b").agg(F.count("*").alias("nb"))
-    sides = cols.agg(F.collect_list(F.struct("b", "nb"))).scalar()
+    few = F.when(F.count("*") > MAX_SIZES, F.raise_error(F.lit(f"more than {MAX_SIZES} different cluster sizes")))
+    bounded = cols.limit(MAX_SIZES + 1)
+    sides = bounded.agg(
+        F.coalesce(few.cast("array<struct<b:double,nb:bigint>>"), F.collect_list(F.struct("b", "nb")))
+    ).scalar()
     total = table.agg(F.sum("n").cast("double")).scalar()
     pairs = rows.select("*", sides.alias("_cols"), total.alias("n")).select(
         "a", "na", "n", F.inline("_cols")
@@ -197,7 +204,8 @@ def best_assignment(weights: np.ndarray) -> list[tuple[int, int]]:
 def clustering_accuracy(df: DataFrame, true: str, pred: str) -> DataFrame:
     """Share of rows on the best one-to-one mapping of clusters to labels.
 
-    Only the contingency table, K x K counts, goes to the assignment step.
+    Only the contingency table goes to the assignment step, in one task: over ``MAX_LABELS``
+    different labels or clusters raise an error.
     """
 
     def solve(cells: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +214,11 @@ def clustering_accuracy(df: DataFrame, true: str, pred: str) -> DataFrame:
         best = sum(int(w[i, j]) for i, j in best_assignment(w))
         return pd.DataFrame({"matched": [best], "total": [int(w.sum())]})
 
-    cells = contingency(df, true, pred).withColumn("_all", F.lit(0))
+    table = cut_lineage(contingency(df, true, pred), "contingency")
+    sides = table.agg(F.countDistinct("t").alias("t"), F.countDistinct("p").alias("p")).first()
+    if max(sides) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels on a side of an assignment")
+    cells = table.withColumn("_all", F.lit(0))
     solved = cells.groupBy("_all").applyInPandas(solve, "matched bigint, total bigint")
     return solved.withColumn("accuracy", F.col("matched") / F.col("total"))
 
@@ -268,8 +280,11 @@ def confusion_matrix(df: DataFrame, true: str, pred: str) -> DataFrame:
     diagonal = percent.groupBy("t").agg(
         F.sum(F.when(F.col("t") == F.col("p"), F.col("percent")).otherwise(0.0)).alias("_d")
     )
-    ranked = diagonal.withColumn("ord", F.row_number().over(W.orderBy(F.col("_d").desc(), "t")))
-    return percent.join(ranked.select("t", "ord"), "t").select("t", "p", "n", "percent", "ord")
+    keyed = cut_lineage(diagonal.select("t", F.struct((-F.col("_d")).alias("d"), "t").alias("_k")), "diagonal")
+    ranked = numbered(keyed, "_k", name="ord")
+    return percent.join(ranked.select("t", "ord"), "t").select(
+        "t", "p", "n", "percent", F.col("ord").cast("int").alias("ord")
+    )
 
 
 def shared_label(own: Column, other: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tripleloom.session import cut_lineage
+
 CHUNK = 100_000
 GROUP_LIMIT = 1000
 
@@ -74,6 +76,21 @@ def numbered(df: DataFrame, order: str, by: list[str] = (), name: str = "rn") ->
     )
 
 
+def placed(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """The place of every row of an ordered frame, from 1, in the order it really has.
+
+    The rows are written in their order; a row's place is the rows of the partitions before plus its
+    place in its own. One row per partition is all that crosses a shuffle.
+    """
+    marked = ordered.select("*", F.monotonically_increasing_id().alias("_id"))
+    written = cut_lineage(marked, "ordered").withColumn("_part", F.shiftright("_id", 33))
+    sizes = written.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return written.join(shifts, "_part").select(*ordered.columns, (inside + F.col("_shift") + 1).alias(name))
+
+
 def repeat_rows(df: DataFrame, times: str, name: str = "i", chunk: int = CHUNK) -> DataFrame:
     """``times`` copies of each row numbered from 1, in bounded pieces spread over the tasks.
 

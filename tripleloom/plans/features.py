@@ -84,6 +84,13 @@ def filtered_triples(basic: DataFrame, max_tokens: int = 4, min_chars: int = 3)
     return filters.drop_garbage_relation(kept)
 
 
+# What the vectors are made of, beside the keys and the arguments.
+VECTOR_INPUTS = [
+    "relation", "subj_start", "obj_start", "rel_start", "pos_subj", "pos_rel", "pos_obj", "subj_type", "obj_type",
+    "trigger", "lemmas", "dep_path",
+]
+
+
 def plain_features(basic: DataFrame) -> DataFrame:
     """Multi-hot vectors and positions of every triple; the surface forms in lower case."""
 
@@ -137,10 +144,19 @@ def join_embeddings(
 
 
 def build_matrices(sentences: DataFrame, embeddings: DataFrame, dim: int = 64) -> DataFrame:
-    """Annotations to vectors of width ``dim``, one row per (subject, object)."""
-    plain = plain_features(filtered_triples(explode_triples(sentences)))
-    vectored = assemble_vectors(join_embeddings(plain, embeddings, dim=dim))
-    return distinct_pairs(vectored, ["doc_id", "sent", "tpos"])
+    """Annotations to vectors of width ``dim``, one row per (subject, object).
+
+    The distinct comes first, over the strings alone: only the rows that stay meet the embeddings
+    and get vectors.
+    """
+    found = filtered_triples(explode_triples(sentences))
+    keyed = found.select(
+        "doc_id", "sent", "tpos", *[F.lower(c).alias(c) for c in ("subject", "object")],
+        F.struct("subject", "object", *VECTOR_INPUTS).alias("_row"),
+    )
+    first = distinct_pairs(keyed, ["doc_id", "sent", "tpos"])
+    rows = first.select("doc_id", "sent", "tpos", "_row.*")
+    return assemble_vectors(join_embeddings(plain_features(rows), embeddings, dim=dim))
 
 
 def word_vector_rows(

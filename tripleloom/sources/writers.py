@@ -21,6 +21,12 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.select(*kept).write.mode("overwrite").csv(path, sep="\t", header=False, emptyValue="")
 
 
+def write_text_docs(df: DataFrame, path: str, text: str = "text") -> None:
+    """Every text as a file of its own, ended by a newline. A null text is written as an empty one."""
+    rows = df.select(F.coalesce(text, F.lit("")).alias("value"))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_cluster_json(exported: DataFrame, path: str) -> None:
     """One single-entry JSON map per line and cluster."""
     line = F.concat(F.lit('{"'), F.col("cluster").cast("string"), F.lit('":'), "json", F.lit("}"))
