@@ -716,37 +716,69 @@ def sql_row(i: int, field: str, words: list[str], prefix: str) -> str:
     return f"list_transform([{quoted(words)}], lambda v: CASE WHEN {tags}[{i}] = v THEN 1 ELSE 0 END)"
 
 
+def sql_rows(prefix: str) -> str:
+    parts = ", ".join(f"{sql_row(i, 'ner', NER_TYPES, prefix)}, {sql_row(i, 'pos', POS_TAGS, prefix)}" for i in (1, 2, 3))
+    return f"array_to_string(flatten([{parts}]), ',')"
+
+
+def sql_vec(prefix: str, i: int) -> str:
+    return f"round(coalesce(list_sum(list_transform({prefix}{i}.vec, lambda x: CAST(x AS DOUBLE))), 0), 4) AS {prefix}_{i}"
+
+
+def sql_vec_join(prefix: str, i: int) -> str:
+    return (
+        f"LEFT JOIN words_v {prefix}{i} ON {prefix}{i}.word = toks[{prefix}_start+{i}].lemma AND {prefix}_start + {i} <= {prefix}_end "
+    )
+
+
+_BOTH = [(p, i) for p in ("obj", "rel") for i in (1, 2, 3)]
+
+
 @case(
     "t40_assemble_positional",
     sql_with(
-        "SELECT doc_id, sent, tpos, "
-        + "array_to_string(flatten(["
-        + ", ".join(f"{sql_row(i, 'ner', NER_TYPES, 'obj')}, {sql_row(i, 'pos', POS_TAGS, 'obj')}" for i in (1, 2, 3))
-        + f"]), ',') AS object_rows, {', '.join(sql_word_sum(i) for i in (1, 2, 3))}, 3 * (41 + 64 + 41) AS relation_size FROM spans_v "
-        + "".join(sql_word(i) for i in (1, 2, 3)),
+        f"SELECT doc_id, sent, tpos, {sql_rows('obj')} AS object_rows, {sql_rows('rel')} AS relation_rows, "
+        + f"{SQL_HOT_PREP} AS prep, "
+        + ", ".join(sql_vec(p, i) for p, i in _BOTH)
+        + ", 3 * (41 + 64 + 41) AS relation_size, rel_start - obj_start AS dist, round(obj_start / n_tokens, 4) AS place FROM spans_v "
+        + "".join(sql_vec_join(p, i) for p, i in _BOTH),
         "spans_v", words_v=WORDS_SQL,
     ),
 )
 def _(t: Tables) -> DataFrame:
-    """Argument rows of the object; relation rows with the object's word vectors."""
-    field = lambda name, p: F.transform(syntax.span_of(F.col("tokens"), *span(p)), lambda x: x[name])
-    rows = t.spans().select(
+    """Rows of the object, also in the older form with distance and relative start, and of the relation, each from its own tokens."""
+    words = t.stage("words", lambda: word_table(t))
+    tokens = F.col("tokens")
+    field = lambda name, p: F.transform(syntax.span_of(tokens, *span(p)), lambda x: x[name])
+    both = t.spans().select(
         *KEY,
-        vectors.positional_onehot(field("ner", "obj"), NER_TYPES).alias("ner"),
-        vectors.positional_onehot(field("pos", "obj"), POS_TAGS).alias("pos"),
+        *[vectors.positional_onehot(field("ner", p), NER_TYPES).alias(f"ner_{p}") for p in ("obj", "rel")],
+        *[vectors.positional_onehot(field("pos", p), POS_TAGS).alias(f"pos_{p}") for p in ("obj", "rel")],
         vectors.prep_multihot(F.col("relation")).alias("prep"),
+        (F.col("rel_start") - F.col("obj_start")).alias("dist"),
+        (F.col("obj_start") / F.size("tokens")).alias("place"),
+    )
+    for p, phrase in (("obj", "object"), ("rel", "relation")):
+        lemmas = t.spans().select(*KEY, syntax.lemma_pos(tokens, *span(p), F.col(phrase)).alias("lemmas"))
+        found = features.word_vector_rows(lemmas, KEY, "lemmas", words, 64)
+        both = both.join(found.withColumnRenamed("w2v", f"w2v_{p}"), KEY)
+    c = lambda name, p: F.col(f"{name}_{p}")
+    built = both.select(
+        *KEY,
+        vectors.positional_argument(c("ner", "obj"), c("pos", "obj")).alias("argument"),
+        vectors.positional_relation(c("ner", "rel"), c("pos", "rel"), c("w2v", "rel"), F.col("prep")).alias("rel"),
+        vectors.positional_with_distance(c("ner", "obj"), c("pos", "obj"), c("w2v", "obj"), F.col("dist"), F.col("place")).alias("obj"),
     )
-    words = features.word_vector_rows(object_lemmas(t), KEY, "lemmas", word_table(t), 64)
-    both = rows.join(words, KEY)
-    relation = vectors.positional_relation(F.col("ner"), F.col("pos"), F.col("w2v"), F.col("prep"))
-    argument = vectors.positional_argument(F.col("ner"), F.col("pos"))
-    built = both.select(*KEY, argument.alias("a"), relation.alias("r"))
-    total = lambda i: F.aggregate(
-        F.slice(F.get("r", F.lit(i)), 42, 64).cast("array<double>"), F.lit(0.0), lambda a, x: a + x
-    )
+    row = lambda p, i: F.get(p, F.lit(i - 1))
+    total = lambda p, i: F.aggregate(F.slice(row(p, i), 42, 64).cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    plain = lambda rows: joined(F.flatten(rows).cast("array<int>"))
     return built.select(
         *KEY,
-        joined(F.flatten("a").cast("array<int>")).alias("object_rows"),
-        *[F.round(total(i), 4).alias(f"s{i + 1}") for i in range(3)],
-        F.size(F.flatten("r")).alias("relation_size"),
+        plain(F.col("argument")).alias("object_rows"),
+        plain(F.transform("rel", lambda r: F.slice(r, 1, 41))).alias("relation_rows"),
+        joined(F.slice(row("rel", 3), 106, 41).cast("array<int>")).alias("prep"),
+        *[F.round(total(p, i), 4).alias(f"{p}_{i}") for p, i in _BOTH],
+        F.size(F.flatten("rel")).alias("relation_size"),
+        F.element_at(row("obj", 1), -2).cast("int").alias("dist"),
+        F.round(F.element_at(row("obj", 3), -1).cast("double"), 4).alias("place"),
     )

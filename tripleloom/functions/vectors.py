@@ -45,10 +45,6 @@ def positional_onehot(tags: Column, vocabulary: list[str], n: int = 3) -> Column
     )
 
 
-def any_set(vector: Column) -> Column:
-    return F.array_contains(vector, 1)
-
-
 def argument_vector(pos: Column, ner: Column) -> Column:
     return F.concat(pos, ner).cast("array<float>")
 

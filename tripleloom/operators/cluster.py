@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,8 +29,6 @@ from tripleloom.operators.dense import (
 from tripleloom.operators.distinct import unique_vectors
 from tripleloom.session import cut_lineage
 
-SALTS = 32
-
 
 def centers_frame(spark: SparkSession, ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
     rows = [(int(i), [float(x) for x in row]) for i, row in zip(ids, matrix)]
@@ -142,8 +139,8 @@ def center_sums(
 ) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Adds up (k x d sums, k counts, one scalar) over all rows.
 
-    ``step`` maps a batch to its share. Each task adds its batches first and emits k rows; these are
-    added in salted parts and then per centre, so no reducer meets a row of every task.
+    ``step`` maps a batch to its share. Each task adds its batches first and emits k rows. A
+    reducer streams one row of d numbers per task and centre: 50 MB at d = 64 and 100,000 tasks.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,21 +156,17 @@ def center_sums(
         if sums is not None:
             first = np.zeros(k)
             first[0] = 1
-            salt = TaskContext.get().partitionId() % SALTS
             yield pd.DataFrame(
-                {"c": np.arange(k), "salt": salt, "s": list(sums), "w": counts, "x": scalar * first,
+                {"c": np.arange(k), "s": list(sums), "w": counts, "x": scalar * first,
                  "n": (rows * first).astype(np.int64)}
             )
 
-    parts = points.select(vec).mapInPandas(partial, "c int, salt int, s array<double>, w double, x double, n bigint")
-
-    def added(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(
-            vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"),
-            F.sum("w").alias("w"), F.sum("x").alias("x"), F.sum("n").alias("n"),
-        )
-
-    found = sorted(added(added(parts, "c", "salt"), "c").collect(), key=lambda r: r["c"])
+    parts = points.select(vec).mapInPandas(partial, "c int, s array<double>, w double, x double, n bigint")
+    total = parts.groupBy("c").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"),
+        F.sum("w").alias("w"), F.sum("x").alias("x"), F.sum("n").alias("n"),
+    )
+    found = sorted(total.collect(), key=lambda r: r["c"])
     return (
         np.array([r["s"] for r in found]), np.array([r["w"] for r in found]),
         sum(r["x"] for r in found), sum(r["n"] for r in found),
