@@ -24,6 +24,14 @@ def test_marginals_against_all_labellings():
         assert Q.marginals(np.exp(np.array(own)), tuple(steps)) == pytest.approx([g / total for g in good], rel=1e-6)
 
 
+def test_long_texts_are_learnt_from_all_over():
+    for n in (1, 255, 256, 257, 300, 10_000):
+        places = Q.training_lines(n)
+        assert places[0] == 0 and places[-1] == n - 1
+        assert len(places) <= Q.MAX_TRAIN_LINES and len(set(places.tolist())) == len(places)
+    assert Q.training_lines(256).tolist() == list(range(256))
+
+
 def test_gradient_against_differences():
     rng = np.random.default_rng(2)
     x = [rng.standard_normal((n, 3)).astype(np.float32) for n in (1, 4, 2)]

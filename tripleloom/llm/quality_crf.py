@@ -23,6 +23,7 @@ from tripleloom.llm.common import explode_slices, labelled_texts, logistic, map_
 
 MAX_LABELLED = 4_000
 MAX_TRAIN_LINES = 256
+TRAIN_RUNS = 8
 THRESHOLD = 0.7
 CLASSES = 9
 OWN = 15
@@ -209,9 +210,19 @@ def line_labels(x: list[np.ndarray], y: np.ndarray, rounds: int = 3) -> list[np.
     return labels
 
 
+def training_lines(n: int) -> np.ndarray:
+    """Places of the lines that a text of ``n`` lines is learnt from: all, or runs spread over the whole text."""
+    if n <= MAX_TRAIN_LINES:
+        return np.arange(n)
+    run = MAX_TRAIN_LINES // TRAIN_RUNS
+    starts = np.linspace(0, n - run, TRAIN_RUNS).astype(np.int64)
+    return np.unique(starts[:, None] + np.arange(run))
+
+
 def fit_quality(documents: DataFrame, labels: DataFrame, keep: Column, max_labelled: int = MAX_LABELLED) -> QualityModel:
     """A model learnt from at most ``max_labelled`` labelled rows for which ``keep`` holds, chosen by hash,
-    and from at most ``MAX_TRAIN_LINES`` lines of each.
+    and from at most ``MAX_TRAIN_LINES`` lines of each: a longer text gives ``TRAIN_RUNS`` runs of
+    neighbouring lines, spread evenly from its first line to its last.
 
     Their features (under 30 KB a row) are all that comes to the driver. Without labelled rows every
     text scores 0.5.
@@ -222,7 +233,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, keep: Column, max_label
         def work(ids: list, ys: list[int], texts: list[str]) -> list[list]:
             x, weight, sizes = line_features(texts)
             ends = np.cumsum(sizes)
-            cut = [slice(e - n, e - n + min(n, MAX_TRAIN_LINES)) for e, n in zip(ends.tolist(), sizes.tolist())]
+            cut = [e - n + training_lines(n) for e, n in zip(ends.tolist(), sizes.tolist())]
             return [ids, ys, [x[c].tobytes() for c in cut], [weight[c].astype(np.float32).tobytes() for c in cut]]
 
         return work
