@@ -1,0 +1,38 @@
+import corpus_pipeline as P
+from tripleloom.llm import decontaminate, hilbert_pack, secret_scan
+from tripleloom.llm.common import table
+from test_hilbert_pack import SPEC, verify
+from test_simhash_pivots import words_set
+
+
+def test_near_copies_leave_the_pipeline(spark, sf):
+    from tokenizers import Tokenizer
+
+    good = {r.doc_id: r.text for r in P.keep_quality(spark, table(spark, sf, "documents"), sf).collect()}
+    sets = {i: words_set(good[i] or "") for i in sorted(good)}
+    root = {i: i for i in sets}
+    near = 0
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j]) if j < i else 0
+            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                near += sets[i] != sets[j]
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    assert near
+    stage = P.keep_first_of_copies(spark, table(spark, sf, "documents").where("doc_id in (%s)" % ",".join(map(str, good))), sf)
+    expected = {i: good[i] for i in set(root.values())}
+    assert {r.doc_id: r.text for r in stage.collect()} == expected
+
+    find = decontaminate.finder(decontaminate.build_indexes([(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]))
+    scan, own = secret_scan.scanner(), Tokenizer.from_str(SPEC)
+    ids = {}
+    for (i, text), leaks in zip(expected.items(), find(list(expected.values()))):
+        if not leaks:
+            base, more = scan(text)
+            parts, at = [], 0
+            for s, _, e in sorted(base + more):
+                parts += [text[at:s], "[SECRET]"] if s >= at else []
+                at = max(at, e)
+            ids[i] = own.encode("".join(parts) + text[at:], add_special_tokens=False).ids + [1]
+    verify(P.run(spark, sf).collect(), ids, hilbert_pack.CAPACITY)

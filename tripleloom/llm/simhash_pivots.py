@@ -13,10 +13,16 @@ largest coordinate difference to the dense pivots, and the rest verified.
 
 No pair leaves a bucket: a task reduces its bucket to the edges of a spanning forest, at
 most one per fingerprint, and a large bucket is cut again by finer choices of groups.
+
+``drop_near_duplicates`` has its own rule: sets of five-word shingles with a Jaccard similarity of
+``SIMILARITY`` or more. Such pairs differ in about ten bits of a 64-bit SimHash, where no choice of unchanged
+groups is left to join on, so the candidates come from MinHash bands; each group of them is then compared exactly.
+A pair at the threshold shares one of the bands with probability ``1 - (1 - 0.8 ** 4) ** 20`` = 0.99997.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -36,6 +42,22 @@ GROUPS = 5
 FINE_GROUPS = 8
 SMALL_BUCKET = 512
 LOW = 0x5555555555555555
+COPY_SHINGLE = 5
+SIMILARITY = 0.8
+BANDS = 20
+BAND_ROWS = 4
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words, of the whole where there are fewer."""
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-shingle] + 1]).tolist()
+    digest = xxhash.xxh64_intdigest
+    n = len(starts)
+    return np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, n)
 
 
 def fingerprint(text: str) -> int:
@@ -46,17 +68,7 @@ def fingerprint(text: str) -> int:
     words = text.encode().lower().split()  # bytes: A-Z only, ASCII white space only
     if not words:
         return 0
-    if len(words) <= SHINGLE:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-SHINGLE] + 1]).tolist()
-        digest = xxhash.xxh64_intdigest
-        n = len(starts)
-        hashes = np.fromiter(
-            (digest(line[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :].tolist())), np.uint64, n
-        )
+    hashes = shingle_hashes(words, SHINGLE)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -262,19 +274,148 @@ def component_ids(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return grouped.join(least, "group").select(key, "fingerprint", "component_id")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct five-word shingles of a text, as sorted hashes."""
+    words = (text or "").encode().lower().split()
+    return np.unique(shingle_hashes(words, COPY_SHINGLE)) if words else np.empty(0, np.uint64)
+
+
+def band_keys(codes: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> list[int]:
+    """One key per band of MinHash values, as signed longs; none for an empty set."""
+    if not len(codes):
+        return []
+    least = np.full(len(masks), 0xFFFFFFFF, np.uint32)
+    mixed = (codes ^ (codes >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(mixed), 1 << 12):
+        np.minimum(least, ((mixed[at : at + (1 << 12), None] ^ masks) * factors).min(axis=0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    found = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)]
+    return [x - (1 << 64) if x >> 63 else x for x in found]
+
+
+def add_sets(df: DataFrame, text: str, mark: str, bands: str) -> DataFrame:
+    """All columns, the 128-bit hash of the text's shingle set as ``mark`` and its keys as ``bands``."""
+
+    def make() -> Callable[[list[str | None]], list[list]]:
+        mixed = [xxhash.xxh64_intdigest(b"copy %d" % i, SEED) for i in range(BANDS * BAND_ROWS)]
+        masks = np.array([m & 0xFFFFFFFF for m in mixed], np.uint32)
+        factors = np.array([(m >> 32) | 1 for m in mixed], np.uint32)
+
+        def work(texts: list[str | None]) -> list[list]:
+            sets = [shingle_set(t) for t in texts]
+            return [[xxhash.xxh3_128_digest(c.tobytes()) for c in sets], [band_keys(c, masks, factors) for c in sets]]
+
+        return work
+
+    return map_slices(df, [text], make, f"`{mark}` binary, `{bands}` array<bigint>")
+
+
+def band_links(keyed: DataFrame) -> DataFrame:
+    """Edges ``a``, ``b`` that join all rows of a ``key``, without listing its pairs.
+
+    Every row meets the first row of each of its keys. It keeps one edge, to the smallest of these, and
+    hands the others on as edges between the first rows, which are few and the same for most of a group.
+    """
+    runs = keyed.repartition("key").sortWithinPartitions("key", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, first = None, 0
+        for batch in batches:
+            key, row = batch.column("key").to_numpy(), batch.column("row").to_numpy()
+            if not len(key):
+                continue
+            begins = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
+            heads = np.concatenate([[first], row[begins]])[np.cumsum(begins)]
+            last_key, first = key[-1], heads[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(row[~begins]), pa.array(heads[~begins])], names=["a", "b"])
+
+    stars = runs.mapInArrow(run, "a bigint, b bigint").where("a <> b")
+    firsts = stars.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("firsts"))
+    low = F.element_at("firsts", 1)
+    rest = F.transform(F.slice("firsts", 2, BANDS), lambda x: F.struct(x.alias("a"), low.alias("b")))
+    edges = F.concat(F.array(F.struct(F.col("a").alias("a"), low.alias("b"))), rest)
+    return firsts.select(F.inline(edges)).distinct()
+
+
+def alike(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """The first place linked to each of the sets by exact Jaccard similarities, links taken together.
+
+    Sets this similar share one of their rarest elements, all but a share ``similarity`` of each. Where such an
+    element leads out of a set's group, its overlap with all sets is counted at once.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    group = np.arange(n)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(codes, kind="stable")
+    holders, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(codes))])
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    for i in range(n):
+        times = starts[own[i] + 1] - starts[own[i]]
+        rare = own[i][np.argsort(times, kind="stable")][: sizes[i] - math.ceil(similarity * sizes[i] - 1e-9) + 1]
+        if not any((group[holders[starts[c] : starts[c + 1]]] != group[i]).any() for c in rare.tolist()):
+            continue
+        shared = np.zeros(n, np.int64)
+        for c in own[i].tolist():
+            shared[holders[starts[c] : starts[c + 1]]] += 1
+        for g in np.unique(group[shared >= similarity * (sizes + sizes[i] - shared) - 1e-9]).tolist():
+            low, high = sorted((g, int(group[i])))
+            group[group == high] = low
+    return group
+
+
+def verified_groups(texts: DataFrame) -> DataFrame:
+    """``node`` and ``root`` by exact comparison of the ``text`` of all rows of a ``group``."""
+    runs = texts.repartition("group").sortWithinPartitions("group", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, sets = None, [], []
+
+        def out() -> pa.RecordBatch:
+            roots = [rows[g] for g in alike(sets).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(roots, pa.int64())], names=["node", "root"])
+
+        for batch in batches:
+            for group, row, text in zip(*[batch.column(c).to_pylist() for c in ("group", "row", "text")]):
+                if group != current and rows:
+                    yield out()
+                    rows, sets = [], []
+                current = group
+                rows.append(row)
+                sets.append(shingle_set(text))
+        if rows:
+            yield out()
+
+    return runs.mapInArrow(run, "node bigint, root bigint")
+
+
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest key of every component, its columns unchanged.
+    """The row with the smallest key of every group of near copies, its columns unchanged.
+
+    Texts are near copies if the sets of their five-word shingles have a Jaccard similarity of ``SIMILARITY``
+    or more; groups are taken together over such links. Equal sets are one node from the start. Texts
+    that share a band are candidates, and all texts of a group of candidates are compared exactly.
 
-    Ties and repeated rows: exactly one row stays. A null key stays only where its component has
-    no other. Rows are numbered in a written table, so they can be told apart.
+    Null and empty texts are copies. Ties and repeated rows: exactly one row stays. A null key stays only where its
+    group has no other. Rows are numbered in a written table, so they can be told apart.
     """
-    row, mark, group = fresh(df, "row", "mark", "group")
+    row, mark, bands = fresh(df, "row", "mark", "bands")
     columns = [F.col(f"`{c}`") for c in df.columns]
     numbered = df.select(*columns, F.monotonically_increasing_id().alias(row))
-    staged = cut_lineage(add_fingerprints(numbered, text, mark), "staged")
-    grouped = with_groups(staged.select(row, F.col(f"`{key}`").alias("k"), mark), mark, group)
-    best = F.min(F.struct(F.col("k").isNull().alias("z"), F.col("k").alias("k"), F.col(row).alias("r")))
-    kept = grouped.groupBy(group).agg(best.alias("b")).select(F.col("b.r").alias("kept_row"))
+    staged = cut_lineage(add_sets(numbered, text, mark, bands), "staged")
+    k = F.col(f"`{key}`")
+    best = F.min(F.struct(k.isNull().alias("z"), k.alias("k"), F.col(row).alias("r"))).alias("best")
+    sets = cut_lineage(staged.groupBy(mark).agg(F.min(row).alias("node"), best).drop(mark), "sets")
+    once = staged.join(sets, staged[row] == sets["node"], "left_semi")
+    keyed = once.select(F.col(row).alias("row"), F.explode(bands).alias("key"))
+    groups = components(cut_lineage(band_links(keyed), "edges"))
+    texts = staged.join(groups, staged[row] == groups["node"]).select(
+        F.col("root").alias("group"), F.col(row).alias("row"), F.col(f"`{text}`").alias("text")
+    )
+    roots = verified_groups(texts).withColumnRenamed("node", "of")
+    grouped = sets.join(roots, sets["node"] == roots["of"], "left").select("best", F.coalesce("root", "node").alias("root"))
+    kept = grouped.groupBy("root").agg(F.min("best").alias("b")).select(F.col("b.r").alias("kept_row"))
     return staged.join(kept, staged[row] == kept["kept_row"], "left_semi").select(*columns)
 
 
