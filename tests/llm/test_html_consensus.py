@@ -60,3 +60,22 @@ def test_query_on_given_pages(spark, sf):
         article = re.search(r"<article>(.*?)(</article>|<footer|$)", pages[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+LONG = "<p>" + "word " * 99 + "end</p>"
+SEEN = "word " * 99 + "end"
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f"<article><h1>T</h1><p>lead</p><div class='content'>{LONG}</div><p>last</p></article><div>teaser</div>", f"T\nlead\n{SEEN}\nlast"),
+        (f"<article><h1>T</h1><div><p>lead</p><section>{LONG}</section></div></article>", f"T\nlead\n{SEEN}"),
+        (f"<div>site</div><h1>T</h1><p>lead</p><div class='content'>{LONG}</div><div>teaser</div>", f"T\nlead\n{SEEN}"),
+        (f"<div><div><h1>T</h1></div><div class='content'>{LONG}</div><div>teaser</div></div>", f"T\n{SEEN}"),
+        (f"<div><h1>Site</h1></div><div class='content'>{LONG}</div>", SEEN),
+        (f"<main><h1>T</h1><article>{LONG}</article></main>", f"T\n{SEEN}"),
+    ],
+)
+def test_titles_and_leads_around_the_winner(source, text):
+    assert H.main_text(source, None) == text

@@ -243,15 +243,57 @@ def best_path(scores: dict[str, float]) -> str | None:
 
 
 def text_under(page: Page, path: str | None) -> str | None:
-    """Blocks inside containers of a path, in page order; None if the page has no such container."""
-    names = paths(page)
-    inside = [False] * len(page.nodes)
-    for i, node in enumerate(page.nodes):
-        here = node.tag in CONTAINERS and names[i] == path
-        inside[i] = here or (node.parent >= 0 and inside[node.parent])
-    if not any(inside):
+    """Blocks inside containers of a path, in page order; None if the page has no such container.
+
+    A container inside an article or main stands for the nearest of these. Where it holds no ``h1``, but
+    something around it has one before it, the blocks from there on to the container are taken too.
+    """
+    names, nodes = paths(page), page.nodes
+    spots = [i for i, node in enumerate(nodes) if node.tag in CONTAINERS and names[i] == path]
+    if not spots:
+        return None
+    chosen = {widened(page, i) for i in spots if not nodes[i].noise}
+    inside = [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        inside[i] = i in chosen or (node.parent >= 0 and inside[node.parent])
+    first = title_before(page, min(chosen), inside) if chosen else None
+    lead = range(0) if first is None else range(first, min(chosen))
+    # A block of the element around both lies between them if it comes after the title's block and before the container's.
+    own = [k for k, (i, _, _) in enumerate(page.blocks) if inside[i]]
+    start = next((k for k, (i, _, _) in enumerate(page.blocks) if i in lead), len(page.blocks))
+    between = range(start, own[0] if own else start)
+    return "\n".join(t for k, (i, t, _) in enumerate(page.blocks) if (inside[i] or k in between) and not nodes[i].noise)
+
+
+def widened(page: Page, i: int) -> int:
+    """The nearest article or main that is or holds an element, else the element."""
+    at = i
+    while at > 0:
+        if page.nodes[at].tag in ("article", "main"):
+            return at
+        at = page.nodes[at].parent
+    return i
+
+
+def title_before(page: Page, container: int, inside: list[bool]) -> int | None:
+    """The last ``h1`` before a container that has none, under the nearest element around that has one.
+
+    Directly in the body only an ``h1`` beside the container counts: others may be the site's name.
+    """
+    nodes = page.nodes
+    titles = [i for i, node in enumerate(nodes) if node.tag == "h1" and not node.noise]
+    if any(inside[i] for i in titles):
         return None
-    return "\n".join(t for i, t, _ in page.blocks if inside[i] and not page.nodes[i].noise)
+    around = nodes[container].parent
+    while around >= 0:
+        for i in reversed([i for i in titles if i < container]):
+            at = nodes[i].parent
+            while around and at > around:
+                at = nodes[at].parent
+            if at == around:
+                return i
+        around = nodes[around].parent
+    return None
 
 
 def main_text(source: str, path: str | None) -> str:
