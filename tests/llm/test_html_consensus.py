@@ -79,3 +79,20 @@ SEEN = "word " * 99 + "end"
 )
 def test_titles_and_leads_around_the_winner(source, text):
     assert H.main_text(source, None) == text
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article><h2 id='related-work'>Related</h2><p>a</p></article>", "Related\na"),
+        ("<article><section id='discussion'><h2 id='comments-on-x'>On x</h2><p>a</p></section></article>", "On x\na"),
+        ("<article><h2><span id='discussion'>Talk</span></h2><p>a</p></article>", "Talk\na"),
+        ("<main><p>a</p><section class='comments'><p>b</p></section><section id='comments'><p>c</p></section></main>", "a"),
+        ("<div id='discussion'><p>b</p></div><p>a</p>", "a"),
+        ("<p>a <noscript>x</noscript><button>y</button><svg><text>z</text></svg><span hidden>u</span><span class='ad'>v</span> b</p>", "a b"),
+        ("<noscript>x<p>y</p></noscript><p>a</p>", "a"), ("<p>a <noscript>x<div>y</div></noscript></p>", "a"),
+        ("<p>a <span class='ad'>x</span></p><p>b", "a\nb"),
+    ],
+)
+def test_noise_by_name_and_inside_blocks(source, text):
+    assert H.main_text(source, "") == text or H.main_text(source, None) == text

@@ -50,6 +50,11 @@ NOISE_NAMES = frozenset(
     "recommended recommendations comment comments commentlist disqus reply replies respond discussion widget widgets toolbar "
     "pager pagination hidden skip outbrain taboola paywall".split()
 )
+# Also names of an article's own parts, its headings above all.
+GENERIC_NAMES = frozenset(
+    "discussion related recommended recommendations share sharing social notice notices reply replies respond alert promotion".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_NAMES = frozenset("content article post entry story main text body".split())
 
 TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*$)|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([A-Za-z][^\s/>]*)([^>]*)>)""", re.S)
@@ -78,8 +83,12 @@ def words_of(names: str) -> set[str]:
     return {p.lower() for p in PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names))}
 
 
-def describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's generalised step, whether it is noise, and whether only its names say so."""
+def describe(tag: str, attributes: str, around: set[str] = frozenset()) -> tuple[str, bool, bool]:
+    """An element's generalised step, whether it is noise, and whether only its names say so.
+
+    ``around`` are the tags it lies in. Ids of headings are titles, and so are those of inline elements in an
+    article; generic words there and on an article's sections do not make noise.
+    """
     if not attributes.strip(" /\n\t"):
         return tag, tag in NOISE_TAGS, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
@@ -92,7 +101,10 @@ def describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
         return step, True, False
     if tag in ("html", "body", "main", "article") and not words_of(found.get("class", "")) & {"comment", "reply", "ad", "advert"}:
         return step, False, False
-    named = bool(words_of(f"{found.get('class', '')} {found.get('id', '')}") & NOISE_NAMES)
+    within = bool(around & {"article", "main"})
+    title = tag in HEADINGS or bool(around & HEADINGS) or (within and tag not in BLOCKS)
+    names = words_of(found.get("class", "") if title else f"{found.get('class', '')} {found.get('id', '')}") & NOISE_NAMES
+    named = bool(names - GENERIC_NAMES if title or (within and tag == "section") else names)
     return step, named, named
 
 
@@ -100,31 +112,25 @@ def parse(source: str) -> Page:
     """Elements and blocks of a page; unclosed, crossing and stray tags are taken as browsers take them, in the main."""
     page = Page([Node("body", -1, "", False)])
     open_: list[int] = [0]
-    buffer: list[str] = []
-    linked = 0
+    buffer: list[tuple[int, str, bool]] = []
+    drafts: list[tuple[int, list[tuple[int, str, bool]]]] = []
     nodes = page.nodes
 
     def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(buffer).split())
-        if text:
-            page.blocks.append((open_[-1], text, linked))
+        if buffer:
+            drafts.append((open_[-1], buffer.copy()))
         buffer.clear()
-        linked = 0
 
     def write(raw: str) -> None:
-        nonlocal linked
         if raw:
             raw = entities.unescape(raw) if "&" in raw else raw
-            buffer.append(raw)
-            if any(nodes[i].tag == "a" for i in open_[-4:]):
-                linked += len(raw.strip())
+            buffer.append((open_[-1], raw, any(nodes[i].tag == "a" for i in open_[-4:])))
 
     def close_to(depth: int) -> None:
         if any(nodes[i].tag in BLOCKS for i in open_[depth:]):
             flush()
         if any(nodes[i].tag in ("td", "th") for i in open_[depth:]):
-            buffer.append(" ")
+            buffer.append((0, " ", False))
         del open_[depth:]
 
     at, size = 0, len(source)
@@ -154,7 +160,7 @@ def parse(source: str) -> Page:
             continue
         attributes = tag[3] if tag[2] else tag[6]
         if name == "br":
-            buffer.append(" ")
+            buffer.append((0, " ", False))
             continue
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
@@ -163,7 +169,9 @@ def parse(source: str) -> Page:
             continue
         if name in BLOCKS:
             depth = next((d for d in range(len(open_) - 1, 0, -1) if nodes[open_[d]].tag == "p"), 0)
-            if depth and not any(nodes[i].tag in ("table", "td", "div", "section", "article") for i in open_[depth:]):
+            if depth and not any(
+                nodes[i].tag in ("table", "td", "div", "section", "article") or nodes[i].tag in NOISE_TAGS for i in open_[depth:]
+            ):
                 close_to(depth)
         if name in ENDS:
             ended, within = ENDS[name]
@@ -177,15 +185,23 @@ def parse(source: str) -> Page:
         if name in BLOCKS:
             flush()
         elif name in ("td", "th"):
-            buffer.append(" ")
+            buffer.append((0, " ", False))
         if name in VOID:
             continue
-        step, noise, by_name = describe(name, attributes)
+        step, noise, by_name = describe(name, attributes, {nodes[i].tag for i in open_} if attributes.strip(" /\n\t") else frozenset())
         nodes.append(Node(name, open_[-1], step, noise, by_name))
         # Inline elements do not make blocks: what is drawn inside them belongs to the block around.
         open_.append(len(nodes) - 1)
     flush()
     settle(page)
+    # What is noise is known only now: its text is left out, and a block that ended inside it belongs around it.
+    for at, pieces in drafts:
+        kept = [(raw, link) for i, raw, link in pieces if not nodes[i].noise]
+        text = " ".join("".join(raw for raw, _ in kept).split())
+        if text:
+            while nodes[at].noise:
+                at = nodes[at].parent
+            page.blocks.append((at, text, sum(len(raw.strip()) for raw, link in kept if link)))
     return page
 
 
