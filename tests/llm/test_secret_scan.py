@@ -109,3 +109,10 @@ def test_nulls_repeats_clashes_and_redaction(spark):
     assert sorted((str(r.text), str(r.n_chars)) for r in rows) == [
         ("", "0"), ("None", "5"), ("[SECRET] x", "10"), ("[SECRET] x", "10"), ("plain", "None")]
     assert redact_secrets(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Bearer {}. Next", "see {}.", "x.{}", "a-{}-", "id_{} b", "v1.file_name.{}, {}"])
+def test_tokens_beside_punctuation(text):
+    token = f"{url({'alg': 'HS256'})}.{url({'sub': '1'})}.abcDEF123"
+    found = [text.format(token, token)[s:e].rstrip("-") for s, _, e in scanner()(text.format(token, token))[1]]
+    assert found == [token] * text.count("{}")

@@ -36,7 +36,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 ARMOUR = r"-----BEGIN ([A-Z ]{0,40})-----((?:[A-Za-z0-9+/=\s:,.]|-(?!----))*)-----END \1-----"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}"
-TOKEN = r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])"
+TOKEN = r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}"
 HEX_RUN = r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])"
 
 # Object identifiers of key algorithms (fixed values): RSA, EC, DSA, Ed25519, X25519, PBES2.
@@ -149,6 +149,28 @@ def is_signed_token(header: str, payload: str) -> bool:
     return all(isinstance(x, dict) for x in parsed) and isinstance(parsed[0].get("alg"), str)
 
 
+def tokens(text: str, dotted: re.Pattern) -> list[tuple[int, int]]:
+    """Spans of signed tokens. The header may follow other letters behind '.', '-' or '_', punctuation may follow the end."""
+    found = []
+    for m in dotted.finditer(text):
+        parts = m[0].split(".")
+        ends, at = [], m.start()
+        for part in parts:
+            ends.append(at + len(part))
+            at = ends[-1] + 1
+        i = 0
+        while i + 2 < len(parts):
+            head, payload = parts[i], parts[i + 1]
+            starts = [0, *[x.end() for x in re.finditer(r"[-_](?=e[w-z])", head)]] if len(head) >= 8 and len(payload) >= 4 else []
+            start = next((x for x in starts if len(head) - x >= 8 and is_signed_token(head[x:], payload)), None)
+            if start is None:
+                i += 1
+            else:
+                found.append((ends[i] - len(head) + start, ends[i + 2]))
+                i += 3
+    return found
+
+
 def key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
@@ -182,7 +204,7 @@ def scanner() -> Callable[[str], tuple[list[tuple[int, int, str]], list[tuple[in
             return sorted(base), sorted(more)
         base += [(m.start(), 2, m.end()) for m in hexes.finditer(text)]
         if "." in text:
-            more.update((m.start(), rank["jwt"], m.end()) for m in token.finditer(text) if is_signed_token(m[1], m[2]))
+            more.update((s, rank["jwt"], e) for s, e in tokens(text, token))
 
         def outside(m: re.Match) -> bool:
             return not any(s <= m.start() and m.end() <= e for s, e in armoured)
