@@ -116,3 +116,24 @@ def test_tokens_beside_punctuation(text):
     token = f"{url({'alg': 'HS256'})}.{url({'sub': '1'})}.abcDEF123"
     found = [text.format(token, token)[s:e].rstrip("-") for s, _, e in scanner()(text.format(token, token))[1]]
     assert found == [token] * text.count("{}")
+
+
+WRAPPED = re.findall(".{1,64}", b64(PKCS8))
+PEM = ["-----BEGIN PRIVATE KEY-----", *WRAPPED, "-----END PRIVATE KEY-----"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        json.dumps({"key": "\n".join(PEM) + "\n"}), "\n".join("> " + x for x in PEM), "\n".join("# " + x for x in PEM),
+        "k = (" + " +\n  ".join(f'"{x}\\n"' for x in PEM) + ")", "a b\n" + "\n".join(WRAPPED) + "\nc", "\\n".join(WRAPPED),
+        "-----BEGIN X-----\n!! " + b64(RSA) + "\n-----END X-----",
+    ],
+)
+def test_keys_in_strings_quotes_and_lines(text):
+    more = scanner()(text)[1]
+    assert {KINDS[k] for _, k, _ in more} == {"der"}
+    left = text
+    for s, _, e in reversed(more):
+        left = left[:s] + left[e:]
+    assert not any(x in left for x in WRAPPED)

@@ -34,7 +34,10 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-ARMOUR = r"-----BEGIN ([A-Z ]{0,40})-----((?:[A-Za-z0-9+/=\s:,.]|-(?!----))*)-----END \1-----"
+ARMOUR = r"-----BEGIN ([A-Z ]{0,40})-----((?:[^-]|-(?!----))*)-----END \1-----"
+# A line's end, drawn or written as an escape, with the quotes and marks of code, mail or comments around it.
+BREAK = r"(?:[\"',;]?[\x20\t]*\+?[\x20\t]*(?:(?:\\+r)?\\+n|\r?\n)(?:[\x20\t]*(?:[>#*|\"']|//(?=\x20)|\+(?=\x20)))*[\x20\t]*)"
+LINES = rf"(?:(?<=\\n)|(?<=\\r)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]{{16,}}(?:{BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}"
 TOKEN = r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}"
 HEX_RUN = r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])"
@@ -171,6 +174,39 @@ def tokens(text: str, dotted: re.Pattern) -> list[tuple[int, int]]:
     return found
 
 
+def unwrapped(body: str, brk: re.Pattern) -> str:
+    """The base64 of an armour's body; header lines and what is no base64 are left out."""
+    lines = (x.strip(" \t\r\n>#*|\"',;\\") for x in brk.split(body.replace("\\/", "/")))
+    return "".join(y for x in lines if ":" not in x for y in x.split() if re.fullmatch(r"[A-Za-z0-9+/=_-]+", y))
+
+
+def wrapped_keys(start: int, text: str, brk: re.Pattern) -> list[tuple[int, int, str]]:
+    """Keys in a run of lines: equally long ones and at most one shorter at the end."""
+    lines, at = [], 0
+    for m in brk.finditer(text):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, len(text)))
+    found, i = [], 0
+    while i < len(lines):
+        width = lines[i][1] - lines[i][0]
+        last = i
+        while last + 1 < len(lines) and lines[last + 1][1] - lines[last + 1][0] == width:
+            last += 1
+        hit = None
+        if text[lines[i][0]] in "Mb":  # a sequence or the container's name
+            for end in (last + 1, last):
+                if end < len(lines) and (end <= last or lines[end][1] - lines[end][0] < width):
+                    if kind := key_kind(unbase64("".join(text[s:e] for s, e in lines[i : end + 1]))):
+                        hit = (end, kind)
+                        break
+        if hit:
+            found.append((start + lines[i][0], start + lines[hit[0]][1], hit[1]))
+            i = hit[0]
+        i += 1
+    return found
+
+
 def key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
@@ -181,6 +217,7 @@ def scanner() -> Callable[[str], tuple[list[tuple[int, int, str]], list[tuple[in
     """A function from a text to its base spans and its confirmed spans, (start, kind's rank, end)."""
     assign, access, hexes = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
     armour, run, token, hex_run = re.compile(ARMOUR), re.compile(RUN), re.compile(TOKEN), re.compile(HEX_RUN)
+    brk, lines = re.compile(BREAK), re.compile(LINES)
     names = ("passw", "secret", "token", "apikey", "api_key")
     rank = {k: i for i, k in enumerate(KINDS)}
 
@@ -195,9 +232,8 @@ def scanner() -> Callable[[str], tuple[list[tuple[int, int, str]], list[tuple[in
         armoured = []
         if "-----BEGIN " in text:
             for m in armour.finditer(text):
-                armoured.append(m.span())
-                body = "".join(x for x in re.split(r"\s+", m[2]) if x and ":" not in x)
-                if kind := key_kind(unbase64(body)):
+                if kind := key_kind(unbase64(unwrapped(m[2], brk))):
+                    armoured.append(m.span())
                     more.add((m.start(), rank[kind], m.end()))
         # Every other kind needs a word of at least 17 characters.
         if max(map(len, text.split()), default=0) < 17:
@@ -212,6 +248,9 @@ def scanner() -> Callable[[str], tuple[list[tuple[int, int, str]], list[tuple[in
         for m in run.finditer(text):
             if outside(m) and (kind := key_kind(unbase64(m[0]))):
                 more.add((m.start(), rank[kind], m.end()))
+        for m in lines.finditer(text):
+            if m.end() - m.start() >= 40 and outside(m):
+                more.update((s, rank[kind], e) for s, e, kind in wrapped_keys(m.start(), m[0], brk))
         for m in hex_run.finditer(text):
             if outside(m) and (kind := key_kind(bytes.fromhex(m[0]))):
                 more.add((m.start(), rank[kind], m.end()))
