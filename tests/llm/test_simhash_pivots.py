@@ -124,59 +124,3 @@ def test_dropping_keeps_one_of_each(spark):
     assert S.drop_near_duplicates(df.limit(0)).count() == 0
     assert S.component_ids(df.limit(0)).count() == 0
     assert S.component_ids(df).count() == len(rows)
-
-
-def words_set(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def test_near_copies_of_five_words_and_four_fifths_go(spark):
-    rng = random.Random(6)
-    texts = {}
-    for g in range(40):
-        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
-        for _ in range(6):
-            copy = list(words)
-            for _ in range(rng.randint(0, len(words) // 25)):
-                copy[rng.randrange(len(copy))] = f"x{rng.randrange(3000)}"
-            texts[len(texts)] = " ".join(copy)
-    sets = {i: words_set(t) for i, t in texts.items()}
-    root = {i: i for i in texts}
-    close = 0
-    for i in texts:
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
-                close += (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 2
-                a, b = sorted((root[i], root[j]))
-                root = {k: a if r == b else r for k, r in root.items()}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    assert close > 100
-    assert sorted(r.doc_id for r in S.drop_near_duplicates(df).collect()) == sorted(set(root.values()))
-
-
-def test_exact_groups_in_a_task():
-    rng = random.Random(7)
-    base = rng.sample(range(1 << 40), 60)
-    sets = [np.unique(np.array(rng.sample(base, 55) + rng.sample(range(1 << 40), rng.randint(0, 8)), np.uint64)) for _ in range(80)]
-    root = list(range(80))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            both = len(np.intersect1d(a, sets[j]))
-            if both >= 0.8 * (len(a) + len(sets[j]) - both):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    assert S.alike(sets).tolist() == root and 1 < len(set(root)) < 80
-
-
-def test_links_of_a_large_group_stay_few(spark):
-    rng = random.Random(8)
-    rows = [(r, k) for r in range(2000) for k in range(S.BANDS) if rng.random() < 0.6]
-    edges = S.band_links(spark.createDataFrame(rows, "row long, key long")).collect()
-    assert len(edges) < 2500
-    root = {r: r for r, _ in rows}
-    for _ in range(20):
-        for e in edges:
-            root[e.a] = root[e.b] = min(root[e.a], root[e.b])
-    assert set(root.values()) == {min(root)}
