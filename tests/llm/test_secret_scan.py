@@ -137,3 +137,42 @@ def test_keys_in_strings_quotes_and_lines(text):
     for s, _, e in reversed(more):
         left = left[:s] + left[e:]
     assert not any(x in left for x in WRAPPED)
+
+
+@pytest.mark.parametrize("width", [16, 20, 33, 64, 76])
+def test_wrapped_keys_of_any_width(width):
+    for key, kind in ((PKCS8, "der"), (RSA, "der"), (OPENSSH, "openssh"), (PUBLIC, "public")):
+        lines = re.findall(f".{{1,{width}}}", b64(key))
+        for text in ("x\n" + "\n".join(lines) + "\nend of it", "k=" + "\\n".join(lines), "\n".join(lines * 2), "\n\n".join("// " + x for x in lines)):
+            more = scanner()(text)[1]
+            assert {KINDS[k] for _, k, _ in more} == {kind}, (width, text)
+            assert all(text[s:e].startswith(lines[0]) and text[s:e].endswith(lines[-1]) for s, _, e in more)
+            assert len(more) == (2 if text == "\n".join(lines * 2) else 1) or len(lines[-1]) == width
+
+
+def test_public_keys_are_reported_and_stay(spark):
+    text = "a " + b64(PUBLIC) + " token=abcdef12"
+    assert [KINDS[k] for _, k, _ in scanner()(text)[1]] == ["public"]
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    assert redact_secrets(df).first().text == "a " + b64(PUBLIC) + " [SECRET]"
+
+
+HOSTILE = {
+    "blanks": "abcdefghijklmnopqrst" + " " * 1_000_000, "first line and blanks": "MIIEabcdefghijklmnop" + " " * 1_000_000 + "\nx",
+    "quoted": "MIIEabcdefghijklmnop\n" + "> " * 500_000, "quotes": "MIIEabcdefghijklmnop" + "\"' " * 330_000, "pluses": "MIIEabcdefghijklmnop" + " + " * 330_000,
+    "headers": "a.-" + "-ewAA" * 200_000 + ".e30.x", "headers and braces": ("-eyJh" * 4_000 + ".e30.x ") * 50, "letters": "." + "a" * 1_000_000, "dots": "abcdefghijklmnopqrst" + "." * 1_000_000,
+    "heads": "-----BEGIN X-----" * 60_000, "armour of blanks": "-----BEGIN X-----" + " " * 1_000_000 + "-----END X-----",
+    "armour of quotes": "-----BEGIN X-----" + "\n> \" " * 200_000 + "-----END X-----", "backslashes": "MIIEabcdefghijklmnop" + "\\" * 1_000_000,
+    "returns": "MIIEabcdefghijklmnop" + "\\r" * 500_000, "sequences": "MIIEabcdefghijkl\n" * 60_000, "nested": (b64(b"\x30\x83\x00\xff\xff" + b"\x30\x02\x05\x00" * 20)[:64] + "\n") * 16_000,
+    "assign": "token" + " " * 1_000_000, "many assigns": "token " * 170_000, "hex": "a" * 1_000_001, "lines": "MIIEabcdefghijklmnop\n" + "\n" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_a_megabyte_takes_no_longer_than_its_length(name):
+    from time import process_time
+
+    scan = scanner()
+    start = process_time()
+    scan(HOSTILE[name])
+    assert process_time() - start < 4  # about a second on a free core

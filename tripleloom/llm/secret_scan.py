@@ -5,11 +5,14 @@ letters are decoded and reported only where the bytes parse as a key:
 
 * ``jwt``: a signed token, three base64url parts whose header is a JSON object with
   ``alg`` and whose payload is a JSON object;
-* ``der``: an ASN.1 key (PKCS#1, PKCS#8, SEC 1, encrypted PKCS#8 or public key) whose nested
+* ``der``: an ASN.1 key (PKCS#1, PKCS#8, SEC 1 or encrypted PKCS#8) whose nested
   lengths fill the value exactly;
-* ``openssh``: the private key container, its length-prefixed fields read to the end.
+* ``openssh``: the private key container, its length-prefixed fields read to the end;
+* ``public``: an ASN.1 public key. It is reported but no secret, so it is not redacted.
 
-Armoured keys (``-----BEGIN ...-----``) are one candidate over their lines.
+Armoured keys (``-----BEGIN ...-----``) are one candidate over their lines. Every search takes time in proportion to
+the text, however it is made: no pattern has two optional runs that can share letters, a run of lines is decoded
+once, and a key's own lengths say where it ends. A token's header is sought in the last ``MAX_HEADER`` letters.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.llm.common import map_slices, table
 
-KINDS = ("assign", "access", "hex", "jwt", "der", "openssh")
+KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "public")
+MAX_HEADER = 4096
+MAX_ELEMENTS = 64  # of one level of a key; the structures above have ten at most
 
 ASSIGN = (
     r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
@@ -34,12 +40,16 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-ARMOUR = r"-----BEGIN ([A-Z ]{0,40})-----((?:[^-]|-(?!----))*)-----END \1-----"
-# A line's end, drawn or written as an escape, with the quotes and marks of code, mail or comments around it.
-BREAK = r"(?:[\"',;]?[\x20\t]*\+?[\x20\t]*(?:(?:\\+r)?\\+n|\r?\n)(?:[\x20\t]*(?:[>#*|\"']|//(?=\x20)|\+(?=\x20)))*[\x20\t]*)"
-LINES = rf"(?:(?<=\\n)|(?<=\\r)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]{{16,}}(?:{BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}"
-RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}"
-TOKEN = r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}"
+ARMOUR = r"-----BEGIN ([A-Z ]{0,40})-----((?:[^-]|-(?!----))*+)-----END \1-----"
+# A line's end, drawn or written as an escape.
+LINE_END = r"(?<!\\)\\++(?:r\\++)?n|\r?\n"
+# Marks of code, mail or comments before a line.
+LEAD = r"(?:[\x20\t>#*|\"']|//(?=\x20)|\+(?=\x20))*+"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+# The first line of a wrapped key: "M" begins a sequence, "b" the container's name.
+FIRST_LINE = r"(?:(?<=\\n)|(?<=\\r)|(?<![A-Za-z0-9+/_\\-]))[Mb][A-Za-z0-9+/_-]{15}"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}"
+TOKEN = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}"
 HEX_RUN = r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])"
 
 # Object identifiers of key algorithms (fixed values): RSA, EC, DSA, Ed25519, X25519, PBES2.
@@ -48,9 +58,12 @@ KEY_OIDS = (
 )
 
 
+STANDARD = str.maketrans("-_", "+/")
+
+
 def unbase64(text: str) -> bytes | None:
     """Bytes of base64 in either alphabet, padded or not."""
-    body = text.rstrip("=").replace("-", "+").replace("_", "/")
+    body = text.rstrip("=").translate(STANDARD)
     if len(body) % 4 == 1:
         return None
     try:
@@ -59,67 +72,79 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def elements(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, value) of consecutive definite-length elements that fill ``data``; None if they don't."""
+def header(data: memoryview, at: int) -> tuple[int, int, int] | None:
+    """(tag, first, end) of the definite-length element at a place; None if it doesn't lie within ``data``."""
+    if at + 2 > len(data):
+        return None
+    tag, size = data[at], data[at + 1]
+    at += 2
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or at + n > len(data) or data[at] == 0:
+            return None
+        size = int.from_bytes(data[at : at + n], "big")
+        at += n
+        if size < 0x80:
+            return None
+    return (tag, at, at + size) if at + size <= len(data) else None
+
+
+def elements(data: memoryview) -> list[tuple[int, memoryview]] | None:
+    """(tag, value) of consecutive elements that fill ``data``; None if they don't."""
     out, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
-            return None
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if size & 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data) or data[at] == 0:
-                return None
-            size = int.from_bytes(data[at : at + n], "big")
-            at += n
-            if size < 0x80:
-                return None
-        if at + size > len(data):
+        found = header(data, at)
+        if found is None or len(out) == MAX_ELEMENTS:
             return None
-        out.append((tag, data[at : at + size]))
-        at += size
+        tag, first, at = found
+        out.append((tag, data[first:at]))
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """Whether the bytes are exactly one key structure."""
+def der_key(data: memoryview) -> tuple[str, int] | None:
+    """The kind of the key structure that ``data`` begins with and its size."""
     if len(data) < 20 or data[0] != 0x30:
-        return False
-    outer = elements(data)
-    if outer is None or len(outer) != 1:
-        return False
-    parts = elements(outer[0][1])
+        return None
+    outer = header(data, 0)
+    parts = elements(data[outer[1] : outer[2]]) if outer else None
     if not parts:
-        return False
+        return None
     tags = [t for t, _ in parts]
-    ints = all(t == 2 and v for t, v in parts)
-    if ints and len(parts) >= 9 and parts[0][1] in (b"\0", b"\1"):
-        return True  # RSA private key
-    if ints and len(parts) == 6 and parts[0][1] == b"\0":
-        return True  # DSA private key
-    if tags[:2] == [2, 4] and parts[0][1] == b"\1" and len(parts[1][1]) >= 16 and set(tags[2:]) <= {0xA0, 0xA1}:
-        return all(elements(v) is not None for _, v in parts[2:])  # EC private key
-    if tags[:3] == [2, 0x30, 4] and parts[0][1] in (b"\0", b"\1"):
-        return names_key(parts[1][1])  # PKCS#8
-    if tags == [0x30, 4] or tags == [0x30, 3]:
-        return names_key(parts[0][1])  # encrypted PKCS#8, public key
-    return False
-
-
-def names_key(algorithm: bytes) -> bool:
+    ints = all(t == 2 and len(v) for t, v in parts)
+    private = (
+        (ints and len(parts) >= 9 and parts[0][1] in (b"\0", b"\1"))  # RSA
+        or (ints and len(parts) == 6 and parts[0][1] == b"\0")  # DSA
+        or (  # EC
+            tags[:2] == [2, 4] and parts[0][1] == b"\1" and len(parts[1][1]) >= 16 and set(tags[2:]) <= {0xA0, 0xA1}
+            and all(elements(v) is not None for _, v in parts[2:])
+        )
+        or (tags[:3] == [2, 0x30, 4] and parts[0][1] in (b"\0", b"\1") and names_key(parts[1][1]))  # PKCS#8
+        or (tags == [0x30, 4] and names_key(parts[0][1]))  # encrypted PKCS#8
+    )
+    if private:
+        return "der", outer[2]
+    return ("public", outer[2]) if tags == [0x30, 3] and names_key(parts[0][1]) else None
+
+
+def is_der_key(data: bytes) -> bool:
+    """Whether the bytes are exactly one key structure, private or public."""
+    found = der_key(memoryview(data))
+    return found is not None and found[1] == len(data)
+
+
+def names_key(algorithm: memoryview) -> bool:
     inner = elements(algorithm)
     return bool(inner) and inner[0][0] == 6 and inner[0][1].hex() in KEY_OIDS
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Whether the bytes are a private key container whose fields end with the value."""
+def openssh_size(data: memoryview) -> int | None:
+    """Size of the private key container that ``data`` begins with."""
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
+    if data[: len(magic)] != magic:
+        return None
     at = len(magic)
 
-    def field() -> bytes | None:
+    def field() -> memoryview | None:
         nonlocal at
         if at + 4 > len(data):
             return None
@@ -132,24 +157,49 @@ def is_openssh_key(data: bytes) -> bool:
 
     cipher, kdf, options = field(), field(), field()
     if not cipher or not kdf or options is None or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= keys <= 64:
-        return False
-    fields = [field() for _ in range(keys + 1)]
-    return all(fields) and at == len(data)
+        return None
+    return at if all([field() for _ in range(keys + 1)]) else None
 
 
-def is_signed_token(header: str, payload: str) -> bool:
-    parsed = []
-    for part in (header, payload):
-        data = unbase64(part)
-        try:
-            parsed.append(json.loads(data) if data else None)
-        except (ValueError, RecursionError):
-            return False
-    return all(isinstance(x, dict) for x in parsed) and isinstance(parsed[0].get("alg"), str)
+def is_openssh_key(data: bytes) -> bool:
+    """Whether the bytes are a private key container whose fields end with the value."""
+    return openssh_size(memoryview(data)) == len(data)
+
+
+def key_at(data: memoryview) -> tuple[str, int] | None:
+    """Kind and size of the key that ``data`` begins with."""
+    if found := der_key(data):
+        return found
+    size = openssh_size(data)
+    return ("openssh", size) if size else None
+
+
+def key_kind(data: bytes | None) -> str | None:
+    """Kind of the key that ``data`` is as a whole."""
+    found = key_at(memoryview(data)) if data else None
+    return found[0] if found and found[1] == len(data) else None
+
+
+def json_object(part: str) -> dict | None:
+    data = unbase64(part)
+    try:
+        parsed = json.loads(data) if data else None
+    except (ValueError, RecursionError):
+        return None
+    return parsed if isinstance(parsed, dict) else None
+
+
+def names_algorithm(part: str) -> bool:
+    parsed = json_object(part)
+    return parsed is not None and isinstance(parsed.get("alg"), str)
+
+
+def is_signed_token(head: str, payload: str) -> bool:
+    return names_algorithm(head) and json_object(payload) is not None
 
 
 def tokens(text: str, dotted: re.Pattern) -> list[tuple[int, int]]:
@@ -164,8 +214,12 @@ def tokens(text: str, dotted: re.Pattern) -> list[tuple[int, int]]:
         i = 0
         while i + 2 < len(parts):
             head, payload = parts[i], parts[i + 1]
-            starts = [0, *[x.end() for x in re.finditer(r"[-_](?=e[w-z])", head)]] if len(head) >= 8 and len(payload) >= 4 else []
-            start = next((x for x in starts if len(head) - x >= 8 and is_signed_token(head[x:], payload)), None)
+            start = None
+            if len(head) >= 8 and len(payload) >= 4 and json_object(payload) is not None:
+                low = max(0, len(head) - MAX_HEADER)
+                starts = [0, *[x.end() for x in re.finditer(r"[-_](?=e[w-z])", head[low:])]]
+                starts = [0, *[low + x for x in starts[1:]]]
+                start = next((x for x in starts if len(head) - x >= 8 and names_algorithm(head[x:])), None)
             if start is None:
                 i += 1
             else:
@@ -174,50 +228,93 @@ def tokens(text: str, dotted: re.Pattern) -> list[tuple[int, int]]:
     return found
 
 
-def unwrapped(body: str, brk: re.Pattern) -> str:
-    """The base64 of an armour's body; header lines and what is no base64 are left out."""
-    lines = (x.strip(" \t\r\n>#*|\"',;\\") for x in brk.split(body.replace("\\/", "/")))
-    return "".join(y for x in lines if ":" not in x for y in x.split() if re.fullmatch(r"[A-Za-z0-9+/=_-]+", y))
+def bare(line: str, lead: re.Pattern) -> tuple[int, str]:
+    """A line without the marks around it, and how many letters were before."""
+    body = line.rstrip(" \t\r")
+    if body.endswith("+") and body[-2:-1] in (" ", "\t", '"', "'"):
+        body = body[:-1].rstrip(" \t")
+    body = body.rstrip("\"',;")
+    first = lead.match(body).end()
+    return first, body[first:]
 
 
-def wrapped_keys(start: int, text: str, brk: re.Pattern) -> list[tuple[int, int, str]]:
-    """Keys in a run of lines: equally long ones and at most one shorter at the end."""
-    lines, at = [], 0
-    for m in brk.finditer(text):
-        lines.append((at, m.start()))
-        at = m.end()
-    lines.append((at, len(text)))
-    found, i = [], 0
-    while i < len(lines):
-        width = lines[i][1] - lines[i][0]
-        last = i
-        while last + 1 < len(lines) and lines[last + 1][1] - lines[last + 1][0] == width:
-            last += 1
-        hit = None
-        if text[lines[i][0]] in "Mb":  # a sequence or the container's name
-            for end in (last + 1, last):
-                if end < len(lines) and (end <= last or lines[end][1] - lines[end][0] < width):
-                    if kind := key_kind(unbase64("".join(text[s:e] for s, e in lines[i : end + 1]))):
-                        hit = (end, kind)
-                        break
-        if hit:
-            found.append((start + lines[i][0], start + lines[hit[0]][1], hit[1]))
-            i = hit[0]
-        i += 1
-    return found
+def unwrapped(body: str, line_end: re.Pattern, lead: re.Pattern) -> str:
+    """The base64 of an armour's body; header lines and what is no base64 are left out."""
+    lines = (bare(x, lead)[1].strip("\\") for x in line_end.split(body.replace("\\/", "/")))
+    return "".join(y for x in lines if ":" not in x for y in x.split() if not y.strip("=").strip(LETTERS))
 
 
-def key_kind(data: bytes | None) -> str | None:
-    if not data:
-        return None
-    return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
+def wrapped_keys(text: str, line_end: re.Pattern, lead: re.Pattern) -> Iterator[tuple[int, int, str]]:
+    """Keys over lines of one length, the last of which may be shorter.
+
+    The first line is the run of letters that ends a line, the last one the run that begins a line; lines with marks only don't count.
+    """
+    block: list[tuple[int, int]] = []
+    width = 0
+    for start, end in lines_of(text, line_end):
+        first, body = bare(text[start:end], lead)
+        if not body:
+            continue
+        start += first
+        head = len(body) - len(body.lstrip(LETTERS))
+        if block and head == len(body) == width:
+            block.append((start, start + width))
+            continue
+        if block:
+            yield from keys_of_block(text, block, width, (start, start + head) if head <= width else None)
+        tail = len(body) - len(body.rstrip(LETTERS))
+        at = start + len(body) - tail
+        block, width = ([(at, at + tail)], tail) if tail >= 16 else ([], 0)
+    if block:
+        yield from keys_of_block(text, block, width, None)
+
+
+def lines_of(text: str, line_end: re.Pattern) -> Iterator[tuple[int, int]]:
+    at = 0
+    for m in line_end.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
+
+
+def keys_of_block(text: str, block: list[tuple[int, int]], width: int, last: tuple[int, int] | None) -> Iterator[tuple[int, int, str]]:
+    """Keys that begin with a line of the block and end with one, or with ``last``."""
+    begins = [k for k, (s, _) in enumerate(block) if text[s] in "Mb"]
+    if not begins:
+        return
+    letters = "".join([text[s:e] for s, e in block] + ([text[last[0] : last[1]]] if last else [])).translate(STANDARD)
+    decoded: dict[int, memoryview] = {}
+    free = 0
+    for k in begins:
+        if k < free:
+            continue
+        at = k * width
+        # Lines begin at four phases of the base64 letters at most, so the block is decoded four times at most.
+        phase = at % 4
+        if phase not in decoded:
+            body = letters[phase : len(letters) - ((len(letters) - phase) % 4 == 1)]
+            decoded[phase] = memoryview(base64.b64decode(body + "=" * (-len(body) % 4)))
+        found = key_at(decoded[phase][(at - phase) // 4 * 3 :])
+        if not found:
+            continue
+        stop = at + -(-found[1] * 4 // 3)
+        if stop == len(letters) and last and last[1] > last[0]:
+            end, free = last[1], len(block)
+        elif stop % width == 0 and stop <= len(block) * width:
+            free = stop // width
+            end = block[free - 1][1]
+        else:
+            continue
+        while text[end : end + 1] == "=":
+            end += 1
+        yield block[k][0], end, found[0]
 
 
 def scanner() -> Callable[[str], tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
     """A function from a text to its base spans and its confirmed spans, (start, kind's rank, end)."""
     assign, access, hexes = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
     armour, run, token, hex_run = re.compile(ARMOUR), re.compile(RUN), re.compile(TOKEN), re.compile(HEX_RUN)
-    brk, lines = re.compile(BREAK), re.compile(LINES)
+    line_end, lead, first_line = re.compile(LINE_END), re.compile(LEAD), re.compile(FIRST_LINE)
     names = ("passw", "secret", "token", "apikey", "api_key")
     rank = {k: i for i, k in enumerate(KINDS)}
 
@@ -232,27 +329,29 @@ def scanner() -> Callable[[str], tuple[list[tuple[int, int, str]], list[tuple[in
         armoured = []
         if "-----BEGIN " in text:
             for m in armour.finditer(text):
-                if kind := key_kind(unbase64(unwrapped(m[2], brk))):
+                if kind := key_kind(unbase64(unwrapped(m[2], line_end, lead))):
                     armoured.append(m.span())
                     more.add((m.start(), rank[kind], m.end()))
-        # Every other kind needs a word of at least 17 characters.
-        if max(map(len, text.split()), default=0) < 17:
+        # Every other kind needs a word of at least 16 characters.
+        if max(map(len, text.split()), default=0) < 16:
             return sorted(base), sorted(more)
         base += [(m.start(), 2, m.end()) for m in hexes.finditer(text)]
         if "." in text:
             more.update((s, rank["jwt"], e) for s, e in tokens(text, token))
 
-        def outside(m: re.Match) -> bool:
-            return not any(s <= m.start() and m.end() <= e for s, e in armoured)
+        begins = [s for s, _ in armoured]
+
+        def outside(start: int, end: int) -> bool:
+            i = bisect_right(begins, start) - 1
+            return i < 0 or end > armoured[i][1]
 
         for m in run.finditer(text):
-            if outside(m) and (kind := key_kind(unbase64(m[0]))):
+            if outside(*m.span()) and (kind := key_kind(unbase64(m[0]))):
                 more.add((m.start(), rank[kind], m.end()))
-        for m in lines.finditer(text):
-            if m.end() - m.start() >= 40 and outside(m):
-                more.update((s, rank[kind], e) for s, e, kind in wrapped_keys(m.start(), m[0], brk))
+        if first_line.search(text):
+            more.update((s, rank[kind], e) for s, e, kind in wrapped_keys(text, line_end, lead) if e - s >= 40 and outside(s, e))
         for m in hex_run.finditer(text):
-            if outside(m) and (kind := key_kind(bytes.fromhex(m[0]))):
+            if outside(*m.span()) and (kind := key_kind(bytes.fromhex(m[0]))):
                 more.add((m.start(), rank[kind], m.end()))
         return sorted(base), sorted(more)
 
@@ -268,7 +367,7 @@ def scan_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
 
     ``secret_base`` and ``secret_spans``: arrays of (kind, start, end) in code points, end
     exclusive, by start and then kind as in ``KINDS``; the second holds both base and confirmed
-    findings. A null or empty text has none. Repeated rows are scanned alike; an empty table gives none.
+    findings. A null or empty text has none; texts of any length are scanned whole, in time that grows with their length. Repeated rows are scanned alike; an empty table gives none.
     """
 
     def make():
@@ -289,11 +388,12 @@ def scan_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
 
 
 def redact_secrets(df: DataFrame, text: str = "text", length: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with every found span replaced by ``mark`` and ``length`` set to the new code points.
+    """``df`` with every secret replaced by ``mark`` and ``length`` set to the new code points.
 
-    Overlapping spans become one mark. A text without a finding stays as it is, null included.
+    Public keys stay. Overlapping spans become one mark. A text without a finding stays as it is, null included.
     """
     target = dict(df.dtypes)[length]
+    public = KINDS.index("public")
 
     def make():
         scan = scanner()
@@ -302,9 +402,10 @@ def redact_secrets(df: DataFrame, text: str = "text", length: str = "n_chars", m
             out, lengths = [], []
             for t, n in zip(texts, sizes):
                 base, more = scan(t or "")
-                if base or more:
+                spans = sorted(base + [x for x in more if x[1] != public])
+                if spans:
                     parts, at = [], 0
-                    for s, _, e in sorted(base + more):
+                    for s, _, e in spans:
                         if s >= at:
                             parts += [t[at:s], mark]
                         at = max(at, e)
