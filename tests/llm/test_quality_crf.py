@@ -24,12 +24,19 @@ def test_marginals_against_all_labellings():
         assert Q.marginals(np.exp(np.array(own)), tuple(steps)) == pytest.approx([g / total for g in good], rel=1e-6)
 
 
-def test_long_texts_are_learnt_from_all_over():
+def test_long_texts_are_learnt_from_whole():
     for n in (1, 255, 256, 257, 300, 10_000):
-        places = Q.training_lines(n)
-        assert places[0] == 0 and places[-1] == n - 1
-        assert len(places) <= Q.MAX_TRAIN_LINES and len(set(places.tolist())) == len(places)
-    assert Q.training_lines(256).tolist() == list(range(256))
+        chains = Q.chains_of([np.arange(n), np.arange(3)])
+        assert max(map(len, chains)) <= Q.CHAIN_LINES and np.concatenate(chains).tolist() == [*range(n), 0, 1, 2]
+
+
+def test_the_sample_is_bounded_in_rows_and_lines(spark):
+    keep = remainder("doc_id", 4) != 2
+    once = [(i, f"line {i}\n" * (i % 5 + 1)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fit = lambda rows, **bounds: Q.fit_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels, keep, **bounds)
+    assert fit(once) == fit(once + [once[3]] * 3000)
+    assert fit(once, max_lines=1) == fit(once, max_labelled=1) != fit(once)
 
 
 def test_gradient_against_differences():

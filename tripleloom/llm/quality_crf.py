@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.llm.common import explode_slices, labelled_texts, logistic, map_slices, remainder, table
+from tripleloom.session import cut_lineage
 
 MAX_LABELLED = 4_000
-MAX_TRAIN_LINES = 256
-TRAIN_RUNS = 8
+MAX_LINES = 500_000
+CHAIN_LINES = 256
 THRESHOLD = 0.7
 CLASSES = 9
 OWN = 15
@@ -210,42 +211,44 @@ def line_labels(x: list[np.ndarray], y: np.ndarray, rounds: int = 3) -> list[np.
     return labels
 
 
-def training_lines(n: int) -> np.ndarray:
-    """Places of the lines that a text of ``n`` lines is learnt from: all, or runs spread over the whole text."""
-    if n <= MAX_TRAIN_LINES:
-        return np.arange(n)
-    run = MAX_TRAIN_LINES // TRAIN_RUNS
-    starts = np.linspace(0, n - run, TRAIN_RUNS).astype(np.int64)
-    return np.unique(starts[:, None] + np.arange(run))
+def chains_of(x: list[np.ndarray]) -> list[np.ndarray]:
+    """Every text's lines as chains of at most ``CHAIN_LINES`` neighbours, so that a long text learns as many short ones."""
+    return [a[at : at + CHAIN_LINES] for a in x for at in range(0, len(a), CHAIN_LINES)]
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, keep: Column, max_labelled: int = MAX_LABELLED) -> QualityModel:
-    """A model learnt from at most ``max_labelled`` labelled rows for which ``keep`` holds, chosen by hash,
-    and from at most ``MAX_TRAIN_LINES`` lines of each: a longer text gives ``TRAIN_RUNS`` runs of
-    neighbouring lines, spread evenly from its first line to its last.
+def fit_quality(
+    documents: DataFrame, labels: DataFrame, keep: Column, max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES
+) -> QualityModel:
+    """A model learnt from the whole texts of a bounded sample of the labelled rows for which ``keep`` holds.
 
-    Their features (under 30 KB a row) are all that comes to the driver. Without labelled rows every
-    text scores 0.5.
+    The sample is drawn by hash of the id: at most ``max_labelled`` rows, and in that order no row after the one with
+    which their lines pass ``max_lines``. An id with several texts gives the one with the smallest hash. The features of these lines (112
+    bytes each) are all that comes to the driver. Without labelled rows every text scores 0.5.
     """
-    sample = labelled_texts(documents, labels, "quality", keep, max_labelled)
+    drawn = labelled_texts(documents, labels, "quality", keep, max_labelled)
+    sample = drawn.groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def make() -> Callable[..., list[list]]:
         def work(ids: list, ys: list[int], texts: list[str]) -> list[list]:
             x, weight, sizes = line_features(texts)
-            ends = np.cumsum(sizes)
-            cut = [e - n + training_lines(n) for e, n in zip(ends.tolist(), sizes.tolist())]
-            return [ids, ys, [x[c].tobytes() for c in cut], [weight[c].astype(np.float32).tobytes() for c in cut]]
+            cut = np.split(np.arange(len(x)), np.cumsum(sizes)[:-1])
+            return [ids, ys, sizes.tolist(), [x[c].tobytes() for c in cut], [weight[c].astype(np.float32).tobytes() for c in cut]]
 
         return work
 
     key = dict(sample.dtypes)["doc_id"]
-    rows = explode_slices(sample, ["doc_id", "label", "text"], make, f"doc_id {key}, label int, x binary, w binary").collect()
+    made = explode_slices(sample, ["doc_id", "label", "text"], make, f"doc_id {key}, label int, n_lines bigint, x binary, w binary")
+    made = cut_lineage(made.withColumn("place", F.xxhash64("doc_id")), "quality")
+    places = sorted((r.place, r.n_lines) for r in made.select("place", "n_lines").collect())
+    total = np.cumsum([n for _, n in places])
+    last = places[min(len(places) - 1, int(np.searchsorted(total, max_lines)))][0] if places else 0
+    rows = made.where(F.col("place") <= last).collect()
     if not rows:
         return QualityModel((0.0,) * (FEATURES + 1), (0.0,) * 4, (0.0, 0.0))
     rows = sorted(((r["doc_id"], r["label"], bytes(r["x"]), bytes(r["w"])) for r in rows))
     x = [np.frombuffer(r[2], np.float32).reshape(-1, FEATURES) for r in rows]
     y = np.array([min(1, max(0, r[1])) for r in rows])
-    w, t = train_chain(x, line_labels(x, y))
+    w, t = train_chain(chains_of(x), chains_of(line_labels(x, y)))
     steps = tuple(t.ravel().tolist())
     shares = []
     for a, r in zip(x, rows):
@@ -264,7 +267,7 @@ def log_odds(share: np.ndarray) -> np.ndarray:
 def score_quality(df: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None, name: str = "quality") -> DataFrame:
     """``keep`` (all columns by default), ``name`` (the score) and ``name``_lines, P(good) of every line.
 
-    A null or empty text is one empty line. Repeated rows score alike; an empty table gives none.
+    A null or empty text is one empty line; every line of a text of any length counts. Repeated rows score alike; an empty table gives none.
     """
 
     def make() -> Callable[[list[str | None]], list[list]]:
