@@ -13,33 +13,36 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from tokenizers import Tokenizer
 
 from tripleloom.llm.common import fresh, map_slices, table
-from tripleloom.llm.hilbert_pack import Encoder, Odd, byte_letters, merge_ranks
+from tripleloom.llm.hilbert_pack import WORDS, byte_letters, merge_ranks
 from tripleloom.session import cut_lineage
 
 SLICE = 128
 BLOCK_ROWS = 1024
 BLOCK_LINKS = 4_000_000
+KEPT = 200_000  # entries of a task's caches
 
-Group = tuple[int, int]
 
-
-def cuts(a_lengths: list[int], b_lengths: list[int]) -> list[Group]:
-    """How many tokens of either side end at each byte offset where both do."""
-    a_ends = dict(zip(accumulate(a_lengths), range(1, len(a_lengths) + 1)))
-    b_ends = dict(zip(accumulate(b_lengths), range(1, len(b_lengths) + 1)))
-    return [(a_ends[e], b_ends[e]) for e in sorted(a_ends.keys() & b_ends.keys())]
+def cuts(a_lengths: Iterable[int], b_lengths: Iterable[int]) -> tuple[list[int], list[int]]:
+    """How many tokens of either side end at each byte offset where both do, in order."""
+    a_ends = dict(zip(accumulate(a_lengths), count(1)))
+    b_ends = dict(zip(accumulate(b_lengths), count(1)))
+    # The second dictionary's keys are sorted already, so those also in the first one are.
+    common = list(filter(a_ends.__contains__, b_ends))
+    return list(map(a_ends.__getitem__, common)), list(map(b_ends.__getitem__, common))
 
 
 class BytePieces:
@@ -53,25 +56,12 @@ class BytePieces:
         for piece, i in vocab.items():
             self.bytes[i] = bytes(letters[c] for c in piece) if set(piece) <= letters.keys() else piece.encode()
         ranks = merge_ranks(spec)
-        self.dtype = "<u2" if len(self.bytes) <= 1 << 16 else "<u4"
-        self.encoder = Encoder(spec_text, ranks, self.dtype)
-        self.encoder.own.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def ids(self, text: str) -> list[int]:
-        e = self.encoder
-        if not e.fast:
-            return e.own.encode(" " + text, add_special_tokens=False).ids
-        try:
-            lines = [line.split(" ") for line in text.split("\n")]
-            parts = list(map(e.inner.__getitem__, lines[0]))
-            for words in lines[1:]:
-                parts.append(e.line)
-                parts.append(e.first[words[0]])
-                parts.extend(map(e.inner.__getitem__, words[1:]))
-            found = b"".join(parts)
-        except Odd:
-            found = e.plain(" " + text)
-        return np.frombuffer(found, self.dtype).tolist()
+        if ranks is None:
+            own = Tokenizer.from_str(spec_text)
+            own.encode_special_tokens = True  # their strings in a text are ordinary text
+            self.encode = lambda t: own.encode(t, add_special_tokens=False).ids
+        else:
+            self.encode = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class WordPieces:
@@ -90,47 +80,65 @@ class WordPieces:
         return self.own.encode(texts, num_threads=1)
 
 
+class Known(dict):
+    """What ``make`` gives for recent keys."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= KEPT:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
 class Aligner:
     """Both encodings of a slice of texts with their groups."""
 
     def __init__(self, spec_text: str, model: bytes):
         self.a, self.b = BytePieces(spec_text), WordPieces(model)
-        self.a_lengths, self.b_lengths = list(map(len, self.a.bytes)), list(map(len, self.b.bytes))
+        self.a_bytes, self.b_bytes = self.a.bytes.__getitem__, self.b.bytes.__getitem__
+        self.a_lengths, self.b_lengths = (list(map(len, x.bytes)).__getitem__ for x in (self.a, self.b))
         self.shift = max(1, (len(self.b.bytes) - 1).bit_length())
-
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int], list[Group]]]:
-        """Per text: ids, ids and ``cuts``; all empty where a side doesn't give the text's bytes back."""
+        mask = (1 << self.shift) - 1
+        self.shown = Known(lambda code: f"{code >> self.shift}|{code & mask}")
+        self.wide = Known(self.expanded)
+
+    def expanded(self, group: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[str, list[int]]:
+        """A group of any size as text, and the codes of its links."""
+        left, right = group
+        text = ",".join(map(str, left)) + "|" + ",".join(map(str, right))
+        return text, [x << self.shift | y for x in left for y in right]
+
+    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int], list[int], list[int]]]:
+        """Per text: ids, ids and both ``cuts``; all empty where a side doesn't give the text's bytes back."""
         out = []
         for text, b in zip(texts, self.b.ids([t or "" for t in texts])):
+            a = self.a.encode(" " + text) if text else []
             whole = (" " + text).encode() if text else b""
-            a = self.a.ids(text) if text else []
-            if (
-                not text or b"".join(map(self.a.bytes.__getitem__, a)) != whole
-                or b"".join(map(self.b.bytes.__getitem__, b)) != whole
-            ):
-                out.append(([], [], []))
-                continue
-            lengths = list(map(self.a_lengths.__getitem__, a)), list(map(self.b_lengths.__getitem__, b))
-            out.append((a, b, cuts(*lengths)))
+            if a and b"".join(map(self.a_bytes, a)) == whole == b"".join(map(self.b_bytes, b)):
+                out.append((a, b, *cuts(map(self.a_lengths, a), map(self.b_lengths, b))))
+            else:
+                out.append(([], [], [], []))
         return out
 
-    def links(self, a: list[int], b: list[int], groups: list[Group]) -> tuple[str, np.ndarray]:
+    def links(self, a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> tuple[str, np.ndarray]:
         """The groups as text, and one code per link: the first id beside the second."""
-        shown: list[str] = []
-        codes: list[int] = []
-        i = j = 0
-        shift = self.shift
-        for i2, j2 in groups:
-            if i2 == i + 1 and j2 == j + 1:
-                x, y = a[i], b[j]
-                codes.append(x << shift | y)
-                shown.append(f"{x}|{y}")
-            else:
-                left, right = a[i:i2], b[j:j2]
-                codes += [x << shift | y for x in left for y in right]
-                shown.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            i, j = i2, j2
-        return ";".join(shown), np.array(codes, np.int64)
+        left, right = np.array([0, *a_cuts]), np.array([0, *b_cuts])
+        wide = np.flatnonzero((np.diff(left) > 1) | (np.diff(right) > 1)).tolist()
+        # Most groups are one token a side; the others are put right below.
+        codes = np.array(a, np.int64)[left[1:] - 1] << self.shift | np.array(b, np.int64)[right[1:] - 1]
+        shown = list(map(self.shown.__getitem__, codes.tolist()))
+        more: list[int] = []
+        for g in wide:
+            i, j = (a_cuts[g - 1], b_cuts[g - 1]) if g else (0, 0)
+            group = tuple(a[i : a_cuts[g]]), tuple(b[j : b_cuts[g]])
+            # A stretch that the sides cut differently throughout is one long group, not worth keeping.
+            shown[g], codes_of = self.wide[group] if len(group[0]) + len(group[1]) < 64 else self.expanded(group)
+            more += codes_of
+        return ";".join(shown), np.concatenate([np.delete(codes, wide), np.array(more, np.int64)])
 
 
 def sent_models(spark: SparkSession, spec_text: str, model: bytes):
@@ -152,10 +160,7 @@ def align_tokens(df: DataFrame, spec_text: str, model: bytes, text: str = "text"
 
         def work(texts: list[str | None]) -> list[list]:
             found = aligner.encode(texts)
-            return [
-                [f[0] for f in found], [f[1] for f in found],
-                [[i for i, _ in f[2]] for f in found], [[j for _, j in f[2]] for f in found],
-            ]
+            return list(map(list, zip(*found))) or [[]] * 4
 
         return work
 
@@ -191,12 +196,12 @@ def linked_blocks(df: DataFrame, spec_text: str, model: bytes, key: str, text: s
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 made = []
-                for a, b, groups in aligner.encode(part.column(1).to_pylist()):
-                    shown, codes = aligner.links(a, b, groups)
+                for a, b, a_cuts, b_cuts in aligner.encode(part.column(1).to_pylist()):
+                    shown, codes = aligner.links(a, b, a_cuts, b_cuts)
                     distinct, times = np.unique(codes, return_counts=True)
                     digest = hashlib.sha256(shown.encode()).hexdigest() if a else ""
                     made.append((
-                        len(a), len(b), len(groups), len(codes), digest, block,
+                        len(a), len(b), len(a_cuts), len(codes), digest, block,
                         distinct.astype("<u4" if not len(distinct) or distinct[-1] < 1 << 32 else "<u8").tobytes(),
                         times.astype("<u4").tobytes(), None, None,
                     ))
