@@ -10,7 +10,7 @@ from tripleloom.catalog.base import Tables, case, joined, sql_with
 from tripleloom.catalog.bayes import nb_views
 from tripleloom.catalog.joins import matched
 from tripleloom.catalog.syntax import BASIC_COLUMNS, BASIC_SQL, plain_sql
-from tripleloom.operators import classify, cluster
+from tripleloom.operators import classify, cluster, many_models, metrics
 from tripleloom.operators.dense import center_matrix, nearest_center
 from tripleloom.operators.distinct import union_parts
 from tripleloom.plans import clustering, features
@@ -61,7 +61,98 @@ def _(t: Tables) -> DataFrame:
 
 @case("m02_kmeans_sweep")
 def _(t: Tables) -> DataFrame:
-    return clustering.kmeans_sweep(points(t), "label", n_init=1)
+    """Every k from three starts: all parts of the vector, the arguments alone, the predicate alone."""
+    starts = {part: cluster.partial_init(three_parts(t), part) for part in ("arguments", "predicate")}
+    rows = points(t)
+    for part, masked in starts.items():
+        flat = clustering.with_single(masked).select("vec_id", F.col("vec").alias(part))
+        rows = rows.join(flat, "vec_id")
+    return clustering.kmeans_sweep(rows, "label", starts={"all": "vec", "arguments": "arguments", "predicate": "predicate"})
+
+
+def three_models(t: Tables) -> list[np.ndarray]:
+    """The given centres, and two smaller models: every second and every third of them."""
+    _, matrix = center_matrix(t.centers())
+    return [matrix[::step] for step in (1, 2, 3)]
+
+
+_MODELS = dict(
+    each_v="SELECT CAST(m AS INT) AS model, CAST(center_id // (m + 1) AS INT) AS center_id, center FROM centers_v, (SELECT unnest(range(0, 3)) AS m) WHERE center_id % (m + 1) = 0",
+    near_v=f"SELECT model, vec_id, label, center_id, d, embedding FROM (SELECT model, vec_id, label, center_id, embedding, round({d2('embedding', 'center')}, 9) AS d, "
+    f"row_number() OVER (PARTITION BY model, vec_id ORDER BY round({d2('embedding', 'center')}, 9), center_id) AS rn FROM embeddings CROSS JOIN each_v) x WHERE rn = 1",
+)
+
+
+@case(
+    "m02_lloyd_step",
+    sql_with(
+        "SELECT model, center_id, CAST(dim AS INT) AS dim, count(*) AS n, round(sum(d), 4) AS cost, round(avg(z), 6) AS mean FROM (SELECT model, center_id, d, "
+        "CAST(unnest(embedding) AS DOUBLE) AS z, unnest(range(0, 64)) AS dim FROM near_v) x GROUP BY model, center_id, dim",
+        "centers_v", **_MODELS,
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """One round of three models at once."""
+    sums = many_models.lloyd_sums(points(t), three_models(t))
+    return sums.select("model", "center_id", F.posexplode("total").alias("dim", "s"), "n", F.round("cost", 4).alias("cost")).select(
+        "model", "center_id", "dim", "n", "cost", F.round(F.col("s") / F.col("n"), 6).alias("mean")
+    )
+
+
+_H = "(SELECT model, -sum(n / m * ln(n / m)) AS h FROM (SELECT model, {0}, count(*)::DOUBLE AS n, (SELECT count(*) FROM embeddings)::DOUBLE AS m FROM near_v GROUP BY model, {0}) g GROUP BY model)"
+
+
+@case(
+    "m02_model_scores",
+    sql_with(
+        "SELECT model, round(2 * (t.h + p.h - j.h) / (t.h + p.h), 6) AS v_measure FROM "
+        + _H.format("label") + " t JOIN " + _H.format("center_id") + " p USING (model) JOIN " + _H.format("label, center_id") + " j USING (model)",
+        "centers_v", **_MODELS,
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """Three models scored from one contingency table."""
+    table = many_models.contingencies(points(t), "label", three_models(t))
+    return metrics.model_scores(table).select("model", F.round("v_measure", 6).alias("v_measure"))
+
+
+def flat_points(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", F.slice("embedding", 1, 2).cast("array<double>").alias("vec"))
+
+
+# Three components given in closed form, so that one step can be written out in two dimensions.
+_MIX = [(0.5, -0.1, 0.0, 0.04, 0.01, 0.03), (0.3, 0.1, 0.1, 0.02, 0.0, 0.05), (0.2, 0.0, -0.15, 0.06, -0.02, 0.02)]
+_EM = dict(
+    mix_v="SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{x}::DOUBLE' for x in m)})" for i, m in enumerate(_MIX)) + ") v(component, w, m1, m2, a, b, c)",
+    x_v="SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings",
+    den_v="SELECT vec_id, component, x, y, w * exp(-0.5 * (c * (x - m1) * (x - m1) - 2 * b * (x - m1) * (y - m2) + a * (y - m2) * (y - m2)) / (a * c - b * b)) "
+    "/ (2 * pi() * sqrt(a * c - b * b)) AS f FROM x_v CROSS JOIN mix_v",
+    share_v="SELECT vec_id, component, x, y, f / sum(f) OVER (PARTITION BY vec_id) AS r, ln(sum(f) OVER (PARTITION BY vec_id)) AS l FROM den_v",
+    mean_v="SELECT component, sum(r) AS n, sum(r * x) / sum(r) AS m1, sum(r * y) / sum(r) AS m2, avg(l) AS score FROM share_v GROUP BY component",
+)
+
+
+@case(
+    "m03_em_step",
+    sql_with(
+        "SELECT CAST(component AS INT) AS component, round(n / (SELECT count(*) FROM embeddings), 6) AS weight, round(any_value(m1), 6) AS m1, round(any_value(m2), 6) AS m2, "
+        "round(sum(r * (x - m1) * (x - m1)) / n + 1e-6, 6) AS c11, round(sum(r * (x - m1) * (y - m2)) / n, 6) AS c12, round(sum(r * (y - m2) * (y - m2)) / n + 1e-6, 6) AS c22, "
+        "round(any_value(score), 6) AS score FROM share_v JOIN mean_v USING (component) GROUP BY component, n",
+        **_EM,
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """One step of a mixture of three components with full covariances."""
+    flat = flat_points(t)
+    given = many_models.Mixture(
+        np.array([m[0] for m in _MIX]), np.array([m[1:3] for m in _MIX]), np.array([[[a, b], [b, c]] for *_, a, b, c in _MIX])
+    )
+    (m,) = many_models.em_round(flat, [given], flat.count())
+    rows = [
+        (i, *[round(float(x), 6) for x in (m.weights[i], *m.means[i], m.covariances[i][0, 0], m.covariances[i][0, 1], m.covariances[i][1, 1], m.score)])
+        for i in range(len(_MIX))
+    ]
+    return t.spark.createDataFrame(rows, "component int, weight double, m1 double, m2 double, c11 double, c12 double, c22 double, score double")
 
 
 @case("m03_gmm")

@@ -58,10 +58,15 @@ def relation_vector(pos: Column, prep: Column, left: Column, embedding: Column)
 def hashed_vector(words: Column, dim: int) -> Column:
     """Counts of words in hashed places: the stand-in for a text without a given vector."""
     places = F.transform(words, lambda w: hash_int(w) % dim)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"),
+    # The places are bound once, as an element of their own: inside the counting lambda they would be hashed again for every place.
+    counted = F.transform(
+        F.array(places),
+        lambda found: F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: F.size(F.filter(found, lambda p: p == i)).cast("float"),
+        ),
     )
+    return F.get(counted, F.lit(0))
 
 
 def single_vector(subject: Column, relation: Column, obj: Column) -> Column:

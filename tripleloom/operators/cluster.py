@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -27,6 +27,7 @@ from tripleloom.operators.dense import (
     to_matrix,
 )
 from tripleloom.operators.distinct import unique_vectors
+from tripleloom.operators.many_models import best_of, fit_many, fit_mixture
 from tripleloom.session import cut_lineage
 
 
@@ -362,13 +363,11 @@ def kmeans_labels(df: DataFrame, model: KMeansModel, vec: str = "vec") -> DataFr
     return model.transform(labelled).withColumnRenamed("prediction", "cluster").drop("features")
 
 
-def gmm(df: DataFrame, k: int, vec: str = "vec", seed: int = 42) -> DataFrame:
-    """Gaussian mixture; its means serve as centres."""
-    data = df.select(as_vector(vec).alias("features"))
-    model = GaussianMixture(k=k, seed=seed, featuresCol="features").fit(data)
-    means = model.gaussiansDF.select("mean").collect()
-    matrix = np.array([r["mean"].toArray() for r in means])
-    return centers_frame(df.sparkSession, np.arange(len(matrix)), matrix)
+def gmm(df: DataFrame, k: int, vec: str = "vec", n_init: int = 5, seed: int = 42) -> DataFrame:
+    """Means of a Gaussian mixture, the best of ``n_init`` fits, as centres."""
+    data = cut_lineage(df.select(vec), "mixture")
+    fitted, _ = fit_mixture(data, k, vec, n_init, seed)
+    return centers_frame(df.sparkSession, np.arange(len(fitted.means)), fitted.means)
 
 
 def fit_latent(df: DataFrame, d: int, vec: str = "vec") -> PCAModel:
@@ -440,10 +439,11 @@ def jitter(df: DataFrame, vec: str, key: str, sigma: float = 1e-6, seed: int = 4
 def init_centers(
     df: DataFrame, k: int, vec: str = "vec", key: str = "vec_id", n_init: int = 10, seed: int = 42
 ) -> DataFrame:
-    """Unique rows, noise, then the centres of the best k-means start."""
+    """Unique rows, noise, then the centres of the best k-means start; all starts move in one scan per round."""
     unique = unique_vectors(df.select(key, F.col(vec).cast("array<double>").alias(vec)), vec, key)
-    noisy = jitter(unique, vec, key, seed=seed)
-    return model_centers(df.sparkSession, kmeans(noisy, k, vec, n_init, seed))
+    noisy = cut_lineage(jitter(unique, vec, key, seed=seed).select(vec), "starts")
+    (best,) = best_of(fit_many(noisy, [k], vec, seeds=n_init, seed=seed))
+    return centers_frame(df.sparkSession, np.arange(len(best.centers)), best.centers)
 
 
 def seed_centers(centers: DataFrame, labelled: DataFrame, vec: str, order: str) -> DataFrame:

@@ -125,6 +125,11 @@ def expected_mutual_information(table: DataFrame) -> DataFrame:
     pairs = rows.select("*", sides.alias("_cols"), total.alias("n")).select(
         "a", "na", "n", F.inline("_cols")
     )
+    return _emi_terms(pairs).agg(F.coalesce(F.sum("term"), F.lit(0.0)).alias("emi"))
+
+
+def _emi_terms(pairs: DataFrame) -> DataFrame:
+    """The terms of the expectation that are not zero, for pairs of sizes a and b, na and nb times, among n rows."""
     a, b, n = F.col("a"), F.col("b"), F.col("n")
     mean = a * b / n
     spread = F.sqrt(mean * (n - a) / n * (n - b) / F.greatest(n - 1, F.lit(1.0)))
@@ -140,8 +145,35 @@ def expected_mutual_information(table: DataFrame) -> DataFrame:
         - ln_factorial(n) - ln_factorial(x) - ln_factorial(a - x) - ln_factorial(b - x)
         - ln_factorial(n - a - b + x)
     )
-    term = F.col("na") * F.col("nb") * x / n * F.log(n * x / (a * b)) * F.exp(log_p)
-    return cells.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("emi"))
+    return cells.withColumn("term", F.col("na") * F.col("nb") * x / n * F.log(n * x / (a * b)) * F.exp(log_p))
+
+
+def model_scores(table: DataFrame, by: str = "model") -> DataFrame:
+    """``v_measure`` and ``ami`` of every model, from one contingency table (``by``, t, p, n) over all of them."""
+    table = cut_lineage(table.withColumn("n", F.col("n").cast("double")), "contingency")
+    rows = table.groupBy(by, "t").agg(F.sum("n").alias("a"))
+    cols = table.groupBy(by, "p").agg(F.sum("n").alias("b"))
+    cells = table.groupBy(by).agg(F.sum("n").alias("n"), F.sum(_xlnx(F.col("n"))).alias("x_tp"))
+    x_t = rows.groupBy(by).agg(F.sum(_xlnx(F.col("a"))).alias("x_t"), F.count("*").alias("k_t"))
+    x_p = cols.groupBy(by).agg(F.sum(_xlnx(F.col("b"))).alias("x_p"), F.count("*").alias("k_p"))
+    sizes_t = rows.groupBy(by, "a").agg(F.count("*").alias("na"))
+    sizes_p = cols.groupBy(by, "b").agg(F.count("*").alias("nb"))
+    pairs = sizes_t.join(sizes_p, by).join(cells.select(by, "n"), by)
+    emi = _emi_terms(pairs).groupBy(by).agg(F.sum("term").alias("emi"))
+    n, zero = F.col("n"), F.lit(0.0)
+    info = cells.join(x_t, by).join(x_p, by).join(emi, by, "left").select(
+        by, "k_t", "k_p", F.coalesce("emi", zero).alias("emi"),
+        F.greatest(F.log(n) - F.col("x_t") / n, zero).alias("h_t"), F.greatest(F.log(n) - F.col("x_p") / n, zero).alias("h_p"),
+        F.greatest(F.log(n) + (F.col("x_tp") - F.col("x_t") - F.col("x_p")) / n, zero).alias("mi"),
+    )
+    hom = F.when(F.col("h_t") <= 1e-15, 1.0).otherwise(F.col("mi") / F.col("h_t"))
+    com = F.when(F.col("h_p") <= 1e-15, 1.0).otherwise(F.col("mi") / F.col("h_p"))
+    bottom = (F.col("h_t") + F.col("h_p")) / 2 - F.col("emi")
+    safe = F.when(bottom < 0, F.least(bottom, F.lit(-2.2e-16))).otherwise(F.greatest(bottom, F.lit(2.2e-16)))
+    return info.select(
+        by, F.when(hom + com == 0, 0.0).otherwise(2 * hom * com / (hom + com)).alias("v_measure"),
+        F.when((F.col("k_t") == 1) & (F.col("k_p") == 1), 1.0).otherwise((F.col("mi") - F.col("emi")) / safe).alias("ami"),
+    )
 
 
 def ami(df: DataFrame, true: str, pred: str) -> DataFrame:
