@@ -9,10 +9,10 @@ from check_oracle import TABLES, rows_of
 QUERIES = entry_points.queries()
 ORACLE = entry_points.oracle_sql()
 
-# Python runs in these only: dense vector arithmetic, graph search, the K x K assignment.
+# Python runs in these only: dense vector arithmetic, the K x K assignment.
 PYTHON = {
-    "a07", "a08", "a09", "a10", "a11", "a12", "a13", "a15", "j20", "m03", "m04", "m05", "m06", "m07", "m08", "m09", "m10",
-    "m11", "m12", "m13", "m18", "m19", "m25", "m27", "t12",
+    "a07", "a08", "a09", "a10", "a11", "a12", "a13", "a15", "j20", "m02", "m03", "m04", "m05", "m06", "m07", "m08", "m09", "m10",
+    "m11", "m12", "m13", "m18", "m19", "m25", "m27",
 }
 
 

@@ -62,6 +62,18 @@ def test_paths_between_sets_against_brute_force(spark):
         assert list(row["p"]) == bfs_all(*cases[row["i"]]), cases[row["i"]]
 
 
+def test_paths_between_odd_sets(spark):
+    schema = "i int, e array<struct<governor:int,dependent:int>>, a array<int>, b array<int>"
+    chain = [(i, i + 1) for i in range(1, 300)]
+    cases = [([], [1], [1]), ([], [1], [2]), (None, [3], [3]), (None, [1], [2]), ([(1, 2)], None, [1]), ([(1, 2)], [1], None), ([(1, 2)], [], [2]), (chain, [300], [1]),
+             ([(1, 1)], [1], [1]), ([(0, 1), (0, 2)], [1], [2]), ([(1, 2), (1, 2)], [2], [1])]
+    df = spark.createDataFrame([(i, e, a, b) for i, (e, a, b) in enumerate(cases)], schema)
+    out = df.select("i", syntax.dep_path_between_sets(F.col("e"), F.col("a"), F.col("b")).alias("p"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for row in out.collect():
+        assert list(row["p"]) == bfs_all(*[x or [] for x in cases[row["i"]]])
+
+
 def collapse(tags):
     """Repeated substring replacement."""
     for key, new in (

@@ -228,7 +228,24 @@ def _(t: Tables) -> DataFrame:
     return with_path(t).select(*KEY, joined("path").alias("path"))
 
 
-@case("t12_dep_path_between_sets")
+_SETS = dict(
+    near_v="SELECT doc_id, sent, tpos, range(subj_start + 1, subj_end + 1) AS dst, range(obj_start + 1, obj_end + 1) AS src, list_transform(range(1, n_tokens + 1), "
+    "lambda i: list_filter(list_concat([toks[i].gov, i - 1, i + 1], list_filter(range(1, n_tokens + 1), lambda j: toks[j].gov = i)), lambda y: y > 0 AND y <= n_tokens)) AS near FROM spans_v",
+    levels_v="SELECT doc_id, sent, tpos, src, near, [dst] AS levels, dst AS seen, list_has_any(src, dst) AS done FROM near_v "
+    "UNION ALL SELECT doc_id, sent, tpos, src, near, list_append(levels, nxt), list_concat(seen, nxt), list_has_any(src, nxt) OR len(nxt) = 0 FROM (SELECT *, "
+    "list_distinct(list_filter(flatten(list_transform(levels[-1], lambda x: near[x])), lambda y: NOT list_contains(seen, y))) AS nxt FROM levels_v WHERE NOT done) x",
+    trail_v="SELECT doc_id, sent, tpos, near, levels, len(levels) AS l, [list_min(list_intersect(levels[-1], src))] AS path FROM levels_v WHERE done "
+    "UNION ALL SELECT doc_id, sent, tpos, near, levels, l - 1, list_append(path, list_min(list_intersect(levels[l - 1], near[path[-1]]))) FROM trail_v WHERE l > 1 AND path[-1] IS NOT NULL",
+)
+
+
+@case(
+    "t12_dep_path_between_sets",
+    sql_with(
+        "SELECT doc_id, sent, tpos, CASE WHEN path[-1] IS NULL THEN '' ELSE array_to_string(path, ',') END AS path FROM trail_v WHERE l = 1 OR path[-1] IS NULL",
+        "spans_v", **_SETS,
+    ),
+)
 def _(t: Tables) -> DataFrame:
     """On the tree plus an edge from each token to the one before it."""
     edges = F.concat(

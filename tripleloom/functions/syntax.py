@@ -6,10 +6,9 @@ Spans are ``[start, end)`` with 0-based bounds; heads, governors and paths are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,51 +125,62 @@ def dep_path(gov: Column, start: Column, end: Column) -> Column:
     return join_root_paths(root_path(gov, start), root_path(gov, end))
 
 
-def shortest_between(
-    governor: Iterable[int], dependent: Iterable[int], sources: Iterable[int], targets: Iterable[int]
-) -> list[int]:
-    """Breadth first from the targets, then downhill from the best source."""
-    near: dict[int, set[int]] = {}
-    for g, d in zip(governor, dependent):
-        if g > 0 and d > 0:
-            near.setdefault(g, set()).add(d)
-            near.setdefault(d, set()).add(g)
-    wanted = {int(s) for s in sources}
-    left = {int(t): 0 for t in targets}
-    level = list(left)
-    while level and not wanted & left.keys():
-        reached = {v for u in level for v in near.get(u, ()) if v not in left}
-        left.update((v, left[level[0]] + 1) for v in reached)
-        level = list(reached)
-    starts = [(left[s], s) for s in wanted if s in left]
-    if not starts:
-        return []
-    path = [min(starts)[1]]
-    while left[path[-1]]:
-        path.append(min(v for v in near[path[-1]] if left.get(v) == left[path[-1]] - 1))
-    return [int(v) for v in path]
-
-
 def dep_path_between_sets(edges: Column, sources: Column, targets: Column) -> Column:
     """Shortest path between two token sets in a graph with several governors.
 
-    ``edges`` is ``array<struct<governor, dependent>>`` and undirected. The graph never leaves
-    its sentence, so the search is linear in the row; array expressions would visit every
-    edge for every frontier token. Of several shortest paths the smallest is taken.
+    ``edges`` is ``array<struct<governor, dependent>>`` and undirected; tokens count from 1. The search goes level by level from
+    the targets until it meets a source, as an expression of the row: it visits the edges once per level, and every
+    level updates the array of distances. Of several shortest paths the smallest is taken. Without a path, and for null sets, the result is empty.
     """
+    none = F.array().cast("array<int>")
+    linked = F.filter(F.coalesce(edges, F.array().cast("array<struct<governor:int,dependent:int>>")), lambda e: (e["governor"] > 0) & (e["dependent"] > 0))
+    there = F.transform(linked, lambda e: F.struct(e["governor"].cast("int").alias("u"), e["dependent"].cast("int").alias("v")))
+    back = F.transform(linked, lambda e: F.struct(e["dependent"].cast("int").alias("u"), e["governor"].cast("int").alias("v")))
+    given = F.struct(
+        F.concat(there, back).alias("arcs"), F.coalesce(sources.cast("array<int>"), none).alias("src"),
+        F.coalesce(targets.cast("array<int>"), none).alias("dst"),
+    )
+    return bind(given, _level_search)
 
-    @F.pandas_udf("array<int>")
-    def search(gov: pd.Series, dep: pd.Series, src: pd.Series, dst: pd.Series) -> pd.Series:
-        return pd.Series(
-            [shortest_between(*row) for row in zip(gov, dep, src, dst)], dtype=object
-        )
 
-    return search(
-        F.transform(edges, lambda e: e["governor"]),
-        F.transform(edges, lambda e: e["dependent"]),
-        sources,
-        targets,
+def _level_search(row: Column) -> Column:
+    arcs, src, dst = row["arcs"], row["src"], row["dst"]
+    at = lambda dist, token: F.get(dist, token - 1)
+    top = F.greatest(
+        F.lit(0), F.coalesce(F.array_max(F.transform(arcs, lambda e: e["u"])), F.lit(0)),
+        F.coalesce(F.array_max(src), F.lit(0)), F.coalesce(F.array_max(dst), F.lit(0)),
     )
+    tokens = F.filter(F.sequence(F.lit(0), top), lambda i: i > 0)
+    begin = F.struct(
+        F.transform(tokens, lambda i: F.when(F.array_contains(dst, i), F.lit(0))).alias("dist"), F.lit(0).alias("level"), F.lit(False).alias("done"),
+    )
+
+    def step(state: Column, _: Column) -> Column:
+        reached = F.array_distinct(
+            F.transform(
+                F.filter(arcs, lambda e: (at(state["dist"], e["u"]) == state["level"]) & at(state["dist"], e["v"]).isNull()), lambda e: e["v"]
+            )
+        )
+        below = state["level"] + 1
+        moved = lambda new: F.struct(
+            F.transform(state["dist"], lambda x, i: F.when(x.isNull() & F.array_contains(new, i + 1), below).otherwise(x)).alias("dist"),
+            below.alias("level"), ((F.size(new) == 0) | F.arrays_overlap(new, src)).alias("done"),
+        )
+        return F.when(state["done"], state).otherwise(bind(reached, moved))
+
+    def downhill(dist: Column) -> Column:
+        start = F.array_min(F.filter(src, lambda s: at(dist, s).isNotNull()))
+
+        def longer(path: Column, _: Column) -> Column:
+            last = F.element_at(path, -1)
+            nearer = F.filter(arcs, lambda e: (e["u"] == last) & (at(dist, e["v"]) == at(dist, last) - 1))
+            return F.concat(path, F.array(F.array_min(F.transform(nearer, lambda e: e["v"]))))
+
+        return F.when(start.isNotNull(), F.aggregate(F.sequence(F.lit(1), at(dist, start)), F.array(start), longer))
+
+    found = bind(F.aggregate(tokens, begin, step)["dist"], downhill)
+    both = F.array_min(F.array_intersect(src, dst))
+    return F.when(both.isNotNull(), F.array(both)).otherwise(F.coalesce(found, F.array().cast("array<int>")))
 
 
 def inner_path(path: Column) -> Column:
