@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -107,6 +109,18 @@ def test_contained_keys_against_brute_force(spark):
     assert got == sorted((i, x) for i, t in enumerate(texts) for x in keys if x in t)
 
 
+def test_containment_of_odd_texts_and_keys(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abc é🙂") for _ in range(rng.randint(0, 30))) for _ in range(80)] + [None, "", "", "ab" * 3000]
+    keys = sorted({"".join(rng.choice("abc é🙂") for _ in range(rng.randint(0, 6))) for _ in range(60)} | {"", "a", "ab", "zzz"})
+    df = spark.createDataFrame([(i, i % 2, t, "x") for i, t in enumerate(texts)], "i int, c int, t string, other string")
+    k = spark.createDataFrame([(x, j % 2, j) for j, x in enumerate(keys)] + [(None, 0, -1), ("ab", 1, 99)], "k string, c int, j int")
+    got = rows(joins.contained_keys(df, "t", k, "k", ["c"]), "i", "k", "j")
+    named = [(x, j % 2, j) for j, x in enumerate(keys)] + [("ab", 1, 99)]
+    assert got == sorted((i, x, j) for i, t in enumerate(texts) if t is not None for x, c, j in named if c == i % 2 and x in t)
+    assert joins.contained_keys(df.limit(0), "t", k, "k", ["c"]).count() == joins.contained_keys(df, "t", k.limit(0), "k", ["c"]).count() == 0
+
+
 def test_offsets_first_sentence_with_both(spark):
     tokens = spark.createDataFrame(
         [(1, 0, 1, "Ada", 0, 3), (1, 0, 2, "sang", 4, 8), (1, 1, 1, "New", 10, 13), (1, 1, 2, "York", 14, 18), (1, 1, 3, "Ada", 19, 22), (1, 2, 1, "Ada", 24, 27)],

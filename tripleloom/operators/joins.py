@@ -204,29 +204,39 @@ def expand_categories(roots: DataFrame, edges: DataFrame, max_depth: int = 4) ->
     return found.distinct().orderBy("category")
 
 
+GRAM = 3
+
+
+def _grams(text: Column, lengths: Column) -> Column:
+    """The different runs of letters of a text at the given lengths; the empty run is in every text."""
+    letters = F.split(text, "")  # cut once, so that a run costs its own letters only
+
+    def runs(n: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(letters) - n + 1, F.lit(0))), lambda i: i > 0)
+        return F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(letters, i, n), "")))
+
+    return F.array_distinct(F.flatten(F.transform(lengths, runs)))
+
+
 def contained_keys(df: DataFrame, text: str, keys: DataFrame, key: str, by: list[str] = ()) -> DataFrame:
-    """Rows of ``df`` with every key that occurs inside their text (exact containment).
+    """Rows of ``df`` with every key that occurs inside their text (exact containment), for equal ``by``.
 
-    Written as an equi join: the substrings of the text at the lengths that keys
-    have, each once. The work per row depends on its own text, never on the number of keys.
-    The rows are spread first, by an explicit number of partitions: they are small before and
-    many times larger after this step, which adaptive merging of partitions cannot see.
+    Every key is looked up by one of its runs of ``GRAM`` letters (a shorter key by itself), the one that is in the fewest texts; a
+    key with a run in no text is dropped at once. Different texts give their different runs once, as narrow rows beside a
+    hash of the text, and what shares a key's run is compared as a whole. The empty key is inside every text, null texts and keys match nothing.
     """
-    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lengths = keys.select(F.length(key).alias("_l")).distinct().agg(
-        F.coalesce(F.array_sort(F.collect_list("_l")), F.array().cast("array<int>"))
-    )
-    with_lengths = df.select("*", lengths.scalar().alias("_lengths"))
-    usable = F.filter("_lengths", lambda n: (n > 0) & (n <= F.length(text)))
-    parts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                usable,
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length(text) - n + 1),
-                    lambda i: F.substr(F.col(text), i, n),
-                ),
-            )
-        )
-    )
-    return with_lengths.select(*df.columns, F.explode(parts).alias(key)).join(keys, [*by, key])
+    by = list(by)
+    texts = df.where(F.col(text).isNotNull()).select(*by, F.col(text).alias("_t")).distinct().withColumn("_id", F.md5("_t"))
+    names = keys.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("_key")).distinct()
+    size = F.least(F.length("_key"), F.lit(GRAM))
+    # At most GRAM + 1 different lengths.
+    lengths = names.select(size.alias("_l")).distinct().agg(F.coalesce(F.array_sort(F.collect_list("_l")), F.array().cast("array<int>"))).scalar()
+    have = texts.select("*", lengths.alias("_lengths")).select(*by, "_id", F.explode(_grams(F.col("_t"), F.col("_lengths"))).alias("_g"))
+    seen = have.groupBy("_g").agg(F.count("*").alias("_n"))
+    runs = names.select(*by, "_key", _grams(F.col("_key"), F.array(size)).alias("_runs"))
+    need = runs.select(*by, "_key", F.size("_runs").alias("_m"), F.explode("_runs").alias("_g")).join(seen, "_g")
+    rarest = need.groupBy(*by, "_key").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"), (F.count("*") == F.max("_m")).alias("_all"))
+    candidates = have.join(rarest.where("_all").drop("_all"), [*by, "_g"]).select(*by, "_id", "_key")
+    pairs = candidates.join(texts, [*by, "_id"]).where(F.contains("_t", "_key"))
+    found = pairs.select(*by, F.col("_t").alias(text), F.col("_key").alias(key))
+    return df.join(found, [*by, text]).select(*df.columns, key).join(keys, [*by, key])
