@@ -13,8 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate, count
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +35,10 @@ BLOCK_LINKS = 4_000_000
 KEPT = 200_000  # entries of a task's caches
 
 
-def cuts(a_lengths: Iterable[int], b_lengths: Iterable[int]) -> tuple[list[int], list[int]]:
+def cuts(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[list[int], list[int]]:
     """How many tokens of either side end at each byte offset where both do, in order."""
-    a_ends = dict(zip(accumulate(a_lengths), count(1)))
-    b_ends = dict(zip(accumulate(b_lengths), count(1)))
+    a_ends = dict(zip(a_lengths.cumsum().tolist(), range(1, len(a_lengths) + 1)))
+    b_ends = dict(zip(b_lengths.cumsum().tolist(), range(1, len(b_lengths) + 1)))
     # The second dictionary's keys are sorted already, so those also in the first one are.
     common = list(filter(a_ends.__contains__, b_ends))
     return list(map(a_ends.__getitem__, common)), list(map(b_ends.__getitem__, common))
@@ -59,9 +58,11 @@ class BytePieces:
         if ranks is None:
             own = Tokenizer.from_str(spec_text)
             own.encode_special_tokens = True  # their strings in a text are ordinary text
-            self.encode = lambda t: own.encode(t, add_special_tokens=False).ids
+            self.encode = lambda t: np.array(own.encode(t, add_special_tokens=False).ids, np.int64)
         else:
-            self.encode = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            bpe = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda t: bpe.encode_to_numpy(t, disallowed_special=())
+        self.plain = ranks is not None  # gives back every text
 
 
 class WordPieces:
@@ -100,45 +101,53 @@ class Aligner:
     def __init__(self, spec_text: str, model: bytes):
         self.a, self.b = BytePieces(spec_text), WordPieces(model)
         self.a_bytes, self.b_bytes = self.a.bytes.__getitem__, self.b.bytes.__getitem__
-        self.a_lengths, self.b_lengths = (list(map(len, x.bytes)).__getitem__ for x in (self.a, self.b))
+        self.a_lengths, self.b_lengths = (np.array(list(map(len, x.bytes))) for x in (self.a, self.b))
         self.shift = max(1, (len(self.b.bytes) - 1).bit_length())
         mask = (1 << self.shift) - 1
         self.shown = Known(lambda code: f"{code >> self.shift}|{code & mask}")
         self.wide = Known(self.expanded)
 
-    def expanded(self, group: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[str, list[int]]:
-        """A group of any size as text, and the codes of its links."""
-        left, right = group
+    def expanded(self, group: tuple[int, ...]) -> tuple[str, list[int]]:
+        """A group of any size (both id lists, -1 between) as text, and the codes of its links."""
+        cut = group.index(-1)
+        left, right = group[:cut], group[cut + 1 :]
         text = ",".join(map(str, left)) + "|" + ",".join(map(str, right))
         return text, [x << self.shift | y for x in left for y in right]
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int], list[int], list[int]]]:
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
         """Per text: ids, ids and both ``cuts``; all empty where a side doesn't give the text's bytes back."""
         out = []
-        for text, b in zip(texts, self.b.ids([t or "" for t in texts])):
-            a = self.a.encode(" " + text) if text else []
+        none = np.empty(0, np.int64)
+        for text, ids in zip(texts, self.b.ids([t or "" for t in texts])):
             whole = (" " + text).encode() if text else b""
-            if a and b"".join(map(self.a_bytes, a)) == whole == b"".join(map(self.b_bytes, b)):
-                out.append((a, b, *cuts(map(self.a_lengths, a), map(self.b_lengths, b))))
-            else:
-                out.append(([], [], [], []))
+            if not text or b"".join(map(self.b_bytes, ids)) != whole:
+                out.append((none, none, [], []))
+                continue
+            a, b = self.a.encode(" " + text).astype(np.int64), np.array(ids, np.int64)
+            if not self.a.plain and b"".join(map(self.a_bytes, a.tolist())) != whole:
+                out.append((none, none, [], []))
+                continue
+            out.append((a, b, *cuts(self.a_lengths[a], self.b_lengths[b])))
         return out
 
-    def links(self, a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> tuple[str, np.ndarray]:
+    def links(self, a: np.ndarray, b: np.ndarray, a_cuts: list[int], b_cuts: list[int]) -> tuple[str, np.ndarray]:
         """The groups as text, and one code per link: the first id beside the second."""
+        if not a_cuts:
+            return "", np.empty(0, np.int64)
         left, right = np.array([0, *a_cuts]), np.array([0, *b_cuts])
-        wide = np.flatnonzero((np.diff(left) > 1) | (np.diff(right) > 1)).tolist()
+        wide = (np.diff(left) > 1) | (np.diff(right) > 1)
         # Most groups are one token a side; the others are put right below.
-        codes = np.array(a, np.int64)[left[1:] - 1] << self.shift | np.array(b, np.int64)[right[1:] - 1]
+        codes = a[left[1:] - 1] << self.shift | b[right[1:] - 1]
         shown = list(map(self.shown.__getitem__, codes.tolist()))
         more: list[int] = []
-        for g in wide:
-            i, j = (a_cuts[g - 1], b_cuts[g - 1]) if g else (0, 0)
-            group = tuple(a[i : a_cuts[g]]), tuple(b[j : b_cuts[g]])
+        a, b = a.tolist(), b.tolist()
+        at = np.flatnonzero(wide)
+        for g, i, i2, j, j2 in zip(*[x.tolist() for x in (at, left[at], left[at + 1], right[at], right[at + 1])]):
+            group = (*a[i:i2], -1, *b[j:j2])
             # A stretch that the sides cut differently throughout is one long group, not worth keeping.
-            shown[g], codes_of = self.wide[group] if len(group[0]) + len(group[1]) < 64 else self.expanded(group)
+            shown[g], codes_of = self.wide[group] if len(group) < 64 else self.expanded(group)
             more += codes_of
-        return ";".join(shown), np.concatenate([np.delete(codes, wide), np.array(more, np.int64)])
+        return ";".join(shown), np.concatenate([codes[~wide], np.array(more, np.int64)])
 
 
 def sent_models(spark: SparkSession, spec_text: str, model: bytes):
@@ -199,7 +208,7 @@ def linked_blocks(df: DataFrame, spec_text: str, model: bytes, key: str, text: s
                 for a, b, a_cuts, b_cuts in aligner.encode(part.column(1).to_pylist()):
                     shown, codes = aligner.links(a, b, a_cuts, b_cuts)
                     distinct, times = np.unique(codes, return_counts=True)
-                    digest = hashlib.sha256(shown.encode()).hexdigest() if a else ""
+                    digest = hashlib.sha256(shown.encode()).hexdigest() if a_cuts else ""
                     made.append((
                         len(a), len(b), len(a_cuts), len(codes), digest, block,
                         distinct.astype("<u4" if not len(distinct) or distinct[-1] < 1 << 32 else "<u8").tobytes(),
