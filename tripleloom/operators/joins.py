@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.text import last_uri_segment
 from tripleloom.operators.distinct import first_per_key
+from tripleloom.session import cut_lineage
 
 
 def both_directions(df: DataFrame, first: str, second: str, *payload: str) -> DataFrame:
@@ -223,20 +224,23 @@ def contained_keys(df: DataFrame, text: str, keys: DataFrame, key: str, by: list
 
     Every key is looked up by one of its runs of ``GRAM`` letters (a shorter key by itself), the one that is in the fewest texts; a
     key with a run in no text is dropped at once. Different texts give their different runs once, as narrow rows beside a
-    hash of the text, and what shares a key's run is compared as a whole. The empty key is inside every text, null texts and keys match nothing.
+    hash of the text, and what shares a key's run is compared as a whole. The rows and the runs that some key has are written once. The empty key is inside every text, null texts and keys match nothing.
     """
     by = list(by)
-    texts = df.where(F.col(text).isNotNull()).select(*by, F.col(text).alias("_t")).distinct().withColumn("_id", F.md5("_t"))
+    staged = cut_lineage(df.where(F.col(text).isNotNull()).withColumn("_id", F.md5(text)), "texts")
+    texts = staged.select(*by, "_id", F.col(text).alias("_t")).distinct()
     names = keys.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("_key")).distinct()
     size = F.least(F.length("_key"), F.lit(GRAM))
     # At most GRAM + 1 different lengths.
     lengths = names.select(size.alias("_l")).distinct().agg(F.coalesce(F.array_sort(F.collect_list("_l")), F.array().cast("array<int>"))).scalar()
+    runs = names.select(*by, "_key", _grams(F.col("_key"), F.array(size)).alias("_runs"))
+    own = runs.select(*by, "_key", F.size("_runs").alias("_m"), F.explode("_runs").alias("_g"))
     have = texts.select("*", lengths.alias("_lengths")).select(*by, "_id", F.explode(_grams(F.col("_t"), F.col("_lengths"))).alias("_g"))
+    have = cut_lineage(have.join(own.select(*by, "_g").distinct(), [*by, "_g"], "left_semi"), "runs")
     seen = have.groupBy("_g").agg(F.count("*").alias("_n"))
-    runs = names.select(*by, "_key", _grams(F.col("_key"), F.array(size)).alias("_runs"))
-    need = runs.select(*by, "_key", F.size("_runs").alias("_m"), F.explode("_runs").alias("_g")).join(seen, "_g")
+    need = own.join(seen, "_g")
     rarest = need.groupBy(*by, "_key").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"), (F.count("*") == F.max("_m")).alias("_all"))
     candidates = have.join(rarest.where("_all").drop("_all"), [*by, "_g"]).select(*by, "_id", "_key")
     pairs = candidates.join(texts, [*by, "_id"]).where(F.contains("_t", "_key"))
-    found = pairs.select(*by, F.col("_t").alias(text), F.col("_key").alias(key))
-    return df.join(found, [*by, text]).select(*df.columns, key).join(keys, [*by, key])
+    found = pairs.select(*by, "_id", F.col("_key").alias(key))
+    return staged.join(found, [*by, "_id"]).select(*df.columns, key).join(keys, [*by, key])
