@@ -75,3 +75,16 @@ def test_passages_nulls_repeats_and_missing_labels(spark):
     assert all(r.toxicity == 0.5 for r in X.score_toxicity(df, empty, keep=["doc_id"]).collect())
     one = spark.createDataFrame([(1, 0), (1, None), (None, 1)], "doc_id long, toxic int")
     assert X.fit_toxicity(df, one, remainder("doc_id", 5) >= 0).terms == {}
+
+
+def test_an_id_that_repeats_gives_one_training_text(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"word{i % 7} plain text {i}") for i in range(40)] + [(1, f"another text {i}") for i in range(500)] + [(2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    counted = X.counted_words
+    monkeypatch.setattr(X, "counted_words", lambda sample: seen.append(sample.count()) or counted(sample))
+    X.fit_toxicity(docs, labels, F.lit(True))
+    assert seen == [40]

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.llm.common import explode_slices, labelled_texts, logistic, map_slices, remainder, table
+from tripleloom.session import cut_lineage
 
 MAX_LABELLED = 20_000
 MAX_TERMS = 20_000
@@ -197,11 +198,12 @@ def counted_words(sample: DataFrame) -> list[tuple[str, int, int, int, int]]:
 def fit_toxicity(
     documents: DataFrame, labels: DataFrame, keep: Column, max_labelled: int = MAX_LABELLED
 ) -> ToxicityModel:
-    """A model learnt from at most ``max_labelled`` labelled rows for which ``keep`` holds, chosen by hash.
+    """A model learnt from at most ``max_labelled`` labelled ids for which ``keep`` holds, chosen by hash, one text each.
 
     Without rows of both labels every text gets the labels' base rate (0.5 without any).
     """
-    sample = labelled_texts(documents, labels, "toxic", keep, max_labelled)
+    drawn = labelled_texts(documents, labels, "toxic", keep, max_labelled)
+    sample = cut_lineage(drawn.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
     counts = counted_words(sample)
 
     def model_of(folds: set[int]) -> tuple[dict[str, float], float]:
