@@ -97,3 +97,26 @@ def test_blocks_nulls_repeats_and_empty_tables(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     assert D.find_leaks(docs.limit(0), bench).count() == 0 and D.find_leaks(docs, bench.limit(0)).count() == 0
     assert D.drop_leaking(docs, bench.limit(0)).count() == 6
+
+
+def test_runs_keep_memory_bounded_and_places_apart(monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf tonight"
+    items = [(1, "a" * 100), (2, item)] + [(10 + i, "-" * 70 + f" item {i} has some words") for i in range(20)]
+    between = " words that nobody else has said so far" * 5
+    text = "intro " + item + between + " " + item + " end"
+    texts = ["a" * 20_000, "b" * 300 + "-" * 200, text]
+    whole = D.finder(D.build_indexes(items))(texts)
+    assert whole[0] == [(1, 0, 20_000)]
+    assert [n for n, *_ in whole[1]] == [10 + i for i in range(20)]
+    assert [(n, text[s:e]) for n, s, e in whole[2]] == [(2, item), (2, item)]
+    # The same in many small pieces.
+    monkeypatch.setattr(D, "PAIRS", 500)
+    assert D.finder(D.build_indexes(items))(texts) == whole
+    monkeypatch.setattr(D, "PAIRS", 1_000_000)
+    import tracemalloc
+
+    find = D.finder(D.build_indexes(items[:1]))
+    tracemalloc.start()
+    assert find(["a" * 200_000]) == [[(1, 0, 200_000)]]
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()

@@ -29,6 +29,7 @@ BAND = 16
 BLOCK_CHARS = 2_000_000
 FILTER_BITS = 22
 CHUNK = 2048
+PAIRS = 1_000_000  # places of a text times occurrences in the items, taken at once
 
 
 def normalised(text: str | None) -> str:
@@ -65,7 +66,7 @@ class Index:
     bound: int
     items: list
     grams: np.ndarray
-    starts: np.ndarray
+    owner: np.ndarray  # q-gram number times items plus item, sorted: where the occurrences of both lie
     item_of: np.ndarray
     place_of: np.ndarray
     filter: np.ndarray
@@ -74,6 +75,22 @@ class Index:
     sizes: np.ndarray
 
 
+def telling_places(points: np.ndarray, window: int) -> np.ndarray:
+    """Places whose q-gram belongs to the first of equal windows: what repeats inside an item is indexed once."""
+    windows = len(points) - window + 1
+    if windows == 1:
+        return np.arange(len(points) - Q + 1)
+    raw, seen = points.tobytes(), set()
+    cover = np.zeros(len(points) + 1, np.int64)
+    for t in range(windows):
+        body = raw[4 * t : 4 * (t + window)]
+        if body not in seen:
+            seen.add(body)
+            cover[t] += 1
+            cover[t + window - Q + 1] -= 1
+    return np.flatnonzero(np.cumsum(cover) > 0)
+
+
 def build_indexes(items: list[tuple[int, str]]) -> list[Index]:
     """One index per window length. Items of fewer than eight characters cannot be told from chance and have none."""
     classes: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -85,20 +102,20 @@ def build_indexes(items: list[tuple[int, str]]) -> list[Index]:
     for window, members in sorted(classes.items()):
         codes, item_of, place_of = [], [], []
         for i, (_, points) in enumerate(members):
-            c = gram_codes(points)
-            codes.append(c)
-            item_of.append(np.full(len(c), i, np.int64))
-            place_of.append(np.arange(len(c)))
-        codes = np.concatenate(codes)
+            places = telling_places(points, window)
+            codes.append(gram_codes(points)[places])
+            item_of.append(np.full(len(places), i, np.int64))
+            place_of.append(places)
+        codes, item_of = np.concatenate(codes), np.concatenate(item_of)
         order = np.argsort(codes, kind="stable")
-        grams, starts = np.unique(codes[order], return_index=True)
+        grams, number = np.unique(codes[order], return_inverse=True)
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[grams >> np.uint32(32 - FILTER_BITS)] = True
         budget = budget_of(window)
         sizes = np.array([len(p) for _, p in members])
         out.append(
-            Index(window, budget, window + 1 - Q * (budget + 1), [n for n, _ in members], grams, np.append(starts, len(codes)),
-                  np.concatenate(item_of)[order], np.concatenate(place_of)[order], seen,
+            Index(window, budget, window + 1 - Q * (budget + 1), [n for n, _ in members], grams, number * len(members) + item_of[order],
+                  item_of[order], np.concatenate(place_of)[order], seen,
                   np.concatenate([p for _, p in members]), np.cumsum(sizes) - sizes, sizes)
         )
     return out
@@ -135,7 +152,11 @@ def within_budget(windows: np.ndarray, texts: np.ndarray, budget: int) -> np.nda
 
 
 def find_regions(index: Index, points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Verified (item place, start, end) in a run of texts laid behind each other with gaps."""
+    """Verified (item place, start, end) in a run of texts laid behind each other with gaps.
+
+    Places and their occurrences in items are listed for ``PAIRS`` at once: for a stretch of places, which overlaps the
+    next one by a window's reach, and where one stretch has more, for a part of the items.
+    """
     if len(points) < Q:
         return []
     codes = gram_codes(points)
@@ -151,16 +172,40 @@ def find_regions(index: Index, points: np.ndarray) -> list[tuple[int, int, int]]
     hits, at = hits[dense], at[dense]
     if not len(hits):
         return []
+    n = len(index.items)
+    upto = np.append(0, np.cumsum(occurrences(index, at, 0, n)[1]))
+    out, a = [], 0
+    while True:
+        b = max(int(np.searchsorted(upto, upto[a] + PAIRS, side="right")) - 1, int(np.searchsorted(hits, hits[a] + 2 * reach, side="right")))
+        out += regions_of(index, points, hits[a:b], at[a:b], 0, n)
+        if b >= len(hits):
+            return out
+        a = int(np.searchsorted(hits, hits[b] - reach))
+
+
+def occurrences(index: Index, at: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the q-grams' occurrences in the items from ``low`` to ``high`` begin, and their numbers."""
+    n = len(index.items)
+    begins = np.searchsorted(index.owner, at * n + low)
+    return begins, np.searchsorted(index.owner, at * n + high) - begins
+
+
+def regions_of(index: Index, points: np.ndarray, hits: np.ndarray, at: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]]:
+    """The verified regions of a stretch of places with the items from ``low`` to ``high``."""
+    reach = index.window + index.budget - Q
     # Every occurrence of the q-gram in an item gives a diagonal.
-    times = index.starts[at + 1] - index.starts[at]
-    where = np.repeat(index.starts[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    begins, times = occurrences(index, at, low, high)
+    if times.sum() > 2 * PAIRS and high - low > 1:
+        middle = (low + high) // 2
+        return regions_of(index, points, hits, at, low, middle) + regions_of(index, points, hits, at, middle, high)
+    where = np.repeat(begins - np.cumsum(times) + times, times) + np.arange(times.sum())
     place = np.repeat(hits, times)
     item, inside = index.item_of[where], index.place_of[where]
     diagonal = place - inside + (1 << 20)
     band = diagonal // BAND
-    low = diagonal % BAND < index.budget
-    place, item, inside = (np.concatenate([x, x[low]]) for x in (place, item, inside))
-    band = np.concatenate([band, band[low] - 1])
+    shared = diagonal % BAND < index.budget
+    place, item, inside = (np.concatenate([x, x[shared]]) for x in (place, item, inside))
+    band = np.concatenate([band, band[shared] - 1])
     order = np.lexsort((inside, place, band, item))
     place, item, inside, band = place[order], item[order], inside[order], band[order]
     k = index.bound - 1
@@ -210,11 +255,11 @@ def verified(index: Index, points: np.ndarray, begins: np.ndarray, spots: np.nda
 
 
 def finder(indexes: list[Index]) -> Callable[[list[str | None]], list[list[tuple[int, int, int]]]]:
-    """A function from texts to their leaks: (item, start, end) in the normalised text, merged per item."""
+    """A function from texts to their leaks: (item, start, end) in the normalised text, overlapping ones of an item merged."""
 
     def find(texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         bodies = [code_points(normalised(t)) for t in texts]
-        out: list[dict[int, list[int]]] = [{} for _ in texts]
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for index in indexes:
             gap = np.full(2 * index.window + 2 * BAND, 0xFFFFFFFF, np.uint32)
             starts, laid, size = [], [], 0
@@ -225,15 +270,23 @@ def finder(indexes: list[Index]) -> Callable[[list[str | None]], list[list[tuple
             places = np.array(starts)
             for i, s, e in find_regions(index, np.concatenate(laid) if laid else gap):
                 doc = int(np.searchsorted(places, s, side="right")) - 1
-                number = index.items[i]
-                span = out[doc].setdefault(number, [s - starts[doc], e - starts[doc]])
-                span[0] = min(span[0], s - starts[doc])
-                span[1] = max(span[1], e - starts[doc])
-        return [sorted((n, s, e) for n, (s, e) in found.items()) for found in out]
+                out[doc].append((index.items[i], s - starts[doc], e - starts[doc]))
+        return [merged(found) for found in out]
 
     return find
 
 
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of one item that overlap become one."""
+    out: list[tuple[int, int, int]] = []
+    for n, s, e in sorted(spans):
+        if out and out[-1][0] == n and s <= out[-1][2]:
+            out[-1] = (n, out[-1][1], max(out[-1][2], e))
+        else:
+            out.append((n, s, e))
+    return out
+
+
 def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS):
     """The benchmark's items in blocks of about ``block_chars`` characters, one block at a time on the driver.
 
@@ -251,10 +304,11 @@ def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "t
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document and item that leaks into it: ``key``, ``item_id``, ``start``, ``end``.
+    """One row per document, item that leaks into it and stretch where it does: ``key``, ``item_id``, ``start``, ``end``.
 
-    Places are in the normalised text. Null and empty texts leak nothing; repeated rows repeat their
-    leaks; null keys stay; an empty table on either side gives no rows.
+    Places are in the normalised text; overlapping stretches of an item are one. Null and empty texts leak nothing;
+    repeated rows repeat their leaks; null keys stay; an empty table on either side gives no rows. Very long texts are
+    read whole, in pieces of a bounded number of shared q-grams.
     """
     (own,) = fresh(documents.select(key), "item_id")
     kind = dict(benchmark.dtypes)["item_id"]
