@@ -64,3 +64,30 @@ def test_long_templates_clashes_nulls_and_empty(spark):
     out = sorted((str(r.doc_id), r.license, r.containment) for r in L.scan_licenses(df).collect())
     assert out == [("1", "MIT", 1.0), ("None", "MIT", 1.0), ("None", "MIT", 1.0)]
     assert L.scan_licenses(df.limit(0)).count() == 0 and L.scan_licenses(df, []).count() == 0
+
+
+def test_families_bodies_and_lines():
+    templates = L.default_templates()
+    assert len({n for n, _ in templates}) >= 30
+    scanner = L.Scanner(templates)
+    rng = random.Random(8)
+    texts, wanted = [], []
+    for name, body in templates:
+        for edits in (0, 1):
+            words = re.findall(L.WORD, body)
+            if edits and len(words) > 40:
+                words[rng.randrange(len(words))] = "other"
+            texts.append(" ".join([*(f"a{i}" for i in range(rng.randint(0, 90))), *words, "z", "end"]))
+            wanted.append(name)
+    found = [{m[0] for m in ms} for ms in scanner.scan(texts)]
+    for text, names, name in zip(texts, found, wanted):
+        assert names <= brute(text, templates)
+        # A text that holds another family's template whole may go to that longer one.
+        assert names and (name in names or name in brute(text, templates))
+    assert sum(n in f for n, f in zip(wanted, found)) >= 0.97 * len(wanted)
+    lines = {
+        "This project is licensed under the MIT License": "MIT", "# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "Licensed under the GNU Affero General Public License v3.0 or later": "AGPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999": "LGPL-2.1", "a licence unlike all of them, in plain words": None,
+    }
+    assert [[m[0] for m in ms] for ms in scanner.scan(list(lines))] == [[n] if n else [] for n in lines.values()]

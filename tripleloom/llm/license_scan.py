@@ -84,10 +84,16 @@ class Scanner:
         for name, text in templates:
             t = Template(name, text, self.masks, self.factors)
             self.classes.setdefault(t.width, []).append(t)
-        self.values = {
-            width: [np.unique([t.values[k] for t in members]) for k in range(BANDS)]
-            for width, members in self.classes.items()
-        }
+        # Per class and band: the templates of a value, and which upper halves of a value occur at all.
+        self.values: dict[int, list[dict[int, list[Template]]]] = {}
+        self.seen: dict[int, np.ndarray] = {}
+        for width, members in self.classes.items():
+            self.values[width] = [{} for _ in range(BANDS)]
+            self.seen[width] = np.zeros((BANDS, 1 << 16), bool)
+            for t in members:
+                for k, v in enumerate(t.values.tolist()):
+                    self.values[width][k].setdefault(v, []).append(t)
+                    self.seen[width][k, v >> 16] = True
         self.find = re.compile(WORD).findall
 
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, list[Template]]]:
@@ -106,11 +112,9 @@ class Scanner:
                     size *= 2
                 wide = np.concatenate([block, np.full(2, 0xFFFFFFFF, np.uint32)])
                 least = np.minimum(np.minimum(wide[:-2], wide[1:-1]), wide[2:])
-                values = self.values[width][k]
-                for w in np.flatnonzero(np.isin(least, values, kind="sort") if len(values) > 8 else (least[:, None] == values).any(axis=1)).tolist():
-                    for t in self.classes[width]:
-                        if t.values[k] == least[w]:
-                            met.setdefault((w, width), {})[id(t)] = t
+                for w in np.flatnonzero(self.seen[width][k][least >> np.uint32(16)]).tolist():
+                    for t in self.values[width][k].get(int(least[w]), ()):
+                        met.setdefault((w, width), {})[id(t)] = t
         return [(w, width, list(ts.values())) for (w, width), ts in met.items()]
 
     def scan(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
@@ -156,7 +160,7 @@ class Scanner:
 def merged(matches: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
     """One match for overlapping ones of a name, with the largest containment and the whole stretch.
 
-    Where matches of several names overlap, those of the largest containment stay.
+    Where matches of several names overlap, those of the largest containment stay, of equal ones the longest.
     """
     out: list[tuple[str, float, int, int]] = []
     for name, share, start, end in sorted(matches, key=lambda m: (m[0], m[2], m[3])):
@@ -165,12 +169,13 @@ def merged(matches: list[tuple[str, float, int, int]]) -> list[tuple[str, float,
             out[-1] = (name, max(s, share), a, max(b, end))
         else:
             out.append((name, share, start, end))
-    best = [m for m in out if not any(o[1] > m[1] and o[2] < m[3] and m[2] < o[3] for o in out)]
+    best = [m for m in out if not any((o[1], o[3] - o[2]) > (m[1], m[3] - m[2]) and o[2] < m[3] and m[2] < o[3] for o in out)]
     return sorted(best, key=lambda m: (m[2], m[0]))
 
 
 def default_templates() -> list[tuple[str, str]]:
-    return usable((name, text) for name, texts in TEMPLATES.items() for text in texts)
+    """The fixed texts, and for every name of enough words its line of the form ``SPDX-License-Identifier: name``."""
+    return usable((name, text) for name, texts in TEMPLATES.items() for text in (*texts, f"SPDX-License-Identifier: {name}"))
 
 
 def scan_licenses(
