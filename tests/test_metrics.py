@@ -72,3 +72,26 @@ def test_random_labels_score_near_zero(spark):
     drawn = random_exp_labels(random_uniform_labels(df, ["id"], 9), ["id"], 9)
     for column in ("cluster_uniform", "cluster_exp"):
         assert abs(metrics.ami(drawn, "t", column).first()["ami"]) < 0.02
+
+
+def test_expected_information_in_blocks(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(30) ** 2 // 30, rng.randrange(40) ** 2 // 40) for _ in range(600)]
+    table = metrics.contingency(spark.createDataFrame(rows, "t int, p int"), "t", "p")
+    n = len(rows)
+    count = lambda i: [sum(r[i] == v for r in rows) for v in {r[i] for r in rows}]
+    lf = math.lgamma
+    want = 0.0
+    for a in count(0):
+        for b in count(1):
+            for x in range(max(1, a + b - n), min(a, b) + 1):
+                log_p = (lf(a + 1) + lf(b + 1) + lf(n - a + 1) + lf(n - b + 1) - lf(n + 1) - lf(x + 1) - lf(a - x + 1)
+                         - lf(b - x + 1) - lf(n - a - b + x + 1))
+                want += x / n * math.log(n * x / (a * b)) * math.exp(log_p)
+    for block in (2, metrics.SIZE_BLOCK):
+        assert metrics.expected_mutual_information(table, block).first()["emi"] == pytest.approx(want, rel=1e-9)
+    empty = metrics.contingency(spark.createDataFrame([], "t int, p int"), "t", "p")
+    assert metrics.expected_mutual_information(empty).first()["emi"] == 0

@@ -98,3 +98,29 @@ def test_pairs_stream_runs_again_without_repeats(spark, tmp_path):
         seen.append(sorted((r["subject"], r["object"], r["relation"]) for r in pairs.collect()))
     # The first in order wins, also when it comes in a later batch.
     assert seen == [[("a", "b", "r1")], [("a", "b", "r1"), ("a", "c", "r4")], [("a", "b", "r1"), ("a", "c", "r5")]]
+
+
+def test_pairs_snapshot_is_read_as_it_is_and_broken_ones_are_not(spark, tmp_path):
+    schema = "doc_id int, pos int, subject string, object string, relation string"
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    order = ["doc_id", "pos"]
+
+    def pairs():
+        return sorted((r["subject"], r["object"], r["relation"]) for r in jobs.read_distinct_pairs(spark, sink, order).collect())
+
+    for part in ([(5, 1, "a", "b", "r1")], [(6, 1, "a", "c", "r2"), (4, 1, "a", "b", "r0")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        jobs.stream_distinct_pairs(spark, source, schema, sink, state, order)
+        plan = jobs.read_distinct_pairs(spark, sink, order)._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Exchange" not in plan
+    whole = [("a", "b", "r0"), ("a", "c", "r2")]
+    assert pairs() == whole
+    # A snapshot that broke off does not count; its batches are folded in at the read, and again by the next fold.
+    last = jobs.finished(spark, f"{sink}/snapshot", "upto")[-1]
+    (tmp_path / "out" / "snapshot" / f"upto={last}" / "_SUCCESS").unlink()
+    assert pairs() == whole
+    jobs.compact_distinct_pairs(spark, sink, order)
+    assert jobs.finished(spark, f"{sink}/snapshot", "upto")[-1] == last and pairs() == whole
+    # A run without new files changes nothing.
+    jobs.stream_distinct_pairs(spark, source, schema, sink, state, order)
+    assert pairs() == whole

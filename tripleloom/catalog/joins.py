@@ -119,8 +119,8 @@ def _(t: Tables) -> DataFrame:
     return joins.remove_matched(gold, hits).select("subject_decoded", "object_decoded", "part")
 
 
-# Matched pairs of some relations only.
-_SOME = "SELECT DISTINCT relation AS property_decoded FROM pairs_v WHERE contains(relation, 'o')"
+# Properties that the training part has seen; others occur in later parts only.
+_SOME = "SELECT DISTINCT property_decoded FROM questions_v WHERE part = 'train'"
 
 
 @case(
@@ -133,7 +133,7 @@ _SOME = "SELECT DISTINCT relation AS property_decoded FROM pairs_v WHERE contain
 )
 def _(t: Tables) -> DataFrame:
     gold = t.questions()
-    hits = t.pairs().where(F.contains("relation", F.lit("o"))).select(F.col("relation").alias("property_decoded"))
+    hits = gold.where("part = 'train'").select("property_decoded")
     left = joins.keep_valid_properties(gold, hits).groupBy("property_decoded", "part").agg(F.count("*").alias("n"))
     gone = joins.removed_properties(gold, hits)
     return left.withColumn("state", F.lit("kept")).unionByName(
@@ -541,13 +541,13 @@ def _(t: Tables) -> DataFrame:
 @case(
     "a06_assign_clusters",
     qa_sql(
-        "SELECT q.subject_decoded, q.object_decoded, coalesce(CAST(assigned AS VARCHAR), '-1') AS assigned_cluster FROM questions_v q LEFT JOIN (SELECT * FROM max_v WHERE contains(property_decoded, 's')) m USING (property_decoded)",
-        "max_v",
+        "SELECT q.subject_decoded, q.object_decoded, coalesce(CAST(assigned AS VARCHAR), '-1') AS assigned_cluster FROM questions_v q LEFT JOIN train_max_v m USING (property_decoded)",
+        "train_max_v",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    """Some properties have no cluster."""
-    mapping = aggregates.property_to_cluster_max(matched(t)).where(F.contains("property_decoded", F.lit("s")))
+    """Learnt from the training part; properties that occur in other parts only have no cluster."""
+    mapping = aggregates.property_to_cluster_max(matched(t).where("part = 'train'"))
     return aggregates.assign_clusters(t.questions(), mapping).select(
         "subject_decoded", "object_decoded", "assigned_cluster"
     )

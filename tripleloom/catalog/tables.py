@@ -268,14 +268,14 @@ _LISTS = (
     "(SELECT m.assigned AS own, [q.cluster, (q.cluster + 1) % 10] AS pred FROM matched_v q JOIN multi_v m USING (property_decoded)) x"
 )
 _MULTI_LIST = (
-    "SELECT property_decoded, list(cluster ORDER BY cluster) AS assigned FROM (SELECT DISTINCT property_decoded, cluster FROM matched_v WHERE cluster >= 5) x GROUP BY property_decoded"
+    "SELECT property_decoded, list(cluster ORDER BY cluster) AS assigned FROM (SELECT DISTINCT property_decoded, cluster FROM matched_v WHERE part = 'train') x GROUP BY property_decoded"
 )
 
 
 def label_lists(t: Tables) -> DataFrame:
-    """Assigned: the upper half of the clusters, where the property has them; predicted: the own cluster and the next one."""
+    """Assigned: the clusters that the property has in the training part; predicted: the own cluster and the next one."""
     gold = matched(t)
-    mapping = aggregates.property_to_cluster_multi(gold.where("cluster >= 5"))
+    mapping = aggregates.property_to_cluster_multi(gold.where("part = 'train'"))
     return gold.join(mapping, "property_decoded").select(
         F.split("assigned", " ").cast("array<int>").alias("own"),
         F.array(F.col("cluster"), (F.col("cluster") + 1) % 10).alias("pred"),

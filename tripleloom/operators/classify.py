@@ -60,7 +60,12 @@ def train_counts(train: DataFrame, text: str = "question", label: str = "label")
 
 
 def predict_counts(model: CountModel, df: DataFrame, text: str = "question") -> DataFrame:
-    """Scores of all labels for every different text: ``(text, scores)``, best first.
+    """Scores of all labels for every different text: ``(text, scores)``, best first."""
+    return _label_scores(model, df, text).withColumn("scores", F.array_sort("scores"))
+
+
+def _label_scores(model: CountModel, df: DataFrame, text: str) -> DataFrame:
+    """Scores of all labels for every different text, in no order.
 
     Only the labels a token was seen with meet the text; the rest share a base
     score that depends on the label and the number of known tokens. A text without a known
@@ -94,13 +99,13 @@ def predict_counts(model: CountModel, df: DataFrame, text: str = "question") ->
     scores = F.transform(
         "_base", lambda b: F.struct((-score(b)).alias("cost"), b["label"].alias("label"))
     )
-    return joined.select(F.col("_t").alias(text), F.array_sort(scores).alias("scores"))
+    return joined.select(F.col("_t").alias(text), scores.alias("scores"))
 
 
 def question_classifier_nb(model: CountModel, df: DataFrame, text: str = "question") -> DataFrame:
     """Best label per text; the smallest label wins a tie."""
-    best = F.get("scores", F.lit(0))
-    return predict_counts(model, df, text).select(
+    best = F.array_min("scores")
+    return _label_scores(model, df, text).select(
         text, best["label"].alias("pred"), (-best["cost"]).alias("score")
     )
 

@@ -16,7 +16,8 @@ from tripleloom.operators.numbering import numbered, repeat_rows
 from tripleloom.session import cut_lineage
 
 MAX_LABELS = 5000
-MAX_SIZES = 100_000
+SIZE_BLOCK = 512
+SIZE_SALTS = 64
 
 
 def contingency(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -104,11 +105,12 @@ def ln_factorial(n: Column) -> Column:
     return F.when(n <= 16, small).otherwise(series)
 
 
-def expected_mutual_information(table: DataFrame) -> DataFrame:
+def expected_mutual_information(table: DataFrame, block: int = SIZE_BLOCK) -> DataFrame:
     """Expected mutual information of two random labelings with these marginals.
 
-    Equal marginals are taken once with their number. The different sizes of the clusters are an array
-    beside every size of the labels; more than ``MAX_SIZES`` of them raise an error.
+    Equal marginals are taken once with their number. The different sizes of the clusters are dealt by hash into blocks
+    of about ``block``; every size of the labels meets every block in a join on block and salt, so no array holds a
+    whole side, whatever the number of sizes.
     The hypergeometric terms run only where they are not zero in double precision, and in
     bounded pieces.
     """
@@ -116,15 +118,14 @@ def expected_mutual_information(table: DataFrame) -> DataFrame:
     rows = rows.groupBy("a").agg(F.count("*").alias("na"))
     cols = table.groupBy("p").agg(F.sum("n").cast("double").alias("b"))
     cols = cols.groupBy("b").agg(F.count("*").alias("nb"))
-    few = F.when(F.count("*") > MAX_SIZES, F.raise_error(F.lit(f"more than {MAX_SIZES} different cluster sizes")))
-    bounded = cols.limit(MAX_SIZES + 1)
-    sides = bounded.agg(
-        F.coalesce(few.cast("array<struct<b:double,nb:bigint>>"), F.collect_list(F.struct("b", "nb")))
-    ).scalar()
+    blocks = cols.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("bigint")).scalar()
     total = table.agg(F.sum("n").cast("double")).scalar()
-    pairs = rows.select("*", sides.alias("_cols"), total.alias("n")).select(
-        "a", "na", "n", F.inline("_cols")
-    )
+    dealt = cols.withColumn("_block", F.pmod(F.xxhash64("b"), blocks))
+    dealt = dealt.groupBy("_block").agg(F.collect_list(F.struct("b", "nb")).alias("_cols"))
+    dealt = dealt.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SIZE_SALTS - 1).cast("bigint"))))
+    asked = rows.select("a", "na", F.pmod(F.xxhash64("a"), F.lit(SIZE_SALTS)).cast("bigint").alias("_salt"), blocks.alias("_blocks"))
+    asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+    pairs = asked.join(dealt, ["_block", "_salt"]).select("a", "na", total.alias("n"), F.inline("_cols"))
     return _emi_terms(pairs).agg(F.coalesce(F.sum("term"), F.lit(0.0)).alias("emi"))
 
 
