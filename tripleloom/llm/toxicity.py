@@ -124,6 +124,8 @@ def class_terms(toxic: dict[str, int], other: dict[str, int], n1: int, n0: int)
     found = []
     for word, a in toxic.items():
         b = other.get(word, 0)
+        if a + b >= n1 + n0:
+            continue  # in every document: tells nothing, and the odds of its absence are not defined
         prior = PRIOR_SHARE * (a + b)
         odds = math.log((a + prior) / (n1 + weight - a - prior)) - math.log((b + prior) / (n0 + weight - b - prior))
         z = odds / math.sqrt(1 / (a + prior) + 1 / (b + prior))
