@@ -41,15 +41,72 @@ def test_ln_factorial(spark):
     assert max(abs(r["x"] - lgamma(r["id"] + 1)) for r in got) < 1e-9
 
 
+def brute_total(w):
+    small = w if w.shape[0] <= w.shape[1] else w.T
+    places = itertools.permutations(range(small.shape[1]), len(small))
+    return max(sum(small[i, j] for i, j in enumerate(p)) for p in places)
+
+
+def proof(rows, cols, weights, price):
+    """The upper bound of the prices: no assignment has a larger total."""
+    gains = {}
+    for i, j, w in zip(rows, cols, weights):
+        gains[i] = max(gains.get(i, 0), w - price[j])
+    return sum(gains.values()) + sum(price.values())
+
+
 def test_assignment_against_brute_force():
     rng = np.random.default_rng(1)
-    for rows, cols in [(1, 1), (3, 3), (4, 6), (6, 4), (5, 5)] * 6:
-        w = rng.integers(0, 9, (rows, cols))
-        small, big = (w, cols) if rows <= cols else (w.T, rows)
-        best = max(sum(small[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(big), len(small)))
-        found = metrics.best_assignment(w)
-        assert len({i for i, _ in found}) == len({j for _, j in found}) == min(rows, cols)
-        assert sum(w[i, j] for i, j in found) == best
+    for rows, cols in [(1, 1), (3, 3), (4, 6), (6, 4), (5, 5), (6, 6)] * 40:
+        w = rng.integers(0, 9, (rows, cols)) * (rng.random((rows, cols)) < rng.random() + 0.2)
+        i, j = (x.tolist() for x in np.nonzero(w))
+        n = w[i, j].tolist()
+        chosen, price = metrics.best_assignment(i, j, n)
+        assert all(i[c] == row for row, c in chosen.items())
+        assert len({j[c] for c in chosen.values()}) == len(chosen)
+        assert sum(n[c] for c in chosen.values()) == brute_total(w) == proof(i, j, n, price)
+        assert min(price.values(), default=0) >= 0
+    assert metrics.best_assignment([], [], []) == ({}, {})
+
+
+def sparse_cells(k, seed):
+    """Labels that fall into a cluster of their own, mostly, and into five others."""
+    rng = np.random.default_rng(seed)
+    cells = {}
+    for t in range(k):
+        cells[t, int(rng.integers(k))] = int(rng.integers(20, 200))
+        for p in rng.integers(k, size=5).tolist():
+            cells.setdefault((t, p), int(rng.integers(1, 60)))
+    return [t for t, _ in cells], [p for _, p in cells], list(cells.values())
+
+
+def test_assignment_of_20000_labels_is_proved_by_its_prices():
+    rows, cols, n = sparse_cells(20_000, 3)
+    chosen, price = metrics.best_assignment(rows, cols, n)
+    assert len({cols[c] for c in chosen.values()}) == len(chosen)
+    assert sum(n[c] for c in chosen.values()) == proof(rows, cols, n, price)
+
+
+@pytest.mark.parametrize("task_cells", [0, 10**6])
+def test_accuracy_in_rounds_and_in_one_task(spark, task_cells):
+    rng = np.random.default_rng(7)
+    for k in (2, 5):
+        w = rng.integers(0, 9, (k, k + 1))
+        cells = [(int(t), f"c{p}") for t, p in zip(*np.nonzero(w)) for _ in range(w[t, p])]
+        cells += [(None, "c0"), (1, None), (None, None)]
+        found = metrics.clustering_accuracy(spark.createDataFrame(cells, "t int, p string"), "t", "p", task_cells).first()
+        assert (found["matched"], found["total"]) == (brute_total(w), w.sum())
+    empty = metrics.clustering_accuracy(spark.createDataFrame([], "t int, p string"), "t", "p", task_cells).first()
+    assert tuple(empty) == (0, 0, None)
+
+
+def test_accuracy_of_many_labels_settles_the_same_total(spark):
+    rows, cols, n = sparse_cells(6_000, 4)
+    chosen, _ = metrics.best_assignment(rows, cols, n)
+    data = spark.createDataFrame(list(zip(rows, cols, n)), "t int, p int, n int")
+    data = data.select("t", "p", F.explode(F.sequence(F.lit(1), "n")))
+    found = metrics.clustering_accuracy(data, "t", "p", 1_000).first()
+    assert (found["matched"], found["total"]) == (sum(n[c] for c in chosen.values()), sum(n))
 
 
 def test_report(pairs):

@@ -6,7 +6,9 @@ whatever follows has at most one row per pair of labels.
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import Window as W
 from tripleloom.operators.numbering import numbered, repeat_rows
 from tripleloom.session import cut_lineage
 
-MAX_LABELS = 5000
+TASK_CELLS = 1_000_000
 SIZE_BLOCK = 512
 SIZE_SALTS = 64
 
@@ -196,64 +198,107 @@ def ami(df: DataFrame, true: str, pred: str) -> DataFrame:
     )
 
 
-def best_assignment(weights: np.ndarray) -> list[tuple[int, int]]:
-    """One-to-one assignment with the largest total, by shortest augmenting paths."""
-    rows, cols = weights.shape
-    if rows > cols:
-        return [(i, j) for j, i in best_assignment(weights.T)]
-    cost = weights.max() - weights.astype(float)
-    match = np.full(cols, -1)
-    u, v = np.zeros(rows), np.zeros(cols)
-    for start in range(rows):
-        row, reached, parent = start, [], np.full(cols, -1)
-        slack = np.full(cols, np.inf)
-        open_cols = np.ones(cols, dtype=bool)
-        col = -1
+def best_assignment(rows: Sequence, cols: Sequence, weights: Sequence[int]) -> tuple[dict[int, int], dict]:
+    """One-to-one assignment with the largest total over sparse cells (row, column, weight > 0).
+
+    Returns the cell of every assigned row and the price of every column, by shortest augmenting paths
+    over the cells alone: a row may stay free, at no gain. The prices prove the result, as the sum of
+    all prices and of every row's best gain above them equals the total. Each cell is given once.
+    """
+    near: dict = {}
+    for cell, row in enumerate(rows):
+        near.setdefault(row, []).append(cell)
+    price = dict.fromkeys(cols, 0)
+    cell_of: dict = {}  # row -> its cell
+    owner: dict = {}  # column -> its row
+    for start in near:
+        reached: dict = {}  # column -> distance
+        parent: dict = {}  # column -> cell it was reached by
+        best: dict = {}
+        heap: list[tuple[int, int, int]] = []
+        row, base, free_end, free_row, end = start, 0, 0, start, None
         while True:
-            gap = cost[row] - u[row] - v
-            better = open_cols & (gap < slack)
-            slack[better] = gap[better]
-            parent[better] = col
-            nxt = int(np.where(open_cols, slack, np.inf).argmin())
-            delta = slack[nxt]
-            u[start] += delta
-            for done in reached:
-                u[match[done]] += delta
-                v[done] -= delta
-            slack[open_cols] -= delta
-            open_cols[nxt] = False
-            reached.append(nxt)
-            col = nxt
-            if match[col] < 0:
+            for cell in near[row]:
+                col, far = cols[cell], base + price[cols[cell]] - weights[cell]
+                if col not in reached and far < best.get(col, free_end):
+                    best[col], parent[col] = far, cell
+                    heapq.heappush(heap, (far, cell, row))
+            while heap and (cols[heap[0][1]] in reached or parent[cols[heap[0][1]]] != heap[0][1]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= free_end:
                 break
-            row = match[col]
-        while col >= 0:
-            prev = parent[col]
-            match[col] = match[prev] if prev >= 0 else start
-            col = prev
-    return [(int(match[j]), j) for j in range(cols) if match[j] >= 0]
+            far, cell, _ = heapq.heappop(heap)
+            col = cols[cell]
+            if col not in owner:
+                end, free_end = col, far
+                break
+            reached[col] = far
+            row = owner[col]
+            base = far + weights[cell_of[row]] - price[col]
+            if base < free_end:  # this row could go free instead
+                free_end, free_row = base, row
+        for col, far in reached.items():
+            price[col] += free_end - far
+        if end is None:  # from the start to the row that goes free
+            if free_row == start:
+                continue
+            end = cols[cell_of.pop(free_row)]
+        while True:
+            cell = parent[end]
+            row = rows[cell]
+            before = cell_of.get(row)
+            cell_of[row], owner[end] = cell, row
+            if row == start:
+                break
+            end = cols[before]
+    return cell_of, price
+
+
+def _settled(table: DataFrame) -> DataFrame:
+    """Cells (t, p, n) that some best assignment holds: at least as heavy as the heaviest other cell of
+    their row and the heaviest other cell of their column together. Never two of a row or column."""
+    by_t = table.groupBy("t").agg(F.max(F.struct("n", "p"))["p"].alias("p"))
+    by_p = table.groupBy("p").agg(F.max(F.struct("n", "t"))["t"].alias("t"))
+    mutual = table.join(by_t, ["t", "p"]).join(by_p, ["t", "p"])
+    others = table.join(mutual.select("t", "p"), ["t", "p"], "left_anti")
+    return (
+        mutual.join(others.groupBy("t").agg(F.max("n").alias("_row")), "t", "left")
+        .join(others.groupBy("p").agg(F.max("n").alias("_col")), "p", "left")
+        .where(F.col("n") >= F.coalesce("_row", F.lit(0)) + F.coalesce("_col", F.lit(0)))
+        .select("t", "p", "n")
+    )
 
 
-def clustering_accuracy(df: DataFrame, true: str, pred: str) -> DataFrame:
-    """Share of rows on the best one-to-one mapping of clusters to labels.
+def clustering_accuracy(df: DataFrame, true: str, pred: str, task_cells: int = TASK_CELLS) -> DataFrame:
+    """Share of rows on the best one-to-one mapping of clusters to labels. Exact at any number of labels.
 
-    Only the contingency table goes to the assignment step, in one task: over ``MAX_LABELS``
-    different labels or clusters raise an error.
+    While the contingency table has more than ``task_cells`` cells, rounds of joins settle the cells that
+    no other choice can beat and drop their labels and clusters. The cells left then go to
+    one task, which holds cells only, never a label by cluster matrix. Rows without a label or cluster
+    don't count; without rows the accuracy is null.
     """
 
     def solve(cells: pd.DataFrame) -> pd.DataFrame:
-        table = cells.pivot_table(index="p", columns="t", values="n", fill_value=0, aggfunc="sum")
-        w = table.to_numpy()
-        best = sum(int(w[i, j]) for i, j in best_assignment(w))
-        return pd.DataFrame({"matched": [best], "total": [int(w.sum())]})
-
-    table = cut_lineage(contingency(df, true, pred), "contingency")
-    sides = table.agg(F.countDistinct("t").alias("t"), F.countDistinct("p").alias("p")).first()
-    if max(sides) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels on a side of an assignment")
-    cells = table.withColumn("_all", F.lit(0))
-    solved = cells.groupBy("_all").applyInPandas(solve, "matched bigint, total bigint")
-    return solved.withColumn("accuracy", F.col("matched") / F.col("total"))
+        n = cells["n"].tolist()
+        chosen, _ = best_assignment(cells["t"].tolist(), cells["p"].tolist(), n)
+        return pd.DataFrame({"n": [sum(n[c] for c in chosen.values())]})
+
+    whole = contingency(df.where(F.col(true).isNotNull() & F.col(pred).isNotNull()), true, pred)
+    table = rest = cut_lineage(whole, "contingency")
+    parts = []
+    while rest.count() > task_cells:
+        settled = cut_lineage(_settled(rest), "settled")
+        if settled.isEmpty():
+            break
+        parts.append(settled.select("n"))
+        rest = rest.join(settled.select("t"), "t", "left_anti").join(settled.select("p"), "p", "left_anti")
+        rest = cut_lineage(rest, "contingency")
+    matched = rest.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, "n bigint")
+    for part in parts:
+        matched = matched.unionByName(part)
+    return matched.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matched")).select(
+        "matched", F.coalesce(table.agg(F.sum("n")).scalar(), F.lit(0)).alias("total")
+    ).withColumn("accuracy", F.try_divide("matched", "total"))
 
 
 def classification_report(df: DataFrame, true: str, pred: str) -> DataFrame:
