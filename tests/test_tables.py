@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 import pytest
 
-from tripleloom.operators import distinct, filters, graph, joins, numbering, qa, windows
+from tripleloom.operators import aggregates, distinct, filters, graph, joins, numbering, qa, windows
 
 TRIPLE = (
     "array<struct<subject:string,relation:string,object:string,subjectSpan:array<int>,"
@@ -182,3 +182,17 @@ def test_graph(spark):
     asked = spark.createDataFrame([("Was Ada BORN or born?", "a")], "question string, entity string")
     words = spark.createDataFrame([("born", "born"), ("born", "Born"), ("died", "died")], "rel_type string, keyword string")
     assert rows(graph.execute_question(asked, triples, words), "rel_type", "role", "object") == [("born", "subject", "b")]
+
+
+def test_properties_without_a_match_or_cluster(spark):
+    gold = spark.createDataFrame(
+        [("s1", "o1", "born", "train"), ("s2", "o2", "born", "test"), ("s3", "o3", "died", "train"), ("s4", "o4", None, "test")],
+        "subject_decoded string, object_decoded string, property_decoded string, part string",
+    )
+    hits = gold.where("subject_decoded = 's1'")
+    assert rows(joins.keep_valid_properties(gold, hits), "subject_decoded") == [("s1",), ("s2",)]
+    gone = joins.removed_properties(gold, hits).collect()
+    assert {tuple(r) for r in gone} == {("died", 1), (None, 1)}
+    mapping = spark.createDataFrame([("born", "7")], "property_decoded string, assigned string")
+    assigned = aggregates.assign_clusters(gold, mapping)
+    assert rows(assigned, "subject_decoded", "assigned_cluster") == [("s1", "7"), ("s2", "7"), ("s3", "-1"), ("s4", "-1")]

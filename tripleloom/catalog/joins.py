@@ -119,21 +119,21 @@ def _(t: Tables) -> DataFrame:
     return joins.remove_matched(gold, hits).select("subject_decoded", "object_decoded", "part")
 
 
-# Matched pairs of some relations only.
-_SOME = "SELECT DISTINCT relation AS property_decoded FROM pairs_v WHERE contains(relation, 'o')"
+# Properties with a matched question.
+_VALID = f"SELECT DISTINCT property_decoded FROM ({_FORWARD}) x"
 
 
 @case(
     "j04_keep_valid_properties",
     sql_with(
-        "SELECT property_decoded, part, count(*) AS n, 'kept' AS state FROM questions_v WHERE property_decoded IN (SELECT * FROM some_v) GROUP BY ALL "
-        "UNION ALL SELECT property_decoded, 'all', count(*), 'removed' FROM questions_v WHERE property_decoded NOT IN (SELECT * FROM some_v) GROUP BY ALL",
-        "questions_v", some_v=_SOME,
+        "SELECT property_decoded, part, count(*) AS n, 'kept' AS state FROM questions_v WHERE property_decoded IN (SELECT * FROM valid_v) GROUP BY ALL "
+        "UNION ALL SELECT property_decoded, 'all', count(*), 'removed' FROM questions_v WHERE property_decoded NOT IN (SELECT * FROM valid_v) GROUP BY ALL",
+        "questions_v", valid_v=_VALID,
     ),
 )
 def _(t: Tables) -> DataFrame:
-    gold = t.questions()
-    hits = t.pairs().where(F.contains("relation", F.lit("o"))).select(F.col("relation").alias("property_decoded"))
+    gold = answering.normalized_gold(t.questions())
+    hits = joins.match_gold(gold, t.pairs(), "forward")
     left = joins.keep_valid_properties(gold, hits).groupBy("property_decoded", "part").agg(F.count("*").alias("n"))
     gone = joins.removed_properties(gold, hits)
     return left.withColumn("state", F.lit("kept")).unionByName(
@@ -541,13 +541,12 @@ def _(t: Tables) -> DataFrame:
 @case(
     "a06_assign_clusters",
     qa_sql(
-        "SELECT q.subject_decoded, q.object_decoded, coalesce(CAST(assigned AS VARCHAR), '-1') AS assigned_cluster FROM questions_v q LEFT JOIN (SELECT * FROM max_v WHERE contains(property_decoded, 's')) m USING (property_decoded)",
+        "SELECT q.subject_decoded, q.object_decoded, coalesce(CAST(assigned AS VARCHAR), '-1') AS assigned_cluster FROM questions_v q LEFT JOIN max_v m USING (property_decoded)",
         "max_v",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    """Some properties have no cluster."""
-    mapping = aggregates.property_to_cluster_max(matched(t)).where(F.contains("property_decoded", F.lit("s")))
+    mapping = aggregates.property_to_cluster_max(matched(t))
     return aggregates.assign_clusters(t.questions(), mapping).select(
         "subject_decoded", "object_decoded", "assigned_cluster"
     )

@@ -265,20 +265,20 @@ def _(t: Tables) -> DataFrame:
 
 _LISTS = (
     "SELECT list_filter(x.own, lambda v: list_contains(x.pred, v)) AS c1, list_filter(x.pred, lambda v: list_contains(x.own, v)) AS c2, own, pred FROM "
-    "(SELECT m.assigned AS own, [q.cluster, (q.cluster + 1) % 10] AS pred FROM matched_v q JOIN multi_v m USING (property_decoded)) x"
+    "(SELECT m.assigned AS own, [(q.cluster + 1) % 10, (q.cluster + 2) % 10] AS pred FROM matched_v q JOIN multi_v m USING (property_decoded)) x"
 )
 _MULTI_LIST = (
-    "SELECT property_decoded, list(cluster ORDER BY cluster) AS assigned FROM (SELECT DISTINCT property_decoded, cluster FROM matched_v WHERE cluster >= 5) x GROUP BY property_decoded"
+    "SELECT property_decoded, list(cluster ORDER BY cluster) AS assigned FROM (SELECT DISTINCT property_decoded, cluster FROM matched_v WHERE cluster IS NOT NULL) x GROUP BY property_decoded"
 )
 
 
 def label_lists(t: Tables) -> DataFrame:
-    """Assigned: the upper half of the clusters, where the property has them; predicted: the own cluster and the next one."""
+    """Assigned: the clusters of the property; predicted: the two after the question's own, which the property may lack."""
     gold = matched(t)
-    mapping = aggregates.property_to_cluster_multi(gold.where("cluster >= 5"))
+    mapping = aggregates.property_to_cluster_multi(gold.where("cluster IS NOT NULL"))
     return gold.join(mapping, "property_decoded").select(
         F.split("assigned", " ").cast("array<int>").alias("own"),
-        F.array(F.col("cluster"), (F.col("cluster") + 1) % 10).alias("pred"),
+        F.array((F.col("cluster") + 1) % 10, (F.col("cluster") + 2) % 10).alias("pred"),
     )
 
 
