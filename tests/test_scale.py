@@ -5,9 +5,12 @@ import random
 
 from pyspark.sql import functions as F
 
-from tripleloom.operators import classify
+from pyspark.sql import functions as F
+
+from tripleloom.operators import classify, joins
 from tripleloom.plans import answering
 from tripleloom.session import cut_lineage
+from tripleloom.sources import readers, writers
 
 
 def plan_of(df) -> str:
@@ -52,3 +55,24 @@ def test_scores_with_frequent_and_rare_words_against_brute_force(spark, monkeypa
         assert sorted(got) == asked
         for t in asked:
             assert all(abs(got[t][label] - score(t, label)) < 1e-8 for label in sizes)
+
+
+def test_annotations_are_compressed_in_bounded_files(spark, tmp_path):
+    token = "array(named_struct('index', 1, 'word', 'a', 'originalText', 'a', 'lemma', 'a', 'pos', 'NN', 'ner', 'O'))"
+    rows = spark.range(0, 25, 1, 1).selectExpr(f"{token} AS tokens")
+    writers.write_annotations(rows, str(tmp_path / "a"), rows_per_file=10)
+    files = [p.name for p in (tmp_path / "a").iterdir() if p.name.startswith("part-")]
+    assert len(files) == 3 and all(f.endswith(".json.gz") for f in files)
+    assert readers.read_annotations(spark, str(tmp_path / "a"), multi_line=False).count() == 25
+
+
+def test_numbered_names_have_few_candidates(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(joins, "cut_lineage", lambda df, name="stage": written.append((name, cut_lineage(df, name))) or written[-1][1])
+    names = spark.range(2000).select(F.format_string("customer#%09d", "id").alias("t"))
+    found = joins.contained_keys(names, "t", names.withColumnRenamed("t", "k"), "k")
+    assert [r for r in found.collect() if r["t"] != r["k"]] == [] and found.count() == 2000
+    runs = dict(written)["runs"]
+    rarest = runs.groupBy("_g").agg(F.count("*").alias("n"))
+    per_name = runs.join(rarest, "_g").groupBy("_id").agg(F.min("n").alias("n"))
+    assert per_name.agg(F.max("n")).first()[0] == 1

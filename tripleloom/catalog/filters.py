@@ -43,7 +43,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """All sentences written as JSON lines and read back with the declared schema."""
     path = scratch_path(t.spark, "annotations")
-    t.sentences().drop("doc_id", "sent").write.json(path)
+    writers.write_annotations(t.sentences().drop("doc_id", "sent"), path)
     back = readers.read_annotations(t.spark, path, multi_line=False)
     return back.select(
         *[joined(f"tokens.{c}", " ").alias(name) for c, name in (("word", "words"), ("pos", "tags"), ("ner", "types"))],

@@ -21,6 +21,14 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.select(*kept).write.mode("overwrite").csv(path, sep="\t", header=False, emptyValue="")
 
 
+def write_annotations(df: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = 50_000) -> None:
+    """One sentence per line, compressed; a compressed file is not split, so files hold a bounded number of sentences.
+
+    The field names stand beside every token, so the plain text is many times the size of the words.
+    """
+    df.write.mode(mode).option("maxRecordsPerFile", rows_per_file).json(path, compression="gzip")
+
+
 def write_text_docs(df: DataFrame, path: str, text: str = "text") -> None:
     """Every text as a file of its own, ended by a newline. A null text is written as an empty one."""
     rows = df.select(F.coalesce(text, F.lit("")).alias("value"))
