@@ -65,7 +65,9 @@ def pos_between(tokens: Column, a, b) -> Column:
 
 
 def _strip_punctuation(word: Column) -> Column:
-    return reduce(lambda w, c: F.btrim(w, F.lit(c)), PUNCTUATION, word)
+    """One mark after the other is stripped, in their order; most words have none at their ends and are passed through."""
+    stripped = reduce(lambda w, c: F.btrim(w, F.lit(c)), PUNCTUATION, word)
+    return F.when(F.btrim(word, F.lit(PUNCTUATION)) == word, word).otherwise(stripped)
 
 
 def bow_between(tokens: Column, a, b, stop: list[str] | None = None) -> Column:
