@@ -76,3 +76,43 @@ def test_numbered_names_have_few_candidates(spark, monkeypatch):
     rarest = runs.groupBy("_g").agg(F.count("*").alias("n"))
     per_name = runs.join(rarest, "_g").groupBy("_id").agg(F.min("n").alias("n"))
     assert per_name.agg(F.max("n")).first()[0] == 1
+
+
+def test_tokens_are_not_shuffled_to_be_aligned(spark):
+    rng = random.Random(3)
+    tokens, triples = [], []
+    for doc in range(6):
+        at, places = 0, []
+        for sent in range(rng.randint(1, 6)):
+            for idx in range(1, rng.randint(2, 7)):
+                word = rng.choice("abcde") * rng.randint(1, 2)
+                places.append((doc, sent, idx, word, at, at + len(word)))
+                at += len(word) + 1
+        for n in range(8):
+            row = [doc, f"t{n % 6}"]
+            for _ in range(2):
+                a = rng.randrange(len(places))
+                b = min(len(places) - 1, a + rng.randint(0, 2))
+                row += [places[a][3], None, None] if rng.random() < 0.5 else ["", places[a][4], places[b][5]]
+            triples.append(tuple(row))
+        tokens += places
+    expected = {}
+    for doc, triple_id, *given in triples:
+        for role, (text, begin, end) in enumerate((given[:3], given[3:])):
+            own = [t for t in tokens if t[0] == doc]
+            if begin is None:
+                hits = [(t[1], t[2], t[2]) for t in own if t[3] == text]
+            else:
+                hits = [(t[1], t[2], u[2]) for t in own for u in own if t[4] == begin and u[5] == end and t[1] == u[1] and t[2] <= u[2]]
+            for s, i, j in hits:
+                side = expected.setdefault((doc, triple_id), ({}, {}))[role]
+                side[s] = tuple(map(min, side.get(s, (i, j)), (i, j)))
+    wanted = []
+    for key, (subject, obj) in expected.items():
+        if both := subject.keys() & obj.keys():
+            wanted.append((*key, min(both), *subject[min(both)], *obj[min(both)]))
+    names = [f"{r}_{w} {k}" for r in ("subject", "object") for w, k in (("text", "string"), ("begin", "int"), ("end", "int"))]
+    dealt = spark.createDataFrame(tokens, "doc_id int, sent int, idx int, word string, begin int, end int").repartition("doc_id")
+    found = joins.align_offsets(dealt, spark.createDataFrame(triples, "doc_id int, triple_id string, " + ", ".join(names)))
+    assert sorted(map(tuple, found.collect())) == sorted(wanted) and wanted
+    assert plan_of(found).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
