@@ -116,3 +116,11 @@ def test_tokens_are_not_shuffled_to_be_aligned(spark):
     found = joins.align_offsets(dealt, spark.createDataFrame(triples, "doc_id int, triple_id string, " + ", ".join(names)))
     assert sorted(map(tuple, found.collect())) == sorted(wanted) and wanted
     assert plan_of(found).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
+
+
+def test_texts_are_written_by_all_cores(spark, tmp_path):
+    texts = spark.createDataFrame([(f"text {i}",) for i in range(40)], "text string").coalesce(1)
+    writers.write_text_docs(texts, str(tmp_path / "t"))
+    names = [p.name for p in (tmp_path / "t").glob("part-*")]
+    assert len(names) == 40 and len({n.split("-")[1] for n in names}) >= spark.sparkContext.defaultParallelism
+    assert sorted(r["text"].strip() for r in readers.read_text_docs(spark, str(tmp_path / "t")).collect()) == sorted(f"text {i}" for i in range(40))
