@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from tripleloom.operators import classify, joins
-from tripleloom.plans import answering
+from tripleloom.plans import answering, features
 from tripleloom.session import cut_lineage
 from tripleloom.sources import readers, writers
 
@@ -124,3 +124,17 @@ def test_texts_are_written_by_all_cores(spark, tmp_path):
     names = [p.name for p in (tmp_path / "t").glob("part-*")]
     assert len(names) == 40 and len({n.split("-")[1] for n in names}) >= spark.sparkContext.defaultParallelism
     assert sorted(r["text"].strip() for r in readers.read_text_docs(spark, str(tmp_path / "t")).collect()) == sorted(f"text {i}" for i in range(40))
+
+
+def test_word_vectors_do_not_move_rows_to_a_small_table(spark):
+    rng = random.Random(9)
+    lists = [[rng.choice("abcdef") for _ in range(rng.randint(0, 4))] for _ in range(50)] + [None, [None, "a"]]
+    known = {w: [float(i), 1.0] for i, w in enumerate("abcd")}
+    rows = spark.createDataFrame(list(enumerate(lists)), "k int, lemmas array<string>")
+    words = spark.createDataFrame(list(known.items()), "word string, vec array<float>").hint("broadcast")
+    found = features.word_vector_rows(rows, ["k"], "lemmas", words, 2)
+    padded = lambda words_: [known.get(w, [0.0, 0.0]) for w in ((words_ or []) + [None] * 3)[:3]]
+    assert {r["k"]: r["w2v"] for r in found.collect()} == {i: padded(w) for i, w in enumerate(lists)}
+    assert "hashpartitioning" not in plan_of(found)
+    spread = features.word_vector_rows(rows, ["k"], "lemmas", words.hint("merge"), 2)
+    assert {r["k"]: r["w2v"] for r in spread.collect()} == {i: padded(w) for i, w in enumerate(lists)}

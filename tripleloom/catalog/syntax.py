@@ -519,7 +519,10 @@ WORDS_SQL = (
 def word_table(t: Tables) -> DataFrame:
     from tripleloom.operators.numbering import numbered
 
-    lemmas = t.sentences().select(F.explode(F.transform("tokens", lambda x: x["lemma"])).alias("word")).distinct()
+    # Numbering reads them several times.
+    lemmas = t.stage(
+        "lemmas", lambda: t.sentences().select(F.explode(F.transform("tokens", lambda x: x["lemma"])).alias("word")).distinct()
+    )
     ids = numbered(lemmas, "word", name="no").select("word", (F.col("no") - 1).alias("vec_id"))
     return ids.join(t.embeddings, "vec_id").select("word", F.col("embedding").alias("vec"))
 
