@@ -770,21 +770,30 @@ def _(t: Tables) -> DataFrame:
     words = t.stage("words", lambda: word_table(t))
     tokens = F.col("tokens")
     field = lambda name, p: F.transform(syntax.span_of(tokens, *span(p)), lambda x: x[name])
-    both = t.spans().select(
-        *KEY,
-        *[vectors.positional_onehot(field("ner", p), NER_TYPES).alias(f"ner_{p}") for p in ("obj", "rel")],
-        *[vectors.positional_onehot(field("pos", p), POS_TAGS).alias(f"pos_{p}") for p in ("obj", "rel")],
-        vectors.prep_multihot(F.col("relation")).alias("prep"),
+    phrases = (("obj", "object"), ("rel", "relation"))
+    # One-row generators keep the steps that follow from computing their input again.
+    once = lambda df, keep, *made: df.select(*keep, F.explode(F.array(F.struct(*made))).alias("_r")).select(*keep, "_r.*")
+    rows = once(
+        t.spans(), KEY, "relation",
+        *[field(name, p).alias(f"{name}_{p}") for name in ("ner", "pos") for p in ("obj", "rel")],
         (F.col("rel_start") - F.col("obj_start")).alias("dist"),
         (F.col("obj_start") / F.size("tokens")).alias("place"),
+        *[syntax.lemma_pos(tokens, *span(p), F.col(phrase)).alias(f"lemmas_{p}") for p, phrase in phrases],
+    )
+    for p, _phrase in phrases:
+        carried = [x for x in rows.columns if x != f"lemmas_{p}"]
+        rows = features.word_vector_rows(rows, carried, f"lemmas_{p}", words, 64).withColumnRenamed("w2v", f"w2v_{p}")
+    both = once(
+        rows, [*KEY, "w2v_obj", "w2v_rel", "dist", "place"],
+        *[
+            vectors.positional_onehot(F.col(f"{name}_{p}"), types).alias(f"{name}_{p}")
+            for name, types in (("ner", NER_TYPES), ("pos", POS_TAGS)) for p in ("obj", "rel")
+        ],
+        vectors.prep_multihot(F.col("relation")).alias("prep"),
     )
-    for p, phrase in (("obj", "object"), ("rel", "relation")):
-        lemmas = t.spans().select(*KEY, syntax.lemma_pos(tokens, *span(p), F.col(phrase)).alias("lemmas"))
-        found = features.word_vector_rows(lemmas, KEY, "lemmas", words, 64)
-        both = both.join(found.withColumnRenamed("w2v", f"w2v_{p}"), KEY)
     c = lambda name, p: F.col(f"{name}_{p}")
-    built = both.select(
-        *KEY,
+    built = once(
+        both, KEY,
         vectors.positional_argument(c("ner", "obj"), c("pos", "obj")).alias("argument"),
         vectors.positional_relation(c("ner", "rel"), c("pos", "rel"), c("w2v", "rel"), F.col("prep")).alias("rel"),
         vectors.positional_with_distance(c("ner", "obj"), c("pos", "obj"), c("w2v", "obj"), F.col("dist"), F.col("place")).alias("obj"),
