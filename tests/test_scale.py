@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import functions as F
 
+from pyspark.sql import DataFrameWriter
+
+from tripleloom.catalog import base
 from tripleloom.operators import classify, joins
 from tripleloom.plans import answering, features
 from tripleloom.session import cut_lineage
@@ -138,3 +141,16 @@ def test_word_vectors_do_not_move_rows_to_a_small_table(spark):
     assert "hashpartitioning" not in plan_of(found)
     spread = features.word_vector_rows(rows, ["k"], "lemmas", words.hint("merge"), 2)
     assert {r["k"]: r["w2v"] for r in spread.collect()} == {i: padded(w) for i, w in enumerate(lists)}
+
+
+def test_partitions_of_a_written_table_follow_the_lines(spark, sf, monkeypatch):
+    monkeypatch.setattr(base, "TASK_ROWS", 100)
+    own, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a: (seen.append(spark.conf.get("spark.sql.shuffle.partitions")), write(self, *a))[1])
+    tables = base.Tables(spark, sf)
+    expected = sorted(map(tuple, tables.pairs().collect()))
+    tables.questions()
+    assert seen == [str(-(-tables.lineitem.count() // 100))] and int(seen[0]) > int(own)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == own
+    assert sorted(map(tuple, tables.pairs().collect())) == expected
