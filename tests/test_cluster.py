@@ -64,6 +64,21 @@ def test_loops_find_separate_groups(spark):
         assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
 
 
+def test_loops_read_blocks_not_rows(spark, monkeypatch):
+    points = blobs(spark).unionByName(spark.createDataFrame([(999, None)], "id int, vec array<double>"))
+    matrix, freq = np.array([[1.0, 1.0], [5.0, 1.0], [1.0, 4.0]]), np.array([50.0, 60.0, 70.0])
+    plain = cluster.refine_step(points, "vec", matrix, matrix, freq)
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 7)
+    blocks = cluster.packed(points.coalesce(1), "vec")
+    assert 26 <= blocks.count() < 60
+    direction, kl, n = cluster.refine_step(blocks, "vec", matrix, matrix, freq)
+    assert np.allclose(direction, plain[0]) and kl == pytest.approx(plain[1]) and n == plain[2] == 180
+    seen, step = set(), cluster.refine_step
+    monkeypatch.setattr(cluster, "refine_step", lambda df, *a: (seen.add(df.schema["vec"].dataType.typeName()), step(df, *a))[1])
+    cluster.refine_centers(points, centers(spark, matrix), iters=2)
+    assert seen == {"binary"}
+
+
 def test_admm_row(spark):
     state = spark.createDataFrame([([2.0, 2.0], [0.5, -0.5], 0)], "f array<double>, u array<double>, cluster int")
     row = cluster.admm_update(state, np.array([0]), np.array([[1.0, 0.0]])).first()
