@@ -172,3 +172,21 @@ def test_plain_keys_skip_the_patterns(spark):
     got = rows.select(text.norm_key(F.col("t")), slow).collect()
     assert [r[0] for r in got] == [r[1] for r in got]
     assert "btrim" in str(text.norm_key(F.col("t")))
+
+
+def test_runs_of_names_are_read_without_taking_them_apart(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["", "a", "ab\U0001F600c", "x" * 300 + "\U0001F600yz"] + ["".join(rng.choice("abé") for _ in range(rng.randint(1, 20))) for _ in range(20)]
+    lengths = [0, 1, 2, 4, 16]
+    cut = lambda t: {t[i : i + n] for n in lengths for i in range(len(t) - n + 1) if n} | {""}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    runs = lambda: {r["t"]: r["g"] for r in rows.select("t", joins._grams(F.col("t"), F.array(*map(F.lit, lengths))).alias("g")).collect()}
+    for longest in (joins.NAME, 0):  # short texts by place, then all by their letters
+        monkeypatch.setattr(joins, "NAME", longest)
+        found = runs()
+        assert {t: set(g) - {""} for t, g in found.items()} == {t: cut(t) - {""} for t in texts}
+        assert all(len(g) == len(set(g)) for g in found.values())
+    keys = spark.createDataFrame([("\U0001F600y",), ("zz",), ("",)], "k string")
+    monkeypatch.undo()
+    hits = {(r["t"], r["k"]) for r in joins.contained_keys(rows, "t", keys, "k").collect()}
+    assert hits == {(t, k) for t in texts for k in ("\U0001F600y", "zz", "") if k in t}
