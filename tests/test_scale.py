@@ -190,3 +190,14 @@ def test_runs_of_names_are_read_without_taking_them_apart(spark, monkeypatch):
     monkeypatch.undo()
     hits = {(r["t"], r["k"]) for r in joins.contained_keys(rows, "t", keys, "k").collect()}
     assert hits == {(t, k) for t in texts for k in ("\U0001F600y", "zz", "") if k in t}
+
+
+def test_distinct_structs_are_dealt_by_the_lines(spark, sf, monkeypatch):
+    monkeypatch.setattr(base, "TASK_ROWS", 100)
+    seen, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a: (seen.append(spark.conf.get("spark.sql.shuffle.partitions")), write(self, *a))[1])
+    found = base.CASES["d04_distinct_structs"].run(spark, sf)
+    lines = base.Tables(spark, sf)
+    assert seen == [str(-(-lines.lineitem.count() // 100))]
+    expected = lines.triples().select("subject", "relation", "object", "score").distinct()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
