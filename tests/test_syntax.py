@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 import pytest
 
+from tripleloom.catalog import CASES
 from tripleloom.functions import syntax, vectors
 from tripleloom.functions.vocab import PREPOSITIONS
 
@@ -150,3 +151,39 @@ def test_multi_hot(spark):
     assert sum(row["c"]) == 1
     assert [p for p, x in zip(PREPOSITIONS, row["d"]) if x] == ["in", "of"]
     assert row["e"] == [[0, 1], [0, 0], [0, 0]]
+
+
+def test_paths_deeper_than_the_first_steps(spark):
+    chain = list(range(0, 40))
+    assert path(spark, chain, 40, 1) == list(range(40, 0, -1))
+    assert path(spark, chain, 3, 30) == list(range(3, 31))
+    assert path(spark, [2, 1], 1, 2) == [1, 2]
+
+
+def test_heads_of_all_spans(spark):
+    rng = random.Random(5)
+    cases = [([rng.randint(0, 7) for _ in range(7)], a, b) for a in range(7) for b in range(a + 1, 8) for _ in range(3)]
+    head = lambda g, a, b: next((i for i in range(a + 1, b + 1) if g[i - 1] < a + 1 or g[i - 1] > b), b)
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, g array<int>, a int, b int")
+    got = df.orderBy("i").select(syntax.phrase_head(F.col("g"), F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [head(*c) for c in cases]
+
+
+def test_governors_in_token_order(spark):
+    kind = "array<struct<governor:int,dependent:int,dep:string>>"
+    rows = [([(0, 2, "b"), (2, 1, "a"), (1, 3, "c")],), ([],), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, f"d {kind}").select(syntax.governors(F.col("d"))).collect()]
+    assert got == [[2, 0, 1], [], None]
+
+
+@pytest.mark.parametrize("name", ["t11_dep_path", "t12_dep_path_between_sets", "t17_lemmas_on_path"])
+def test_spans_do_no_work_twice(spark, sf, name):
+    """Tokens are built only where they are read, after sentences without triples are gone; a head is sought once."""
+    plan = CASES[name].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("originalText" in plan) == (name == "t17_lemmas_on_path")
+    lines = plan.splitlines()
+    built = [i for i, line in enumerate(lines) if "originalText" in line]
+    assert len(built) <= 1
+    gone = [i for i, line in enumerate(lines) if "Filter" in line and ">= 9" in line]
+    assert gone and all(i < gone[-1] for i in built)
+    assert plan.count("filter(sequence((obj_start") <= 1

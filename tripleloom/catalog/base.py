@@ -137,9 +137,11 @@ class Tables:
             F.when(number % 10 < 6, "train").when(number % 10 < 8, "valid").otherwise("test").alias("part"),
         )
 
-    def sentences(self) -> DataFrame:
+    def sentences(self, own_step: bool = True) -> DataFrame:
         """Annotated sentences of all documents, tagged by rule, built inside the row.
 
+        The tokens are built in a step of their own, so that no filter or function on them builds them again. Where another
+        generator follows, they can be a plain column, which is built only if something reads it, and after the filters.
         The governor of token i is i / 2 in even sentences and i / 3 in odd ones (which
         so have two roots); a sentence of nine tokens or more carries two triples.
         """
@@ -147,7 +149,7 @@ class Tables:
             "doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sent", "body")
         )
         cleaned = F.regexp_replace("body", r"[^\p{L}\p{N} \t]", "")
-        words = F.filter(F.split(cleaned, r"[ \t]+"), lambda w: w != "")
+        words = F.regexp_extract_all(cleaned, F.lit(r"[^ \t]+"), F.lit(0))
         # One-row generators keep the filters that follow from computing their input again.
         rows = split.select("doc_id", "sent", F.explode(F.array(words)).alias("words")).where(
             F.size("words") > 0
@@ -166,14 +168,15 @@ class Tables:
                 ),
             )
 
+        tagged = F.transform("words", token)
         built = rows.select(
-            "doc_id", "sent", F.explode(F.array(F.transform("words", token))).alias("tokens")
+            "doc_id", "sent", "words", (F.explode(F.array(tagged)) if own_step else tagged).alias("tokens")
         )
         step = F.lit(2) + F.col("sent") % 2
         tree = F.transform(
-            F.sequence(F.lit(1), F.size("tokens")),
+            F.sequence(F.lit(1), F.size("words")),
             lambda i: F.struct(
-                F.floor(i / step).cast("int").alias("governor"),
+                F.call_function("div", i, step).cast("int").alias("governor"),
                 i.alias("dependent"),
                 F.lit("dep").alias("dep"),
             ),
@@ -181,8 +184,7 @@ class Tables:
 
         def triple(spans: list[tuple[Column, Column]]) -> Column:
             texts = [
-                F.array_join(F.transform(syntax.span_of(F.col("tokens"), s, e), lambda t: t["word"]), " ")
-                for s, e in spans
+                F.array_join(syntax.span_of(F.col("words"), s, e), " ") for s, e in spans
             ]
             names = ("subject", "relation", "object")
             return F.struct(
@@ -191,7 +193,7 @@ class Tables:
             )
 
         at = lambda i: F.lit(i)
-        n = F.size("tokens")
+        n = F.size("words")
         triples = F.array(
             triple([(at(0), at(2)), (at(3), at(4)), (n - 3, n)]),
             triple([(at(0), at(1)), (at(2), at(4)), (at(5), at(6))]),
@@ -211,7 +213,7 @@ class Tables:
 
     def spans(self) -> DataFrame:
         """One row per triple: its tokens, spans and governor array."""
-        return triple_rows(self.sentences())
+        return triple_rows(self.sentences(own_step=False))
 
     def centers(self) -> DataFrame:
         """One centre per label: its vector with the lowest id."""
@@ -230,11 +232,12 @@ def rule_pos(word: Column) -> Column:
     """Part-of-speech tag by rule."""
     preps = ["above", "across", "after", "at", "by", "for", "from", "in", "into", "of", "on", "to",
              "under", "up"]
+    prons = ["it", "he", "this"]
+    # ":" follows "9" and "[" follows "Z": words are compared by their first letter without cutting it off.
     return (
-        F.when(F.substr(word, F.lit(1), F.lit(1)).between("0", "9"), "CD")
-        .when(F.lower(word).isin(preps), "IN")
-        .when(F.lower(word).isin("it", "he", "this"), "PRP")
-        .when(F.substr(word, F.lit(1), F.lit(1)).between("A", "Z"), "NNP")
+        F.when((word >= "0") & (word < ":"), "CD")
+        .when(F.lower(word).isin(preps + prons), F.when(F.lower(word).isin(prons), "PRP").otherwise("IN"))
+        .when((word >= "A") & (word < "["), "NNP")
         .when(F.length(word) % 4 == 0, "VBD")
         .otherwise("NN")
     )

@@ -35,19 +35,19 @@ def gap_between(tokens: Column, a: tuple[Column, Column], b: tuple[Column, Colum
 
 def governors(dependencies: Column) -> Column:
     """Governor of every token, in token order."""
-    ordered = F.array_sort(
-        F.transform(dependencies, lambda d: F.struct(d["dependent"], d["governor"]))
-    )
-    return F.transform(ordered, lambda d: d["governor"])
+    places = F.arrays_zip(dependencies["dependent"].alias("dependent"), dependencies["governor"].alias("governor"))
+    return F.sort_array(places)["governor"]
 
 
 def phrase_head(gov: Column, start: Column, end: Column) -> Column:
-    """First token of the span governed from outside it, else the last one."""
-    outside = F.filter(
-        F.sequence(start + 1, end),
-        lambda i: (F.get(gov, i - 1) < start + 1) | (F.get(gov, i - 1) > end),
+    """First token of the span governed from outside it, else the last one. Most spans are one token, or their first one is it."""
+    is_outside = lambda i: (F.get(gov, i - 1) < start + 1) | (F.get(gov, i - 1) > end)
+    outside = F.filter(F.sequence(start + 1, end), is_outside)
+    return (
+        F.when(start + 1 == end, end)
+        .when((start + 1 < end) & is_outside(start + 1), start + 1)
+        .otherwise(F.coalesce(F.get(outside, F.lit(0)), end))
     )
-    return F.coalesce(F.get(outside, F.lit(0)), end)
 
 
 def _is_word_tag(tag: Column) -> Column:
@@ -81,22 +81,30 @@ def bow_between(tokens: Column, a, b, stop: list[str] | None = None) -> Column:
     return F.array_join(keep, " ")
 
 
+FEW = 8
+
+
+def steps(rounds: Column, begin: Column, step: Callable[[Column, Column], Column], done: Callable[[Column], Column]) -> Column:
+    """The state after one step per element of ``rounds``; a state that is done after a few steps is not carried through the rest."""
+    some = F.aggregate(F.slice(rounds, F.lit(1), F.lit(FEW)), begin, step)
+    rest = F.slice(rounds, F.lit(FEW + 1), F.greatest(F.size(rounds) - FEW, F.lit(0)))
+    return bind(some, lambda state: F.when(done(state), state).otherwise(F.aggregate(rest, state, step)))
+
+
 def root_path(gov: Column, start: Column) -> Column:
     """Token indexes from a token up to its topmost governor."""
-    return F.aggregate(
-        gov,
+    begin = lambda first: F.struct(
+        F.when(first > 0, F.array(first)).otherwise(F.array().cast("array<int>")).alias("path"),
+        F.coalesce(F.get(gov, first - 1), F.lit(0)).alias("up"),
+    )
+    at_top = lambda acc: acc["up"] == 0
+    climb = lambda acc, _: F.when(at_top(acc), acc).otherwise(
         F.struct(
-            F.when(start > 0, F.array(start)).otherwise(F.array().cast("array<int>")).alias("path"),
-            F.coalesce(F.get(gov, start - 1), F.lit(0)).alias("up"),
-        ),
-        lambda acc, _: F.when(acc["up"] == 0, acc).otherwise(
-            F.struct(
-                F.array_append(acc["path"], acc["up"]).alias("path"),
-                F.coalesce(F.get(gov, acc["up"] - 1), F.lit(0)).alias("up"),
-            )
-        ),
-        lambda acc: acc["path"],
+            F.array_append(acc["path"], acc["up"]).alias("path"),
+            F.coalesce(F.get(gov, acc["up"] - 1), F.lit(0)).alias("up"),
+        )
     )
+    return bind(start, lambda first: steps(gov, begin(first), climb, at_top)["path"])
 
 
 def join_root_paths(left: Column, right: Column) -> Column:

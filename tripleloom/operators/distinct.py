@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tripleloom.functions.syntax import bind
+
 
 def first_per_key(
     df: DataFrame, keys: list[str], order: list[str], payload: list[str] | None = None
@@ -51,11 +53,14 @@ def drop_consecutive(df: DataFrame, group: list[str], order: list[str]) -> DataF
 def drop_consecutive_in_row(triples: Column) -> Column:
     """The same inside one sentence's array of triples."""
     filled = F.filter(triples, lambda t: (t["object"] != "") & (t["subject"] != ""))
-    return F.filter(
+    return bind(
         filled,
-        lambda t, i: (i == 0)
-        | (F.get(filled, i - 1)["object"] != t["object"])
-        | (F.get(filled, i - 1)["subject"] != t["subject"]),
+        lambda kept: F.filter(
+            kept,
+            lambda t, i: (i == 0)
+            | (F.get(kept, i - 1)["object"] != t["object"])
+            | (F.get(kept, i - 1)["subject"] != t["subject"]),
+        ),
     )
 
 
