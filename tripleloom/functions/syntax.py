@@ -211,8 +211,8 @@ def trigger(tokens: Column, path: Column, stop: list[str] = ENGLISH_STOP) -> Col
 def lemmas_on_path(tokens: Column, path: Column) -> Column:
     """Lower-case lemmas of the path without its right end, in sentence order."""
     nodes = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
-    kept = F.filter(tokens, lambda t: F.array_contains(nodes, t["index"]))
-    return F.array_join(F.transform(kept, lambda t: F.lower(t["lemma"])), " ")
+    ordered = F.sort_array(F.array_distinct(nodes))
+    return F.array_join(F.transform(ordered, lambda i: F.lower(F.get(tokens, i - 1)["lemma"])), " ")
 
 
 def entity_type(tokens: Column, start: Column, end: Column) -> Column:
