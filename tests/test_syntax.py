@@ -187,3 +187,11 @@ def test_spans_do_no_work_twice(spark, sf, name):
     gone = [i for i, line in enumerate(lines) if "Filter" in line and ">= 9" in line]
     assert gone and all(i < gone[-1] for i in built)
     assert plan.count("filter(sequence((obj_start") <= 1
+
+
+def test_search_keeps_only_arcs_that_lead_on(spark):
+    """No distance of every token is kept and rewritten per level."""
+    df = spark.createDataFrame([([(i, i + 1) for i in range(1, 30)], [30], [2])], "e array<struct<governor:int,dependent:int>>, a array<int>, b array<int>")
+    out = df.select(syntax.dep_path_between_sets(F.col("e"), F.col("a"), F.col("b")).alias("p"))
+    assert "struct(dist" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert list(out.first()["p"]) == list(range(30, 1, -1))

@@ -135,19 +135,21 @@ def dep_path(gov: Column, start: Column, end: Column) -> Column:
     return join_root_paths(root_path(gov, start), root_path(gov, end))
 
 
+ARCS = "array<struct<u:int,v:int>>"
+
+
 def dep_path_between_sets(edges: Column, sources: Column, targets: Column) -> Column:
     """Shortest path between two token sets in a graph with several governors.
 
     ``edges`` is ``array<struct<governor, dependent>>`` and undirected; tokens count from 1. The search goes level by level from
-    the targets until it meets a source, as an expression of the row: it visits the edges once per level, and every
-    level updates the array of distances. Of several shortest paths the smallest is taken. Without a path, and for null sets, the result is empty.
+    the targets until it meets a source, as an expression of the row: it visits the edges once per level, and keeps of every
+    level the few that lead to the next one, on which the path goes back. Of several shortest paths the smallest is taken. Without a path, and for null sets, the result is empty.
     """
     none = F.array().cast("array<int>")
     linked = F.filter(F.coalesce(edges, F.array().cast("array<struct<governor:int,dependent:int>>")), lambda e: (e["governor"] > 0) & (e["dependent"] > 0))
-    there = F.transform(linked, lambda e: F.struct(e["governor"].cast("int").alias("u"), e["dependent"].cast("int").alias("v")))
-    back = F.transform(linked, lambda e: F.struct(e["dependent"].cast("int").alias("u"), e["governor"].cast("int").alias("v")))
+    arcs = lambda e: F.concat(*[F.arrays_zip(e[u], e[v]).cast(ARCS) for u, v in (("governor", "dependent"), ("dependent", "governor"))])
     given = F.struct(
-        F.concat(there, back).alias("arcs"), F.coalesce(sources.cast("array<int>"), none).alias("src"),
+        bind(linked, arcs).alias("arcs"), F.coalesce(sources.cast("array<int>"), none).alias("src"),
         F.coalesce(targets.cast("array<int>"), none).alias("dst"),
     )
     return bind(given, _level_search)
@@ -155,40 +157,32 @@ def dep_path_between_sets(edges: Column, sources: Column, targets: Column) -> Co
 
 def _level_search(row: Column) -> Column:
     arcs, src, dst = row["arcs"], row["src"], row["dst"]
-    at = lambda dist, token: F.get(dist, token - 1)
-    top = F.greatest(
-        F.lit(0), F.coalesce(F.array_max(F.transform(arcs, lambda e: e["u"])), F.lit(0)),
-        F.coalesce(F.array_max(src), F.lit(0)), F.coalesce(F.array_max(dst), F.lit(0)),
-    )
-    tokens = F.filter(F.sequence(F.lit(0), top), lambda i: i > 0)
     begin = F.struct(
-        F.transform(tokens, lambda i: F.when(F.array_contains(dst, i), F.lit(0))).alias("dist"), F.lit(0).alias("level"), F.lit(False).alias("done"),
+        F.array_distinct(F.filter(dst, lambda x: x > 0)).alias("front"), F.array_distinct(F.filter(dst, lambda x: x > 0)).alias("seen"),
+        F.array().cast(f"array<{ARCS}>").alias("levels"), F.lit(False).alias("done"),
     )
+    is_done = lambda state: state["done"]
 
     def step(state: Column, _: Column) -> Column:
-        reached = F.array_distinct(
-            F.transform(
-                F.filter(arcs, lambda e: (at(state["dist"], e["u"]) == state["level"]) & at(state["dist"], e["v"]).isNull()), lambda e: e["v"]
-            )
-        )
-        below = state["level"] + 1
-        moved = lambda new: F.struct(
-            F.transform(state["dist"], lambda x, i: F.when(x.isNull() & F.array_contains(new, i + 1), below).otherwise(x)).alias("dist"),
-            below.alias("level"), ((F.size(new) == 0) | F.arrays_overlap(new, src)).alias("done"),
-        )
-        return F.when(state["done"], state).otherwise(bind(reached, moved))
+        leaving = F.filter(arcs, lambda e: F.array_contains(state["front"], e["u"]) & ~F.array_contains(state["seen"], e["v"]))
 
-    def downhill(dist: Column) -> Column:
-        start = F.array_min(F.filter(src, lambda s: at(dist, s).isNotNull()))
+        def moved(found: Column) -> Column:
+            front = F.array_distinct(found["v"])
+            return F.struct(
+                front.alias("front"), F.concat(state["seen"], front).alias("seen"), F.array_append(state["levels"], found).alias("levels"),
+                ((F.size(found) == 0) | F.arrays_overlap(front, src)).alias("done"),
+            )
 
-        def longer(path: Column, _: Column) -> Column:
-            last = F.element_at(path, -1)
-            nearer = F.filter(arcs, lambda e: (e["u"] == last) & (at(dist, e["v"]) == at(dist, last) - 1))
-            return F.concat(path, F.array(F.array_min(F.transform(nearer, lambda e: e["v"]))))
+        return F.when(is_done(state), state).otherwise(bind(leaving, moved))
 
-        return F.when(start.isNotNull(), F.aggregate(F.sequence(F.lit(1), at(dist, start)), F.array(start), longer))
+    def back(state: Column) -> Column:
+        start = F.array_min(F.array_intersect(state["front"], src))
+        nearer = lambda path, level: F.filter(level, lambda e: e["v"] == F.element_at(path, -1))["u"]
+        longer = lambda path, level: F.array_append(path, F.array_min(nearer(path, level)))
+        return F.when(start.isNotNull(), F.aggregate(F.reverse(state["levels"]), F.array(start), longer))
 
-    found = bind(F.aggregate(tokens, begin, step)["dist"], downhill)
+    # Every level but the last reaches a new token, an end of some arc.
+    found = bind(steps(F.concat(arcs, F.array(F.lit(None).cast("struct<u:int,v:int>"))), begin, step, is_done), back)
     both = F.array_min(F.array_intersect(src, dst))
     return F.when(both.isNotNull(), F.array(both)).otherwise(F.coalesce(found, F.array().cast("array<int>")))
 
