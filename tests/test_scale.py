@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tripleloom.catalog import base
 from tripleloom.functions import text
 from tripleloom.operators import classify, joins
 from tripleloom.plans import answering, features
-from tripleloom.session import cut_lineage
+from tripleloom.session import CLEANUP, PARTITIONS, cut_lineage
 from tripleloom.sources import readers, writers
 
 
@@ -193,3 +194,40 @@ def test_distinct_structs_are_dealt_by_the_lines(spark, sf, monkeypatch):
     assert seen == [str(-(-lines.lineitem.count() // 100))]
     expected = lines.triples().select("subject", "relation", "object", "score").distinct()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    names = [blocks.apply(i).name() for i in range(blocks.size())]
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before, settings = shuffle_files(spark), dict(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsparkSession.conf().getAll()))
+    table = cut_lineage(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n")), "kept")
+    for _ in range(100):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(PARTITIONS) == settings[PARTITIONS]
+    assert spark.conf.get(CLEANUP) == settings.get(CLEANUP, "false")
+    assert table.agg(F.sum("n")).first()[0] == 5000
+
+
+def test_questions_are_counted_without_being_sent(spark, monkeypatch):
+    """Labels of a list are counted after the shuffle, from the words alone."""
+    written = []
+    monkeypatch.setattr(classify, "cut_lineage", lambda df, name: written.append(df) or cut_lineage(df, name))
+    rows = [("who made it", "1 2 2"), ("who made it", "3"), ("made in", "1"), (None, "1"), ("what", None), ("what", "")]
+    model = classify.train_multilabel(spark.createDataFrame(rows, "question string, labels string"))
+    counts = {(r["label"], r["token"]): r["c"] for r in written[0].collect()}
+    assert counts == {
+        **{(1, w): n for w, n in (("who", 1), ("made", 2), ("it", 1), ("in", 1), (None, 2))},
+        **{(2, w): 2 for w in ("who", "made", "it", None)}, **{(3, w): 1 for w in ("who", "made", "it", None)},
+    }
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("question" in line or "_q#" in line for line in exchanges)
+    found = {r["question"]: r["pred"] for r in classify.question_classifier_nb(model, spark.createDataFrame([("in",), ("",), (None,), ("it it",)], "question string")).collect()}
+    assert found["in"] == 1 and found["it it"] == 2 and set(found) == {"in", "", None, "it it"}
