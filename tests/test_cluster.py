@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tripleloom.operators import classify, cluster
 from tripleloom.operators.dense import center_matrix, nearest_center, nearest_in_block
-from tripleloom.session import shared_dir
+from tripleloom.session import cut_lineage, shared_dir
 
 
 def frame(spark, rows, name="vec"):
@@ -141,3 +142,31 @@ def test_classifier_learns_and_survives_saving(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_fits_read_counted_words_instead_of_texts(spark, monkeypatch):
+    """Nothing is held in the session, and every pass of a fit reads labels and counts only."""
+    written, held = [], set(spark.sparkContext._jsc.getPersistentRDDs())
+    monkeypatch.setattr(classify, "cut_lineage", lambda df, name: written.append((name, cut_lineage(df, name))) or written[-1][1])
+    rows = [(f"where was {i} born", 1) for i in range(6)] + [(f"who wrote {i}", 2) for i in range(6)] + [(None, 2)]
+    data = spark.createDataFrame(rows, "question string, label int")
+    model = classify.question_classifier(data.where("question IS NOT NULL"), data.limit(5), features=32, max_iter=5)
+    assert [(name, df.columns, df.count()) for name, df in written] == [("fit_on", ["label", "features"], 12), ("tune_on", ["label", "features"], 5)]
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= held
+    assert [type(s).__name__ for s in model.stages] == [
+        "StringIndexerModel", "NGram", "HashingTF", "HashingTF", "VectorAssembler", "LogisticRegressionModel", "IndexToString",
+    ]
+
+
+def test_rounds_of_a_loop_need_no_plan(spark, monkeypatch):
+    """Blocks are made once, a round adds one share per task, and shares of many tasks are added in tasks."""
+    points = blobs(spark)
+    matrix, freq = np.array([[1.0, 1.0], [5.0, 1.0], [1.0, 4.0]]), np.array([50.0, 60.0, 70.0])
+    blocks = cluster.kept(points.repartition(5), "vec")
+    direct = cluster.refine_step(blocks, "vec", matrix, matrix, freq)
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda *_: pytest.fail("the blocks are made again"))
+    monkeypatch.setattr(DataFrame, "groupBy", lambda *_: pytest.fail("a round is planned"))
+    monkeypatch.setattr(cluster, "DIRECT", 2)
+    in_tasks = cluster.refine_step(blocks, "vec", matrix, matrix, freq)
+    assert np.allclose(direct[0], in_tasks[0]) and direct[1] == pytest.approx(in_tasks[1]) and direct[2] == in_tasks[2] == 180
+    blocks.rdd.unpersist()
