@@ -131,6 +131,21 @@ def test_texts_are_written_by_all_cores(spark, tmp_path):
     assert sorted(r["text"].strip() for r in readers.read_text_docs(spark, str(tmp_path / "t")).collect()) == sorted(f"text {i}" for i in range(40))
 
 
+def test_text_files_are_whole_and_stand_alone(spark, tmp_path):
+    """A file per text with its bytes and a newline, nothing beside them; what was in the folder is replaced."""
+    folder = tmp_path / "t x"
+    folder.mkdir()
+    (folder / "part-old.txt").write_text("old")
+    texts = ["", None, "a\n\nb\n", "\u00e4\U0001F600", "same", "same"]
+    writers.write_text_docs(spark.createDataFrame([(t,) for t in texts], "text string"), folder.as_uri().replace("%20", " "))
+    files = [p for p in folder.iterdir() if p.name != "_SUCCESS" and p.name != "._SUCCESS.crc"]
+    assert all(p.name.startswith("part-") and p.name.endswith(".txt") for p in files)
+    assert sorted(p.read_bytes() for p in files) == sorted(f"{t or ''}\n".encode() for t in texts)
+    assert sorted(r["text"] for r in readers.read_text_docs(spark, str(folder)).collect()) == sorted(f"{t or ''}\n" for t in texts)
+    writers.write_text_docs(spark.createDataFrame([], "text string"), str(folder))
+    assert readers.read_text_docs(spark, str(folder)).count() == 0
+
+
 def test_word_vectors_do_not_move_rows_to_a_small_table(spark):
     rng = random.Random(9)
     lists = [[rng.choice("abcdef") for _ in range(rng.randint(0, 4))] for _ in range(50)] + [None, [None, "a"]]

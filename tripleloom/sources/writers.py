@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +37,42 @@ def write_annotations(df: DataFrame, path: str, mode: str = "errorifexists", row
 def write_text_docs(df: DataFrame, path: str, text: str = "text") -> None:
     """Every text as a file of its own, ended by a newline. A null text is written as an empty one.
 
-    A file costs far more than its bytes, so the texts are dealt evenly over the cores, and every task puts its
-    own files in place instead of leaving them to the driver, which moves them one by one.
+    A file costs far more than its bytes, so the texts are dealt evenly over the cores. In a mounted folder, where Spark's writer
+    starts programs to set the rights of every file and of its checksum, the tasks write the files themselves. In any other
+    store Spark's writer does, and every task puts its own files in place instead of leaving them to the driver, which moves them one by one.
     """
+    spark = df.sparkSession
     rows = df.select(F.coalesce(text, F.lit("")).alias("value"))
-    spread = rows.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
-    writer = spread.write.mode("overwrite").option("maxRecordsPerFile", 1)
-    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    spread = rows.repartition(4 * spark.sparkContext.defaultParallelism)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() != "file":
+        writer = spread.write.mode("overwrite").option("maxRecordsPerFile", 1)
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        return
+    store.delete(folder, True)
+    store.mkdirs(folder)
+    spread.mapInArrow(text_files(store.makeQualified(folder).toUri().getPath()), "files bigint").agg(F.sum("files")).collect()
+    store.create(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")).close()
+
+
+def text_files(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the texts of a task to numbered files and gives their number. A repeated task replaces its own files, whole ones only."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, n = TaskContext.get(), 0
+        for batch in batches:
+            for value in batch.column(0):
+                name = f"part-{context.partitionId():05d}-{n:09d}.txt"
+                own = os.path.join(folder, f".{name}.{context.taskAttemptId()}")
+                with open(own, "wb") as file:
+                    file.write(value.as_buffer())
+                    file.write(b"\n")
+                os.replace(own, os.path.join(folder, name))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    return write
 
 
 def write_cluster_json(exported: DataFrame, path: str) -> None:
