@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import DataFrameWriter
 
 from tripleloom.catalog import base
-from tripleloom.functions import text
+from tripleloom.functions import text, vectors
 from tripleloom.operators import classify, joins
 from tripleloom.plans import answering, features
 from tripleloom.session import CLEANUP, PARTITIONS, cut_lineage
@@ -246,3 +246,16 @@ def test_questions_are_counted_without_being_sent(spark, monkeypatch):
     assert exchanges and not any("question" in line or "_q#" in line for line in exchanges)
     found = {r["question"]: r["pred"] for r in classify.question_classifier_nb(model, spark.createDataFrame([("in",), ("",), (None,), ("it it",)], "question string")).collect()}
     assert found["in"] == 1 and found["it it"] == 2 and set(found) == {"in", "", None, "it it"}
+
+
+def test_positional_rows_stay_within_compiled_code(spark, sf):
+    """One-hot rows are looked up, and the relation is folded in a projection, not once per preposition in a generator."""
+    words = [*(f"w{i}" for i in range(12)), "w3"]
+    lists = [[], ["w0"], ["w11", None, "w3", "w4"], ["none", "w2"], None]
+    rows = spark.createDataFrame(list(enumerate(lists)), "k int, tags array<string>").repartition(2)
+    found = rows.select("k", vectors.positional_onehot(F.col("tags"), words).alias("hot"))
+    hot = lambda tags: [[int(w == t) for w in words] for t in ((tags or []) + [None] * 3)[:3]]
+    assert {r["k"]: r["hot"] for r in found.collect()} == {i: hot(tags) for i, tags in enumerate(lists)}
+    assert plan_of(found).count("= w3") == 0
+    generators = [line for line in plan_of(base.CASES["t40_assemble_positional"].run(spark, sf)).splitlines() if "Generate explode" in line]
+    assert generators and not any("translate(relation" in line for line in generators)

@@ -783,13 +783,13 @@ def _(t: Tables) -> DataFrame:
     for p, _phrase in phrases:
         carried = [x for x in rows.columns if x != f"lemmas_{p}"]
         rows = features.word_vector_rows(rows, carried, f"lemmas_{p}", words, 64).withColumnRenamed("w2v", f"w2v_{p}")
+    # A generator would fold the relation once per preposition, a projection folds it once.
     both = once(
-        rows, [*KEY, "w2v_obj", "w2v_rel", "dist", "place"],
+        rows.withColumn("prep", vectors.prep_multihot(F.col("relation"))), [*KEY, "w2v_obj", "w2v_rel", "dist", "place", "prep"],
         *[
             vectors.positional_onehot(F.col(f"{name}_{p}"), types).alias(f"{name}_{p}")
             for name, types in (("ner", NER_TYPES), ("pos", POS_TAGS)) for p in ("obj", "rel")
         ],
-        vectors.prep_multihot(F.col("relation")).alias("prep"),
     )
     c = lambda name, p: F.col(f"{name}_{p}")
     built = once(

@@ -31,18 +31,14 @@ def prep_multihot(words: Column) -> Column:
 
 
 def positional_onehot(tags: Column, vocabulary: list[str], n: int = 3) -> Column:
-    """``n`` one-hot rows, zero rows where the sequence is shorter."""
-    return F.array(
-        *[
-            F.array(
-                *[
-                    F.coalesce((F.get(tags, F.lit(i)) == F.lit(v)).cast("int"), F.lit(0))
-                    for v in vocabulary
-                ]
-            )
-            for i in range(n)
-        ]
-    )
+    """``n`` one-hot rows, zero rows where the sequence is shorter.
+
+    The row of a word is looked up among constant rows: a comparison per place and word makes code too long to be compiled.
+    A word that the vocabulary holds twice is hot in both places.
+    """
+    row = lambda hot: F.array(*[F.lit(int(v == hot)) for v in vocabulary])
+    rows = F.create_map(*[x for v in dict.fromkeys(vocabulary) for x in (F.lit(v), row(v))])
+    return F.array(*[F.coalesce(F.try_element_at(rows, F.get(tags, F.lit(i))), row(None)) for i in range(n)])
 
 
 def argument_vector(pos: Column, ner: Column) -> Column:
