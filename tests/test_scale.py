@@ -12,7 +12,7 @@ from pyspark.sql import DataFrameWriter
 
 from tripleloom.catalog import base
 from tripleloom.functions import text, vectors
-from tripleloom.operators import classify, joins
+from tripleloom.operators import classify, joins, qa
 from tripleloom.plans import answering, features
 from tripleloom.session import CLEANUP, PARTITIONS, cut_lineage
 from tripleloom.sources import readers, writers
@@ -259,3 +259,23 @@ def test_positional_rows_stay_within_compiled_code(spark, sf):
     assert plan_of(found).count("= w3") == 0
     generators = [line for line in plan_of(base.CASES["t40_assemble_positional"].run(spark, sf)).splitlines() if "Generate explode" in line]
     assert generators and not any("translate(relation" in line for line in generators)
+
+
+def test_steps_of_answering_are_written_between(spark, monkeypatch):
+    """Shuffles of one step are gone before the next one, and nothing is made twice."""
+    written = []
+    note = lambda df, name="stage": written.append((name, cut_lineage(df, name))) or written[-1][1]
+    for module in (joins, qa, answering):
+        monkeypatch.setattr(module, "cut_lineage", note)
+    triples = spark.createDataFrame([(1, "ada x", "met", "bob"), (1, "eve", "saw", "ada"), (2, "ada", "met", "eve")], "cluster int, subject string, relation string, object string")
+    asked = spark.createDataFrame([(1, "ada"), (1, "ada zoe x"), (2, "zoe")], "cluster int, entity string")
+    loose = qa.answer_lookup_contains(asked, triples, strict=False)
+    assert {(r["entity"], r["subject"]) for r in loose.collect()} == {("ada", "eve"), ("ada zoe x", "eve")}
+    assert [name for name, _ in written] == ["keys", "texts", "runs", "found", "exact"]
+    written.clear()
+    gold = gold_frame(spark).select(
+        F.regexp_extract("question", "did (c[0-9]+) ", 1).alias("subject_decoded"), F.col("property_decoded").alias("object_decoded"), "property_decoded", "question", "part", "cluster"
+    )
+    known = gold.select(F.col("subject_decoded").alias("subject"), F.col("object_decoded").alias("object"), F.lit("met").alias("relation"), "cluster", F.lit(1.0).alias("score"))
+    assert answering.question_table(gold.drop("cluster"), known).where("answered").count() > 0
+    assert [name for name, _ in written] == ["matched", "asked"]
