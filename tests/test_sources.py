@@ -124,3 +124,16 @@ def test_pairs_snapshot_is_read_as_it_is_and_broken_ones_are_not(spark, tmp_path
     # A run without new files changes nothing.
     jobs.stream_distinct_pairs(spark, source, schema, sink, state, order)
     assert pairs() == whole
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(150):
+        (tmp_path / f"f{i}.txt").write_text(f"text {i}")
+    own = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+        docs = readers.read_text_docs(spark, str(tmp_path))
+        assert docs.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, docs.collect())) == sorted((f"f{i}", f"text {i}") for i in range(150))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", own)

@@ -10,15 +10,26 @@ from pyspark.sql import functions as F
 from tripleloom import schemas
 
 
+TASK_SPLITS = 32
+TASK_BYTES = 128 << 20
+
+
 def _stem(name: str) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
 def read_text_docs(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
-    """One row per text file: (doc_id, text); in name order on request, which sorts all texts."""
+    """One row per text file: (doc_id, text); in name order on request, which sorts all texts.
+
+    A scan gives every few small files a task of their own, and starting it costs more than reading them: a task reads
+    more of them one after the other, up to ``TASK_BYTES``.
+    """
     docs = spark.read.text(path, wholetext=True).select(
         _stem("_metadata.file_name").alias("doc_id"), F.col("value").alias("text")
     )
+    splits, size = docs.rdd.getNumPartitions(), int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = max(4 * spark.sparkContext.defaultParallelism, splits // TASK_SPLITS, size // TASK_BYTES)
+    docs = docs.coalesce(tasks) if splits > tasks else docs
     return docs.orderBy("doc_id") if ordered else docs
 
 
